@@ -160,25 +160,27 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], path: str, text: str
     A null text, one without a letter, and any text when no language was learned get `und` and 0. Ties go to the first
     language by name. Returns key, `keep`, lang_pred, score.
     """
-    names = np.array([*model, "und"], dtype=object)
+    languages = np.array([*model, "und"], dtype=object)
     weights = docs.sparkSession.sparkContext.broadcast(np.stack(list(model.values()), 1).astype(np.float32) if model else None)
 
+    names = [key, *keep]
+    fields = [docs.schema[name] for name in names]
+
     def run(frames):
         pieces, probability = vocabulary(path), weights.value
         scores = Remembered(lambda words: list(word_scores(words, probability, pieces).astype(np.float32)))
         for frame in frames:
-            for part in slices(frame):
-                lists = [LETTERS.findall(t.lower()) if t and probability is not None else [] for t in part["text"].where(part["text"].notna(), None)]
+            for part in slices(frame, text):
+                lists = [LETTERS.findall(t.lower()) if t and probability is not None else [] for t in part[text].where(part[text].notna(), None)]
                 words, flat, lengths = word_ids(lists)
-                best, score = np.full(len(part), len(names) - 1), np.zeros(len(part))
+                best, score = np.full(len(part), len(languages) - 1), np.zeros(len(part))
                 if words:
                     total = list_sums(np.array(scores(words))[flat], lengths)
                     some = lengths > 0
                     share = np.exp(total - total.max(1, keepdims=True))
                     best[some] = total.argmax(1)[some]
                     score[some] = (1 / share.sum(1))[some]
-                yield part.drop(columns="text").assign(lang_pred=names[best], score=score)
+                yield part[names].assign(lang_pred=languages[best], score=score)
 
-    fields = [f for f in docs.schema if f.name in (key, *keep)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*[f.name for f in fields], F.col(text).alias("text")).mapInPandas(run, schema + ", lang_pred string, score double")
+    return docs.select(*names, *[text] * (text not in names)).mapInPandas(run, schema + ", lang_pred string, score double")

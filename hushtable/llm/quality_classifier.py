@@ -120,6 +120,9 @@ def score(docs: DataFrame, model: np.ndarray | None, threshold: float = 0.3, tex
     """
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
+    names = [key, *keep]
+    fields = [docs.schema[name] for name in names]
+
     def run(frames):
         odds = weights.value
 
@@ -129,18 +132,17 @@ def score(docs: DataFrame, model: np.ndarray | None, threshold: float = 0.3, tex
 
         value = Remembered(sums)
         for frame in frames:
-            for part in slices(frame):
+            for part in slices(frame, text):
                 logit = np.zeros(len(part))
                 if odds is not None:
-                    words, flat, lengths = word_ids([t.split() if t else [] for t in part["text"].where(part["text"].notna(), None)])
+                    words, flat, lengths = word_ids([t.split() if t else [] for t in part[text].where(part[text].notna(), None)])
                     logit += odds[-1]
                     if words:
                         total = list_sums(np.array(value(words), float)[flat], lengths)
                         found = marks(flat, lengths)
                         logit += (total[:, 0] + found @ odds[:2]) / (total[:, 1] + found.sum(1) + FEW)
                 p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-                yield part.drop(columns="text").assign(score=p, predicted=(p >= threshold).astype(np.int32))
+                yield part[names].assign(score=p, predicted=(p >= threshold).astype(np.int32))
 
-    fields = [f for f in docs.schema if f.name in (key, *keep)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*[f.name for f in fields], F.col(text).alias("text")).mapInPandas(run, schema + ", score double, predicted int")
+    return docs.select(*names, *[text] * (text not in names)).mapInPandas(run, schema + ", score double, predicted int")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from hushtable.llm import byte_bpe, jaccard_join, language_id, neighbours, packing, quality_classifier, quality_rules, token_counts, toxicity
+from hushtable.llm import byte_bpe, html_extraction, jaccard_join, language_id, neighbours, packing, quality_classifier, quality_rules, token_counts, toxicity
 from hushtable.llm.common import remainder
 from hushtable.llm.sql import ORACLE  # noqa: F401
 
@@ -46,6 +46,11 @@ def op5_quality_rules(spark, sf_dir):
     return quality_rules.quality_rules(documents(spark, sf_dir))
 
 
+def op6_html_extraction(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return html_extraction.extract(pages, html_extraction.train(pages))
+
+
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.join(documents(spark, sf_dir))
 
@@ -66,6 +71,6 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality_classifier, op3_learned_partitions, op4_toxicity, op5_quality_rules,
-        op7_jaccard_join, op8_token_counts, op9_packing, op10_byte_bpe,
+        op6_html_extraction, op7_jaccard_join, op8_token_counts, op9_packing, op10_byte_bpe,
     )
 }

@@ -15,6 +15,8 @@ from hushtable.llm.common import bounded_sample, slices
 TOKENS = re.compile(r"[^\W_]+")
 #: What a token without evidence costs a segment.
 COST = 0.25
+#: Lengths of the word beginnings that have log-odds of their own.
+BEGINNINGS = (4, 5, 6)
 
 
 def segments(places: list[int], gains: list[float], cost: float = COST) -> list[tuple[float, int, int]]:
@@ -47,29 +49,54 @@ def evidence(segs: list[tuple[float, int, int]], n: int, tail: tuple[float, floa
     rate, scale = tail
     out = 0.0
     for score, _, _ in segs:
-        expected = scale * max(n, 1) * np.exp(-rate * score)
-        out += max(0.0, -np.log(-np.expm1(-expected)) if expected > 1e-12 else -np.log(expected))
+        log_expected = np.log(scale * max(n, 1)) - rate * score
+        out += float(-log_expected if log_expected < -20 else max(0.0, -np.log(-np.expm1(-np.exp(min(log_expected, 700.0))))))
     return out
 
 
-def gains_of(text: str | None, lexicon: dict[str, float]):
+def forms(word: str) -> tuple:
+    """A word and its beginnings, marked as such: a rare inflected word is judged by the surest of them."""
+    return (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k))
+
+
+def value_of(word: str, lexicon: dict[str, float]) -> float:
+    return max(lexicon.get(f, 0.0) for f in forms(word))
+
+
+def gains_of(text: str | None, lexicon: dict[str, float], values: Values | None = None):
     """Places and gains of a text's lexicon words, and its number of tokens; the k-th time a word gains 1/k of its log-odds."""
     tokens = TOKENS.findall(text.lower()) if text else []
-    places = [i for i, w in enumerate(tokens) if w in lexicon]
+    worth = values if values is not None else Values(lexicon)
+    places, gains = [], []
     seen: Counter = Counter()
-    gains = []
-    for i in places:
-        seen[tokens[i]] += 1
-        gains.append(lexicon[tokens[i]] / seen[tokens[i]])
+    for i, value in enumerate(map(worth.__getitem__, tokens)):
+        if value:
+            seen[tokens[i]] += 1
+            places.append(i)
+            gains.append(value / seen[tokens[i]])
     return places, gains, len(tokens)
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = 6000, strength: float = 200.0, sure: float = 3.0, most_words: int = 20_000, text: str = "text", key: str = "doc_id") -> dict | None:
+class Values(dict):
+    """The value of each word met, found once, for a bounded number of words."""
+
+    def __init__(self, lexicon: dict[str, float], most: int = 400_000):
+        super().__init__()
+        self.lexicon, self.most = lexicon, most
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > self.most:
+            self.clear()
+        self[word] = out = value_of(word, self.lexicon)
+        return out
+
+
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = 6000, strength: float = 100.0, sure: float = 4.0, least: float = 2.0, most_words: int = 20_000, text: str = "text", key: str = "doc_id") -> dict | None:
     """Fit log-odds, the law of clean texts' best scores, and the final calibration.
 
     Uses about `most` labelled documents of each class, chosen by a hash of their id. A word's log-odds compare the
     shares of toxic and clean documents that have it, under a Dirichlet prior of `strength` pseudo-documents spread as
-    in both classes together; words whose log-odds exceed `sure` standard errors make the lexicon (the `most_words`
+    in both classes together; words whose log-odds exceed `least`, and 0 by `sure` standard errors, make the lexicon (the `most_words`
     surest at most). Two Spark jobs gather word counts and segment scores; None without labels of both classes.
     """
     rows = labels.selectExpr(f"`{key}` as id", f"cast(`{target}` as int) as y").where("y in (0, 1)")
@@ -81,7 +108,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int =
         for frame in frames:
             for y, t in zip(frame["y"], frame["text"]):
                 n[y] += 1
-                sums[y].update(set(TOKENS.findall(t.lower())) if t else ())
+                sums[y].update({f for w in set(TOKENS.findall(t.lower())) for f in forms(w)} if t else ())
             if sum(map(len, sums)) > 500_000:
                 yield from flush(sums)
         yield from flush(sums)
@@ -104,15 +131,16 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int =
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (toxic + strength - a + 0.5)) - F.log(b / (clean + strength - b + 0.5))
     found = counts.where("word is not null").select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    lexicon = {r["word"]: r["odds"] for r in found.where(F.col("z") > sure).orderBy(F.desc("z"), "word").limit(most_words).collect()}
+    lexicon = {r["word"]: r["odds"] for r in found.where((F.col("z") > sure) & (F.col("odds") > least)).orderBy(F.desc("z"), "word").limit(most_words).collect()}
     counts.unpersist()
 
     def best(frames):
+        values = Values(lexicon)
         for frame in frames:
             for part in slices(frame):
                 out = []
                 for y, t in zip(part["y"], part["text"]):
-                    places, gains, n = gains_of(t, lexicon)
+                    places, gains, n = gains_of(t, lexicon, values)
                     out.append((int(y), n, [s[0] for s in segments(places, gains)]))
                 yield pd.DataFrame(out, columns=["y", "n", "scores"])
 
@@ -155,16 +183,20 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    names = [key, *keep]
+    fields = [docs.schema[name] for name in names]
+
     def run(frames):
         model = held.value
+        values = Values(model["lexicon"] if model else {})
         for frame in frames:
-            for part in slices(frame):
+            for part in slices(frame, text):
                 out = []
-                for t in part["text"].where(part["text"].notna(), None):
+                for t in part[text].where(part[text].notna(), None):
                     if model is None:
                         out.append((0.0, 0, []))
                         continue
-                    places, gains, n = gains_of(t, model["lexicon"])
+                    places, gains, n = gains_of(t, model["lexicon"], values)
                     segs = segments(places, gains)
                     slope, constant = model["logistic"]
                     logit = slope * np.log1p(evidence(segs, n, model["tail"])) + constant
@@ -173,9 +205,8 @@ def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str
                 if not spans:
                     done = done.drop(columns="segments")
                 done.insert(1, "predicted", (done["score"] >= threshold).astype(np.int32))
-                yield pd.concat([part.drop(columns="text").reset_index(drop=True), done], axis=1)
+                yield pd.concat([part[names].reset_index(drop=True), done], axis=1)
 
-    fields = [f for f in docs.schema if f.name in (key, *keep)]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
     schema += ", score double, predicted int, n_segments int" + ", segments array<struct<score:double,first:int,last:int>>" * spans
-    return docs.select(*[f.name for f in fields], F.col(text).alias("text")).mapInPandas(run, schema)
+    return docs.select(*names, *[text] * (text not in names)).mapInPandas(run, schema)
