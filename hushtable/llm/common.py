@@ -117,7 +117,7 @@ class Remembered:
         return list(map(self.kept.__getitem__, words))
 
 
-def slices(frame, column: str = "text", most: int = 8_000_000):
+def slices(frame, column: str = "text", most: int = 2_000_000):
     """Parts of a pandas frame with about `most` characters each, so that working memory has a bound."""
     sizes = frame[column].str.len().fillna(0).to_numpy()
     part = (np.cumsum(sizes) // most).astype(int)
