@@ -14,6 +14,9 @@ from hushtable.llm.common import materialize, mix, slices, word_ids
 #: Slots of the frequency sketch, and the parts in which it travels.
 SLOT_BITS = 21
 CHUNKS = 32
+#: Words of 64 bits in a set's parity mark, and bits of the filter of wanted ids.
+MARK = 8
+FILTER_BITS = 1 << 25
 
 
 def shingles(texts: list, width: int) -> list[np.ndarray]:
@@ -79,7 +82,10 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray) -> DataFrame:
-    """Each document's set size, a 128-bit fingerprint of its set, and its rarest shingles.
+    """Each document's set size, a 128-bit fingerprint of its set, its parity mark, and its rarest shingles.
+
+    The mark has a bit for each of 512 cells: whether an odd number of shingles falls in it. The marks of two sets differ
+    in no more cells than the sets differ in shingles, so a mark can rule a link out but never wrongly.
 
     Two sets that link share one of their first n - ceil(num * n / den) + 1 shingles in any fixed order; here those in the
     sketch's rarest slots come first.
@@ -91,17 +97,19 @@ def profiles(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray
         for frame in frames:
             for part in slices(frame):
                 sets = shingles(part["text"].tolist(), width)
-                rare, sums = [], []
+                rare, sums, marks = [], [], []
                 for s in sets:
                     n = len(s)
                     take = n + (-num * n // den) + 1 if n else 0
                     order = np.lexsort((s, order_of[slot_of(s)]))[:take]
                     rare.append(s[order].view(np.int64))
+                    odd = np.bincount((mix(s) & np.uint64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK) & 1
+                    marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
                     sums.append((int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x6A09E667F3BCC908)).sum(dtype=np.uint64).view(np.int64))))
                 f = np.array(sums, np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": np.fromiter(map(len, sets), np.int64, len(sets)), "f1": f[:, 0], "f2": f[:, 1], "rare": rare})
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": np.fromiter(map(len, sets), np.int64, len(sets)), "f1": f[:, 0], "f2": f[:, 1], "mark": marks, "rare": rare})
 
-    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, rare array<long>")
+    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, mark array<long>, rare array<long>")
 
 
 def needed(a, b, num: int, den: int):
@@ -109,7 +117,7 @@ def needed(a, b, num: int, den: int):
     return -(-num * (a + b) // (den + num))
 
 
-def runs(frames, columns):
+def runs(frames):
     """Frames sorted by token, cut so that no token's rows are in two."""
     rest = None
     for frame in frames:
@@ -130,7 +138,7 @@ def index_lists(reps: DataFrame, num: int, den: int, kind: str) -> DataFrame:
     """
 
     def run(frames):
-        for frame in runs(frames, 5):
+        for frame in runs(frames):
             token, ids, n, pos = (frame[c].to_numpy() for c in ("token", "id", "n", "pos"))
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
@@ -154,16 +162,58 @@ def index_lists(reps: DataFrame, num: int, den: int, kind: str) -> DataFrame:
     return posted.select("token", "id", "n", "pos").mapInPandas(run, f"token long, id {kind}, n long, pos int, lead {kind}, near boolean")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, kind: str) -> DataFrame:
-    """The exact difference of each pair (a, b) of documents, and whether they link."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+def apart(a, b):
+    """In how many cells two marks differ, natively."""
+    out = F.lit(0)
+    for k in range(MARK):
+        out = out + F.bit_count(a[k].bitwiseXOR(b[k]))
+    return out
+
+
+def plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs (a, b) whose sizes and marks allow a link."""
+    of = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("mark").alias(f"m{x}"))
+    both = pairs.join(of("b"), "b").join(of("a"), "a")
+    least = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(den + num))
+    return both.where(apart(F.col("ma"), F.col("mb")) <= F.col("na") + F.col("nb") - 2 * least).select("a", "b").distinct()
+
+
+def place(column: str):
+    return F.pmod(F.xxhash64(column), F.lit(FILTER_BITS)) + 1
+
+
+def filter_of(ids: DataFrame) -> dict[int, bytes]:
+    """A filter of fixed size that all of these ids pass, and few others."""
+    at = ids.select(place("id").alias("p"))
+    rows = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("bits")).collect()
+    return {r["k"]: bytes(r["bits"]) for r in rows}
+
+
+def verify(pairs: DataFrame, docs: DataFrame, unique: bool, width: int, num: int, den: int, kind: str) -> DataFrame:
+    """The exact difference of each pair (a, b) of documents, and whether they link.
+
+    Sets are made anew for the documents in question only; a filter of fixed size picks those while the texts are read, so
+    that no other text or set is shuffled. What it lets through beyond them finds no partner.
+    """
+    pairs = materialize(pairs)
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
 
     def sets(frames):
+        bits = np.zeros(FILTER_BITS // 8, np.uint8)
+        for k, part in held.value.items():
+            bits[(k - 1) * 4096 : (k - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
         for frame in frames:
+            p = frame["p"].to_numpy() - 1
+            frame = frame[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
+            if not len(frame):
+                continue
             for part in slices(frame):
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "s": [s.tobytes() for s in shingles(part["text"].tolist(), width)]})
 
-    found = materialize(docs.join(wanted, "id", "left_semi").mapInPandas(sets, f"id {kind}, s binary").dropDuplicates(["id"]))
+    read = docs.where("id is not null").select("id", "text", place("id").alias("p"))
+    found = materialize(read.mapInPandas(sets, f"id {kind}, s binary"))
+    if not unique:
+        found = materialize(found.distinct())
 
     def compare(frames):
         for frame in frames:
@@ -177,7 +227,9 @@ def verify(pairs: DataFrame, docs: DataFrame, width: int, num: int, den: int, ki
 
     left = found.withColumnRenamed("id", "b").withColumnRenamed("s", "sb")
     right = found.withColumnRenamed("id", "a").withColumnRenamed("s", "sa")
-    return pairs.join(left, "b").join(right, "a").mapInPandas(compare, f"a {kind}, b {kind}, far long, linked boolean")
+    done = pairs.join(left, "b").join(right, "a").mapInPandas(compare, f"a {kind}, b {kind}, far long, linked boolean")
+    # an id with several texts links if one of them does; its distances then bound nothing
+    return done if unique else done.groupBy("a", "b").agg(F.lit(None).cast("long").alias("far"), F.max("linked").alias("linked"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -200,21 +252,25 @@ def components(edges: DataFrame) -> DataFrame:
         size = after
 
 
-def derived_pairs(lists: DataFrame, answers: DataFrame, labels: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+def derived_pairs(lists: DataFrame, answers: DataFrame, labels: DataFrame, reps: DataFrame, unique: bool, num: int, den: int, kind: str) -> DataFrame:
     """What the leaders' answers leave open: pairs of one list whose components differ and which may still link.
 
     The difference of sets is a metric: with |far(x) - far(y)| for a common leader above what a link allows, a pair is
-    skipped without a look at its sets; so are blocks whose sizes or positions rule it out.
+    skipped without a look at its sets; so are blocks whose sizes or positions rule it out, and pairs whose marks do.
+    Lists whose sets are all in one component are done.
     """
     known = answers.select(F.col("a").alias("lead"), F.col("b").alias("id"), "far")
-    rows = lists.join(known, ["lead", "id"], "left").join(labels, "id", "left")
-    rows = rows.select("token", "id", "n", "pos", "lead", F.when(F.expr("lead = id"), F.lit(0)).otherwise(F.col("far")).alias("far"), F.coalesce("component", "id").alias("own"))
+    rows = materialize(lists.join(labels, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component", "near"))
+    mixed = materialize(rows.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("token"))
+    rows = rows.join(mixed, "token", "left_semi").join(known, ["lead", "id"], "left").join(reps.select("id", "n", "mark"), ["id", "n"])
+    rows = rows.select("token", "id", "n", "pos", "lead", F.when(F.expr("lead = id") & F.lit(unique), F.lit(0)).otherwise(F.col("far")).alias("far"), "own", "mark")
 
     def run(frames):
         seen: set = set()
-        for frame in runs(frames, 7):
+        for frame in runs(frames):
             token, ids, n, pos, own = (frame[c].to_numpy() for c in ("token", "id", "n", "pos", "own"))
             lead, far = frame["lead"].to_numpy(), frame["far"].to_numpy(float)
+            mark = np.array(frame["mark"].tolist(), np.int64).reshape(len(frame), MARK)
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
             start = np.append(np.flatnonzero(new), len(token))
@@ -234,6 +290,8 @@ def derived_pairs(lists: DataFrame, answers: DataFrame, labels: DataFrame, num:
                         fits &= ~((lead[x][:, None] == lead[y][None]) & (gap > most))
                         told = (lead[y][None] == ids[x][:, None]) & np.isfinite(far[y])[None]  # the leader's own answers
                         i, j = np.nonzero(fits & ~told)
+                        differ = np.bitwise_count(mark[x[i]] ^ mark[y[j]]).sum(axis=1, dtype=np.int64)
+                        i, j = (k[differ <= most[i, j]] for k in (i, j))
                         fresh = {(min(a, b), max(a, b)) for a, b in zip(ids[x[i]], ids[y[j]])} - seen
                         if fresh:
                             if len(seen) > 500_000:
@@ -260,18 +318,20 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     kind = docs.schema[key].dataType.simpleString()
     told = materialize(profiles(base, width, num, den, sketch(base, width)))
     classes = ["f1", "f2", "n"]
-    reps = materialize(told.where("n > 0").groupBy(*classes).agg(F.min("id").alias("id"), F.first("rare").alias("rare")))
+    reps = materialize(told.where("n > 0").groupBy(*classes).agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("mark").alias("mark")))
     lists = materialize(index_lists(reps, num, den, kind))
     pairs = lists.where("near").selectExpr("lead as a", "id as b").where("a <> b").distinct()
-    answers = materialize(verify(pairs, base, width, num, den, kind))
+    known = reps.where("id is not null").select("id", "n", "mark")
+    unique = told.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
+    answers = materialize(verify(plausible(pairs, known, num, den), base, unique, width, num, den, kind))
     # rows that share an id tie their classes together
     shared = told.where("n > 0").join(reps.select(*classes, F.col("id").alias("rep")), classes).where("id <> rep").selectExpr("rep as a", "id as b")
     twice = shared.join(reps.select(F.col("id").alias("b")), "b", "left_semi")
     first = answers.where("linked").select("a", "b").union(twice.select("a", "b"))
     labels = components(first)
-    more = derived_pairs(lists, answers, labels, num, den, kind)
-    second = materialize(verify(materialize(more), base, width, num, den, kind).where("linked").select("a", "b"))
-    if not second.isEmpty():
+    more = materialize(derived_pairs(lists, answers, labels, known, unique, num, den, kind))
+    second = None if more.isEmpty() else materialize(verify(more, base, unique, width, num, den, kind).where("linked").select("a", "b"))
+    if second is not None and not second.isEmpty():
         labels = components(labels.selectExpr("id as a", "component as b").union(second))
     named = materialize(reps.select(*classes, F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("id"), "left").select(*classes, F.coalesce("component", "rep").alias("component")))
     out = told.select("id", *classes).join(named, classes, "left")
