@@ -17,6 +17,8 @@ CHUNKS = 32
 #: Words of 64 bits in a set's parity mark, and bits of the filter of wanted ids.
 MARK = 8
 FILTER_BITS = 1 << 25
+#: After so many turns all open pairs are taken at once.
+TURNS = 6
 
 
 def shingles(texts: list, width: int) -> list[np.ndarray]:
@@ -130,52 +132,18 @@ def runs(frames):
         yield rest
 
 
-def index_lists(reps: DataFrame, num: int, den: int, kind: str) -> DataFrame:
-    """Index lists of at least two sets: for each place the set that leads its size block.
-
-    A list is ordered by size and then position, and falls into blocks whose sizes can link with their first, the leader.
-    `near` says that size and position allow a link with the leader; where they don't, the place is skipped.
-    """
+def index_lists(reps: DataFrame, kind: str) -> DataFrame:
+    """The places (token, id, n, pos) of all index lists that hold at least two sets."""
 
     def run(frames):
         for frame in runs(frames):
-            token, ids, n, pos = (frame[c].to_numpy() for c in ("token", "id", "n", "pos"))
-            new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            start = np.flatnonzero(new)
-            long = np.diff(np.append(start, len(token)))
-            lead = np.repeat(start, long)
-            many = np.repeat(long > 1, long)
-            while True:  # places too large for their leader start the next block
-                off = many & (num * n > den * n[lead])
-                if not off.any():
-                    break
-                at = np.flatnonzero(off)
-                head = at[np.append(True, lead[at[1:]] != lead[at[:-1]])]
-                lead[at] = head[np.searchsorted(head, at, side="right") - 1]
-            i = np.minimum(n - pos, n[lead] - pos[lead])
-            near = (lead != np.arange(len(lead))) & (i >= needed(n, n[lead], num, den))
-            yield pd.DataFrame({"token": token, "id": ids, "n": n, "pos": pos, "lead": ids[lead], "near": near})[many]
+            token = frame["token"].to_numpy()
+            same = token[1:] == token[:-1]
+            yield frame[np.append(same, False) | np.append(False, same)]
 
     posted = reps.where("id is not null and n > 0").select("id", "n", F.posexplode("rare").alias("pos", "token"))
-    posted = posted.repartition("token").sortWithinPartitions("token", "n", "pos", "id")
-    return posted.select("token", "id", "n", "pos").mapInPandas(run, f"token long, id {kind}, n long, pos int, lead {kind}, near boolean")
-
-
-def apart(a, b):
-    """In how many cells two marks differ, natively."""
-    out = F.lit(0)
-    for k in range(MARK):
-        out = out + F.bit_count(a[k].bitwiseXOR(b[k]))
-    return out
-
-
-def plausible(pairs: DataFrame, reps: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) whose sizes and marks allow a link."""
-    of = lambda x: reps.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("mark").alias(f"m{x}"))
-    both = pairs.join(of("b"), "b").join(of("a"), "a")
-    least = F.ceil(num * (F.col("na") + F.col("nb")) / F.lit(den + num))
-    return both.where(apart(F.col("ma"), F.col("mb")) <= F.col("na") + F.col("nb") - 2 * least).select("a", "b").distinct()
+    posted = posted.repartition("token").sortWithinPartitions("token")
+    return posted.select("token", "id", "n", "pos").mapInPandas(run, f"token long, id {kind}, n long, pos int")
 
 
 def place(column: str):
@@ -189,16 +157,15 @@ def filter_of(ids: DataFrame) -> dict[int, bytes]:
     return {r["k"]: bytes(r["bits"]) for r in rows}
 
 
-def verify(pairs: DataFrame, docs: DataFrame, unique: bool, width: int, num: int, den: int, kind: str) -> DataFrame:
-    """The exact difference of each pair (a, b) of documents, and whether they link.
+def sets_of(ids: DataFrame, docs: DataFrame, unique: bool, width: int, kind: str) -> DataFrame:
+    """The sets of some documents, made anew from their texts.
 
-    Sets are made anew for the documents in question only; a filter of fixed size picks those while the texts are read, so
-    that no other text or set is shuffled. What it lets through beyond them finds no partner.
+    A filter of fixed size picks the documents while the texts are read, so that no other text or set is shuffled. What it
+    lets through beyond them finds no partner.
     """
-    pairs = materialize(pairs)
-    held = docs.sparkSession.sparkContext.broadcast(filter_of(pairs.select(F.col("a").alias("id")).union(pairs.select("b"))))
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(ids))
 
-    def sets(frames):
+    def run(frames):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for k, part in held.value.items():
             bits[(k - 1) * 4096 : (k - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
@@ -211,9 +178,12 @@ def verify(pairs: DataFrame, docs: DataFrame, unique: bool, width: int, num: int
                 yield pd.DataFrame({"id": part["id"].to_numpy(), "s": [s.tobytes() for s in shingles(part["text"].tolist(), width)]})
 
     read = docs.where("id is not null").select("id", "text", place("id").alias("p"))
-    found = materialize(read.mapInPandas(sets, f"id {kind}, s binary"))
-    if not unique:
-        found = materialize(found.distinct())
+    found = read.mapInPandas(run, f"id {kind}, s binary")
+    return materialize(found if unique else found.distinct())
+
+
+def verify(pairs: DataFrame, sets: DataFrame, unique: bool, num: int, den: int, kind: str) -> DataFrame:
+    """The exact difference of each pair (a, b) of documents, and whether they link."""
 
     def compare(frames):
         for frame in frames:
@@ -225,8 +195,8 @@ def verify(pairs: DataFrame, docs: DataFrame, unique: bool, width: int, num: int
             done = pd.DataFrame(out, columns=["far", "linked"])
             yield pd.concat([frame[["a", "b"]].reset_index(drop=True), done], axis=1)
 
-    left = found.withColumnRenamed("id", "b").withColumnRenamed("s", "sb")
-    right = found.withColumnRenamed("id", "a").withColumnRenamed("s", "sa")
+    left = sets.withColumnRenamed("id", "b").withColumnRenamed("s", "sb")
+    right = sets.withColumnRenamed("id", "a").withColumnRenamed("s", "sa")
     done = pairs.join(left, "b").join(right, "a").mapInPandas(compare, f"a {kind}, b {kind}, far long, linked boolean")
     # an id with several texts links if one of them does; its distances then bound nothing
     return done if unique else done.groupBy("a", "b").agg(F.lit(None).cast("long").alias("far"), F.max("linked").alias("linked"))
@@ -252,63 +222,86 @@ def components(edges: DataFrame) -> DataFrame:
         size = after
 
 
-def derived_pairs(lists: DataFrame, answers: DataFrame, labels: DataFrame, reps: DataFrame, unique: bool, num: int, den: int, kind: str) -> DataFrame:
-    """What the leaders' answers leave open: pairs of one list whose components differ and which may still link.
+def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame | None, reps: DataFrame, every: bool, num: int, den: int, kind: str) -> DataFrame:
+    """Pairs of one list whose components differ and which the answers so far leave open.
 
-    The difference of sets is a metric: with |far(x) - far(y)| for a common leader above what a link allows, a pair is
-    skipped without a look at its sets; so are blocks whose sizes or positions rule it out, and pairs whose marks do.
-    Lists whose sets are all in one component are done.
+    A list is ordered by size and position. Blocks of places are skipped whole where sizes can't link; then pairs whose
+    positions allow too few common shingles, whose parity marks differ in too many cells, or whose known distances from
+    one set answered before (`lead`) differ by more than a link allows, as the difference of sets is a metric. For each
+    place one pair is enough, with the nearest place before it that is left: if they link, what either links with is in
+    one component anyway; if not, the next turn goes on. With `every`, all are returned.
     """
-    known = answers.select(F.col("a").alias("lead"), F.col("b").alias("id"), "far")
-    rows = materialize(lists.join(labels, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component", "near"))
-    mixed = materialize(rows.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("token"))
-    rows = rows.join(mixed, "token", "left_semi").join(known, ["lead", "id"], "left").join(reps.select("id", "n", "mark"), ["id", "n"])
-    rows = rows.select("token", "id", "n", "pos", "lead", F.when(F.expr("lead = id") & F.lit(unique), F.lit(0)).otherwise(F.col("far")).alias("far"), "own", "mark")
+    own = F.col("id")
+    rows = lists
+    if labels is not None:
+        rows = rows.join(labels, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
+        rows = materialize(rows)
+        mixed = materialize(rows.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("token"))
+        rows = rows.join(mixed, "token", "left_semi")
+    else:
+        rows = rows.withColumn("own", own)
+    if answers is not None:
+        near = answers.where("linked and far is not null").groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("lead"), "far")).alias("l")).select("id", "l.*")
+        failed = answers.where("not linked")
+        failed = failed.select(F.col("a").alias("id"), F.col("b").alias("other")).union(failed.select("b", "a")).groupBy("id").agg(F.collect_set("other").alias("failed"))
+        rows = rows.join(materialize(near), "id", "left").join(materialize(failed), "id", "left")
+    else:
+        rows = rows.withColumn("lead", F.lit(None).cast(kind)).withColumn("far", F.lit(None).cast("long")).withColumn("failed", F.lit(None).cast(f"array<{kind}>"))
+    rows = rows.join(reps.select("id", "n", "mark"), ["id", "n"])
 
     def run(frames):
-        seen: set = set()
         for frame in runs(frames):
             token, ids, n, pos, own = (frame[c].to_numpy() for c in ("token", "id", "n", "pos", "own"))
-            lead, far = frame["lead"].to_numpy(), frame["far"].to_numpy(float)
-            mark = np.array(frame["mark"].tolist(), np.int64).reshape(len(frame), MARK)
+            lead, far = frame["lead"].to_numpy(float), frame["far"].to_numpy(float)
+            mark = np.array(frame["mark"].tolist(), np.int64).reshape(len(frame), MARK).view(np.uint64)
+            failed = frame["failed"].tolist()
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
             start = np.append(np.flatnonzero(new), len(token))
-            mixed = np.minimum.reduceat(own, start[:-1]) != np.maximum.reduceat(own, start[:-1]) if len(token) else []
-            for k in np.flatnonzero(mixed):
-                lo, hi = start[k], start[k + 1]
-                for at in range(lo, hi, 512):  # rows of a block against the later places, which end where sizes no longer fit
-                    x = np.arange(at, min(at + 512, hi))
-                    last = lo + np.searchsorted(n[lo:hi], n[x[-1]] * den // num, side="right")
-                    for to in range(at, last, 4096):
-                        y = np.arange(to, min(to + 4096, last))
-                        least = needed(n[x][:, None], n[y][None], num, den)
-                        fits = (own[x][:, None] != own[y][None]) & (x[:, None] < y[None])
-                        fits &= np.minimum((n - pos)[x][:, None], (n - pos)[y][None]) >= least
-                        most = n[x][:, None] + n[y][None] - 2 * least
-                        gap = np.abs(far[x][:, None] - far[y][None])
-                        fits &= ~((lead[x][:, None] == lead[y][None]) & (gap > most))
-                        told = (lead[y][None] == ids[x][:, None]) & np.isfinite(far[y])[None]  # the leader's own answers
-                        i, j = np.nonzero(fits & ~told)
-                        differ = np.bitwise_count(mark[x[i]] ^ mark[y[j]]).sum(axis=1, dtype=np.int64)
-                        i, j = (k[differ <= most[i, j]] for k in (i, j))
-                        fresh = {(min(a, b), max(a, b)) for a, b in zip(ids[x[i]], ids[y[j]])} - seen
-                        if fresh:
-                            if len(seen) > 500_000:
-                                seen.clear()
-                            seen |= fresh
-                            yield pd.DataFrame(sorted(fresh), columns=["a", "b"])
+            found = set()
+            for lo, hi in zip(start[:-1], start[1:]):
+                if hi - lo < 2 or own[lo:hi].min() == own[lo:hi].max():
+                    continue
+                for at in range(lo, hi, 256):
+                    y = np.arange(at, min(at + 256, hi))
+                    least_n = -(-num * n[y[0]] // den)
+                    first = lo + np.searchsorted(n[lo:hi], least_n, side="left")  # smaller sets link with none of the block
+                    to = y[-1] + 1
+                    while len(y) and to > first:
+                        x = np.arange(max(first, to - 1024), to)
+                        to = x[0]
+                        least = needed(n[y][:, None], n[x][None], num, den)
+                        most = n[y][:, None] + n[x][None] - 2 * least
+                        fits = (own[y][:, None] != own[x][None]) & (x[None] < y[:, None])
+                        fits &= np.minimum((n - pos)[y][:, None], (n - pos)[x][None]) >= least
+                        fits &= ~((lead[y][:, None] == lead[x][None]) & (np.abs(far[y][:, None] - far[x][None]) > most))
+                        for k in range(len(y)):
+                            if failed[y[k]] is not None and len(failed[y[k]]):
+                                fits[k] &= ~np.isin(ids[x], failed[y[k]])
+                        i, j = np.nonzero(fits)
+                        differ = np.bitwise_count(mark[y[i]] ^ mark[x[j]]).sum(axis=1, dtype=np.int64)
+                        ok = differ <= most[i, j]
+                        i, j, differ = i[ok], j[ok], differ[ok]
+                        if not every and len(i):
+                            order = np.lexsort((-j, differ, i))
+                            order = order[np.append(True, i[order][1:] != i[order][:-1])]
+                            i, j = i[order], j[order]
+                        found.update(zip(np.minimum(ids[y[i]], ids[x[j]]).tolist(), np.maximum(ids[y[i]], ids[x[j]]).tolist()))
+                        if not every:
+                            y = np.setdiff1d(y, y[i], assume_unique=True)
+            if found:
+                yield pd.DataFrame(sorted(found), columns=["a", "b"])
 
     rows = rows.repartition("token").sortWithinPartitions("token", "n", "pos", "id")
-    return rows.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    return rows.select("token", "id", "n", "pos", "own", "lead", "far", "failed", "mark").mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
     """Components of documents whose shingle sets have a Jaccard index of at least num/den: exact, none is lost.
 
-    Equal sets form one class, whose smallest id stands for it. Index lists over the classes' rarest shingles give each
-    class the leaders it may link with; those pairs are verified on whole sets. Pairs that this leaves in different
-    components are then narrowed down by what the leaders' answers imply, and verified too.
+    Equal sets form one class, whose smallest id stands for it. Index lists over the classes' rarest shingles give, in
+    turns, pairs that may link; these are verified on whole sets, and what their answers imply narrows the next turn
+    down, until no pair of different components is left open.
 
     A text that is null or has no word has an empty set and links with nothing. Rows that share an id are one document
     whose links are those of all its texts. Rows with a null id get a component only through equal texts.
@@ -319,20 +312,31 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     told = materialize(profiles(base, width, num, den, sketch(base, width)))
     classes = ["f1", "f2", "n"]
     reps = materialize(told.where("n > 0").groupBy(*classes).agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("mark").alias("mark")))
-    lists = materialize(index_lists(reps, num, den, kind))
-    pairs = lists.where("near").selectExpr("lead as a", "id as b").where("a <> b").distinct()
-    known = reps.where("id is not null").select("id", "n", "mark")
+    lists = materialize(index_lists(reps, kind))
     unique = told.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
-    answers = materialize(verify(plausible(pairs, known, num, den), base, unique, width, num, den, kind))
     # rows that share an id tie their classes together
-    shared = told.where("n > 0").join(reps.select(*classes, F.col("id").alias("rep")), classes).where("id <> rep").selectExpr("rep as a", "id as b")
-    twice = shared.join(reps.select(F.col("id").alias("b")), "b", "left_semi")
-    first = answers.where("linked").select("a", "b").union(twice.select("a", "b"))
-    labels = components(first)
-    more = materialize(derived_pairs(lists, answers, labels, known, unique, num, den, kind))
-    second = None if more.isEmpty() else materialize(verify(more, base, unique, width, num, den, kind).where("linked").select("a", "b"))
-    if second is not None and not second.isEmpty():
-        labels = components(labels.selectExpr("id as a", "component as b").union(second))
+    labels = answers = None
+    sets = None
+    if not unique:
+        shared = told.where("n > 0").join(reps.select(*classes, F.col("id").alias("rep")), classes).where("id <> rep").selectExpr("rep as a", "id as b")
+        labels = components(shared.join(reps.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
+    for turn in range(TURNS + 1):
+        pairs = materialize(open_pairs(lists, labels, answers, reps, turn == TURNS, num, den, kind))
+        if pairs.isEmpty():
+            break
+        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = materialize(wanted.join(sets.select("id"), "id", "left_anti"))
+        if sets is None or not wanted.isEmpty():
+            more = sets_of(wanted, base, unique, width, kind)
+            sets = more if sets is None else sets.union(more.join(wanted, "id", "left_semi"))
+        done = materialize(verify(pairs, sets, unique, num, den, kind))
+        answers = done if answers is None else answers.union(done)
+        links = done.where("linked").select("a", "b")
+        if not links.isEmpty():
+            labels = components(links if labels is None else links.union(labels.selectExpr("id as a", "component as b")))
+    if labels is None:
+        labels = docs.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     named = materialize(reps.select(*classes, F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("id"), "left").select(*classes, F.coalesce("component", "rep").alias("component")))
     out = told.select("id", *classes).join(named, classes, "left")
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
