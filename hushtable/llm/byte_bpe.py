@@ -15,6 +15,21 @@ from pyspark.sql import DataFrame
 from hushtable.llm.common import Remembered, slices
 
 
+class Pairs(dict):
+    """The rank that two neighbours merge to, or -1; each answer is found once and kept up to a bound."""
+
+    def __init__(self, vocabulary: Vocabulary, most: int = 1_000_000):
+        super().__init__()
+        self.vocabulary, self.most = vocabulary, most
+
+    def __missing__(self, pair: tuple[int, int]) -> int:
+        if len(self) > self.most:
+            self.clear()
+        of = self.vocabulary.bytes_of
+        self[pair] = rank = self.vocabulary.ranks.get(of[pair[0]] + of[pair[1]], -1)
+        return rank
+
+
 class Vocabulary:
     """Ranks of byte strings, as a .tiktoken file lists them."""
 
@@ -22,17 +37,13 @@ class Vocabulary:
         self.ranks = ranks
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-        self.encoded = Remembered(lambda words: [np.array(ids, "<u4").tobytes() for ids in self.replay(words)], 400_000)
-
-    def pair_rank(self, left: int, right: int) -> int | None:
-        """The rank that two neighbours merge to, if any; answers are kept up to a bound."""
-        pair = (left, right)
-        if pair not in self.pairs:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            self.pairs[pair] = self.ranks.get(self.bytes_of[left] + self.bytes_of[right])
-        return self.pairs[pair]
+        first = np.full((256, 256), -1, np.int64)
+        for pair, rank in ranks.items():
+            if len(pair) == 2:
+                first[pair[0], pair[1]] = rank
+        self.first = first
+        self.pairs = Pairs(self)
+        self.encoded = Remembered(lambda words: [np.array(ids, "<u4").tobytes() for ids in self.replay(words)], 800_000)
 
     def replay(self, words: list[str]) -> list[list[int]]:
         """Ids of each word: every merge, in rank order, at all its positions over all words.
@@ -42,48 +53,60 @@ class Vocabulary:
         within a single word.
         """
         done: list = [None] * len(words)
-        token: list[int] = []
-        spans = []
+        raws, spans, size = [], [], 0
         for k, word in enumerate(words):
             raw = word.encode()
             whole = self.ranks.get(raw)
             if whole is not None:
                 done[k] = [whole]
+            elif raw:
+                raws.append(raw)
+                spans.append((k, size, size := size + len(raw)))
             else:
-                spans.append((k, len(token), len(token) + len(raw)))
-                token += map(self.single.__getitem__, raw)
-        after, before = list(range(1, len(token) + 1)), list(range(-1, len(token) - 1))
-        index: defaultdict[int, list[int]] = defaultdict(list)
-        pair_rank = self.pair_rank
-        for _, a, b in spans:
-            if a == b:
-                continue
-            before[a], after[b - 1] = -1, -1
-            for i in range(a, b - 1):
-                rank = pair_rank(token[i], token[i + 1])
-                if rank is not None:
-                    index[rank].append(i)
+                done[k] = []
+        if not spans:
+            return done
+        codes = np.frombuffer(b"".join(raws), np.uint8)
+        token = np.array(self.single, np.int64)[codes].tolist()
+        starts, ends = (np.array([x[i] for x in spans]) for i in (1, 2))
+        links = np.arange(1, size + 1)
+        links[ends - 1] = -1
+        after = links.tolist()
+        links = np.arange(-1, size - 1)
+        links[starts] = -1
+        before = links.tolist()
+        ranks = np.append(self.first[codes[:-1], codes[1:]], -1)
+        ranks[ends - 1] = -1
+        places = np.flatnonzero(ranks >= 0)
+        places = places[np.argsort(ranks[places], kind="stable")]
+        kinds, first = np.unique(ranks[places], return_index=True)
+        index = defaultdict(list, zip(kinds.tolist(), map(np.ndarray.tolist, np.split(places, first[1:]))))
+        pairs = self.pairs
         order = list(index)
         heapq.heapify(order)
         while order:
             rank = heapq.heappop(order)
             places = sorted(index.pop(rank, ()))
             for k, i in enumerate(places):
-                j = after[i] if token[i] >= 0 else -1
-                if j < 0 or pair_rank(token[i], token[j]) != rank:
+                j = after[i]
+                if j < 0 or token[i] < 0 or pairs[token[i], token[j]] != rank:
                     continue
                 token[i], token[j] = rank, -1
-                right, left = after[j], before[i]
-                after[i] = right
+                after[i] = right = after[j]
+                left = before[i]
+                lower = False
                 if right >= 0:
                     before[right] = i
-                lower = False
-                for at, near in ((left, i), (i, right)):
-                    if at >= 0 and near >= 0 and (new := pair_rank(token[at], token[near])) is not None:
+                    if (new := pairs[rank, token[right]]) >= 0:
                         if new not in index:
                             heapq.heappush(order, new)
-                        index[new].append(at)
-                        lower |= new < rank
+                        index[new].append(i)
+                        lower = new < rank
+                if left >= 0 and (new := pairs[token[left], rank]) >= 0:
+                    if new not in index:
+                        heapq.heappush(order, new)
+                    index[new].append(left)
+                    lower |= new < rank
                 if lower:
                     if places[k + 1 :]:
                         index[rank] += places[k + 1 :]
@@ -113,10 +136,8 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
         find, vocabulary = regex.compile(pattern).findall, load(path)
         for frame in frames:
             for part in slices(frame):
-                rows = []
-                for t in part["text"].fillna(""):
-                    rows.append(find(t))
-                distinct = list({w for words in rows for w in words})
+                rows = list(map(find, part["text"].fillna("")))
+                distinct = list(set().union(*rows))
                 code = dict(zip(distinct, vocabulary.encoded(distinct)))
                 out = []
                 for words in rows:
