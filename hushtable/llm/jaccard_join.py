@@ -17,8 +17,8 @@ CHUNKS = 32
 #: Words of 64 bits in a set's parity mark, and bits of the filter of wanted ids.
 MARK = 8
 FILTER_BITS = 1 << 25
-#: After so many turns all open pairs are taken at once.
-TURNS = 6
+#: How many open pairs each place of a list may give in each turn; in the last one all that are left.
+TURNS = (1, 8, 64, None)
 
 
 def shingles(texts: list, width: int) -> list[np.ndarray]:
@@ -222,15 +222,19 @@ def components(edges: DataFrame) -> DataFrame:
         size = after
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame | None, reps: DataFrame, every: bool, num: int, den: int, kind: str) -> DataFrame:
+def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame | None, reps: DataFrame, most_pairs: int | None, num: int, den: int, kind: str) -> DataFrame:
     """Pairs of one list whose components differ and which the answers so far leave open.
 
     A list is ordered by size and position. Blocks of places are skipped whole where sizes can't link; then pairs whose
     positions allow too few common shingles, whose parity marks differ in too many cells, or whose known distances from
     one set answered before (`lead`) differ by more than a link allows, as the difference of sets is a metric. For each
-    place one pair is enough, with the nearest place before it that is left: if they link, what either links with is in
-    one component anyway; if not, the next turn goes on. With `every`, all are returned.
+    place a few pairs are enough, with the nearest places before it that are left: if they link, what either links with
+    is in one component anyway; if not, the next turn goes on. Without `most_pairs` all are returned.
+
+    Returns token, a, b; rows with a = b name further sets that the next turns may ask for. A list without a row has no
+    open pair, and never will.
     """
+    begins = answers is None
     own = F.col("id")
     rows = lists
     if labels is not None:
@@ -258,10 +262,11 @@ def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame |
             new = np.ones(len(token), bool)
             new[1:] = token[1:] != token[:-1]
             start = np.append(np.flatnonzero(new), len(token))
-            found = set()
+            out = []
             for lo, hi in zip(start[:-1], start[1:]):
                 if hi - lo < 2 or own[lo:hi].min() == own[lo:hi].max():
                     continue
+                found = set()
                 for at in range(lo, hi, 256):
                     y = np.arange(at, min(at + 256, hi))
                     least_n = -(-num * n[y[0]] // den)
@@ -282,18 +287,22 @@ def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame |
                         differ = np.bitwise_count(mark[y[i]] ^ mark[x[j]]).sum(axis=1, dtype=np.int64)
                         ok = differ <= most[i, j]
                         i, j, differ = i[ok], j[ok], differ[ok]
-                        if not every and len(i):
+                        if begins:
+                            found.update((x, x) for x in np.unique(ids[x[j]]).tolist())
+                        if most_pairs is not None and len(i):
                             order = np.lexsort((-j, differ, i))
-                            order = order[np.append(True, i[order][1:] != i[order][:-1])]
+                            order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < most_pairs]
                             i, j = i[order], j[order]
                         found.update(zip(np.minimum(ids[y[i]], ids[x[j]]).tolist(), np.maximum(ids[y[i]], ids[x[j]]).tolist()))
-                        if not every:
+                        if most_pairs is not None:
                             y = np.setdiff1d(y, y[i], assume_unique=True)
-            if found:
-                yield pd.DataFrame(sorted(found), columns=["a", "b"])
+                if found:
+                    out.append(pd.DataFrame(sorted(found), columns=["a", "b"]).assign(token=token[lo]))
+            if out:
+                yield pd.concat(out)
 
     rows = rows.repartition("token").sortWithinPartitions("token", "n", "pos", "id")
-    return rows.select("token", "id", "n", "pos", "own", "lead", "far", "failed", "mark").mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    return rows.select("token", "id", "n", "pos", "own", "lead", "far", "failed", "mark").mapInPandas(run, f"token long, a {kind}, b {kind}")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -320,11 +329,13 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     if not unique:
         shared = told.where("n > 0").join(reps.select(*classes, F.col("id").alias("rep")), classes).where("id <> rep").selectExpr("rep as a", "id as b")
         labels = components(shared.join(reps.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
-    for turn in range(TURNS + 1):
-        pairs = materialize(open_pairs(lists, labels, answers, reps, turn == TURNS, num, den, kind))
+    for most_pairs in TURNS:
+        found = materialize(open_pairs(lists, labels, answers, reps, most_pairs, num, den, kind))
+        pairs = materialize(found.where("a <> b").select("a", "b").distinct())
         if pairs.isEmpty():
             break
-        wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+        lists = materialize(lists.join(found.select("token").distinct(), "token", "left_semi"))
+        wanted = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
         if sets is not None:
             wanted = materialize(wanted.join(sets.select("id"), "id", "left_anti"))
         if sets is None or not wanted.isEmpty():
