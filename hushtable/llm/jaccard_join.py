@@ -17,6 +17,8 @@ CHUNKS = 32
 #: Words of 64 bits in a set's parity mark, and bits of the filter of wanted ids.
 MARK = 8
 FILTER_BITS = 1 << 25
+#: Lists of up to so many places give all their open pairs at once.
+SHORT = 8
 #: How many open pairs each place of a list may give in each turn; in the last one all that are left.
 TURNS = (1, 8, 64, None)
 
@@ -263,8 +265,23 @@ def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame |
             new[1:] = token[1:] != token[:-1]
             start = np.append(np.flatnonzero(new), len(token))
             out = []
-            for lo, hi in zip(start[:-1], start[1:]):
-                if hi - lo < 2 or own[lo:hi].min() == own[lo:hi].max():
+            long = np.repeat(np.diff(start), np.diff(start))
+            for step in range(1, SHORT):  # short lists, whose pairs are few: all at once, by the distance of their places
+                y = np.flatnonzero((long[step:] <= SHORT) & (token[step:] == token[:-step])) + step
+                x = y - step
+                least = needed(n[y], n[x], num, den)
+                most = n[y] + n[x] - 2 * least
+                fits = (own[y] != own[x]) & (np.minimum((n - pos)[y], (n - pos)[x]) >= least)
+                fits &= ~((lead[y] == lead[x]) & (np.abs(far[y] - far[x]) > most))
+                y, x, most = y[fits], x[fits], most[fits]
+                fits = np.bitwise_count(mark[y] ^ mark[x]).sum(axis=1, dtype=np.int64) <= most
+                y, x = y[fits], x[fits]
+                if not begins:
+                    fits = np.array([failed[i] is None or ids[j] not in failed[i] for i, j in zip(y, x)], bool)
+                    y, x = y[fits], x[fits]
+                out.append(pd.DataFrame({"a": np.minimum(ids[y], ids[x]), "b": np.maximum(ids[y], ids[x]), "token": token[y]}))
+            for lo, hi in zip(start[:-1][np.diff(start) > SHORT], start[1:][np.diff(start) > SHORT]):
+                if own[lo:hi].min() == own[lo:hi].max():
                     continue
                 found = set()
                 for at in range(lo, hi, 256):
@@ -298,8 +315,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame |
                             y = np.setdiff1d(y, y[i], assume_unique=True)
                 if found:
                     out.append(pd.DataFrame(sorted(found), columns=["a", "b"]).assign(token=token[lo]))
-            if out:
-                yield pd.concat(out)
+            yield pd.concat(out, ignore_index=True)[["token", "a", "b"]]
 
     rows = rows.repartition("token").sortWithinPartitions("token", "n", "pos", "id")
     return rows.select("token", "id", "n", "pos", "own", "lead", "far", "failed", "mark").mapInPandas(run, f"token long, a {kind}, b {kind}")
