@@ -134,17 +134,28 @@ def runs(frames):
         yield rest
 
 
-def index_lists(reps: DataFrame, kind: str) -> DataFrame:
-    """The places (token, id, n, pos) of all index lists that hold at least two sets."""
+def index_lists(reps: DataFrame, num: int, den: int, kind: str) -> DataFrame:
+    """The places (token, id, n, pos) of all index lists that hold at least two sets.
+
+    In short lists, places whose size and position allow no link with any other place are skipped here already.
+    """
 
     def run(frames):
         for frame in runs(frames):
-            token = frame["token"].to_numpy()
-            same = token[1:] == token[:-1]
-            yield frame[np.append(same, False) | np.append(False, same)]
+            token, n, pos = (frame[c].to_numpy() for c in ("token", "n", "pos"))
+            new = np.append(True, token[1:] != token[:-1])
+            long = np.diff(np.append(np.flatnonzero(new), len(token)))
+            long = np.repeat(long, long)
+            keep = long > SHORT
+            for step in range(1, SHORT):
+                y = np.flatnonzero((long[step:] <= SHORT) & (token[step:] == token[:-step])) + step
+                x = y - step
+                y = y[np.minimum((n - pos)[y], (n - pos)[x]) >= needed(n[y], n[x], num, den)]
+                keep[y] = keep[y - step] = True
+            yield frame[keep]
 
     posted = reps.where("id is not null and n > 0").select("id", "n", F.posexplode("rare").alias("pos", "token"))
-    posted = posted.repartition("token").sortWithinPartitions("token")
+    posted = posted.repartition("token").sortWithinPartitions("token", "n", "pos", "id")
     return posted.select("token", "id", "n", "pos").mapInPandas(run, f"token long, id {kind}, n long, pos int")
 
 
@@ -337,7 +348,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     told = materialize(profiles(base, width, num, den, sketch(base, width)))
     classes = ["f1", "f2", "n"]
     reps = materialize(told.where("n > 0").groupBy(*classes).agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("mark").alias("mark")))
-    lists = materialize(index_lists(reps, kind))
+    lists = materialize(index_lists(reps, num, den, kind))
     unique = told.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
     # rows that share an id tie their classes together
     labels = answers = None
