@@ -136,7 +136,7 @@ def fit(sample: np.ndarray, parts: int, aim: float = 0.975, k: int = 20) -> tupl
     return w, int(min(parts, need[min(len(need) - 1, int(aim * len(need)))] + 1)) if len(need) else parts
 
 
-def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str = "embedding", most_sample: int = 6000, rows_a_part: int = 1000, block: int = 2000) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str = "embedding", most_sample: int = 6000, rows_a_part: int = 4000, block: int = 4000) -> DataFrame:
     """The k nearest rows by inner product for each row that satisfies the condition `queries`.
 
     Every usable row is indexed in the partition that the router finds likeliest, and each query visits the likeliest
