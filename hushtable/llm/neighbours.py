@@ -141,7 +141,8 @@ def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector
 
     Every usable row is indexed in the partition that the router finds likeliest, and each query visits the likeliest
     few. Of copies of one vector only the k + 1 smallest ids can be among any k nearest, so no others are compared; this
-    limit is exact. Partitions and their queries are cut into blocks of about `block` rows. The router is fitted on about
+    limit is exact. Partitions and their queries are cut into blocks of about `block` rows. A block returns no
+    candidate below the k-th nearest that a query has in the sample alone, which can be none of its k nearest. The router is fitted on about
     `most_sample` rows chosen by a hash of their id. Vectors that are null, zero, of another length than most, or hold a
     null or non-finite component take no part; neither do null ids. Rows that share an id count as one: the query's own
     id is never its neighbour. Returns query_id, rank, vec_id, score.
@@ -166,12 +167,28 @@ def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector
     parts = int(min(128, max(1, total // rows_a_part), max(1, len(x) // 40)))
     model, visit = fit(x, parts) if parts > 1 else (None, 1)
     held = spark.sparkContext.broadcast(model)
-
-    def place(visits):
+    sampled = spark.sparkContext.broadcast((x, sample["id"].to_numpy()))
+
+    def bounds(q, ids):
+        """For each query what its k-th nearest reaches at least: that among the sample, with a margin for rounding."""
+        some, own = sampled.value
+        if len(some) <= k:
+            return np.full(len(q), -np.inf)
+        out = []
+        for at in range(0, len(q), 256):
+            s = q[at : at + 256] @ some.T
+            s[ids[at : at + 256, None] == own[None]] = -np.inf
+            out.append(np.partition(s, len(some) - k, axis=1)[:, len(some) - k])
+        least = np.concatenate(out)
+        return least - 1e-9 * (1 + np.abs(least))
+
+    def place(visits, asks=False):
         def run(frames):
             for frame in frames:
                 if not len(frame):
                     continue
+                if asks:
+                    frame = frame.assign(least=bounds(np.array(frame["v"].tolist(), float), frame["id"].to_numpy()))
                 if held.value is None:
                     yield frame.assign(part=0)
                     continue
@@ -184,7 +201,7 @@ def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector
 
     kind = vectors.schema[vector].dataType.simpleString()
     indexed = candidates.mapInPandas(place(1), f"id long, v {kind}, part int")
-    routed = asking.mapInPandas(place(visit), f"id long, v {kind}, part int")
+    routed = asking.mapInPandas(place(visit, True), f"id long, v {kind}, least double, part int")
     blocks = {r["part"]: max(1, -(-r["count"] // block)) for r in indexed.groupBy("part").count().collect()}
     asked = {r["part"]: max(1, -(-r["count"] // block)) for r in routed.groupBy("part").count().collect()}
 
@@ -201,7 +218,8 @@ def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector
         if not len(asks) or not len(has):
             return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
         q, c = (np.array(f["v"].tolist(), float) for f in (asks, has))
-        return exact_top(q, asks["id"].to_numpy(), c, has["id"].to_numpy(), k)
+        top = exact_top(q, asks["id"].to_numpy(), c, has["id"].to_numpy(), k)
+        return top[top["score"].to_numpy() >= top["query_id"].map(dict(zip(asks["id"], asks["least"]))).to_numpy(float)]
 
     found = left.groupBy("part", "qb", "cb").cogroup(right.groupBy("part", "qb", "cb")).applyInPandas(rerank, schema)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
