@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema
-from hushtable.operators import counts
+from hushtable.operators import correct, counts, distances, ranks, select, stage
 from hushtable.plans.registry import query
 from hushtable.sources.tables import read_table
 
@@ -16,7 +18,9 @@ ITEMS = Schema(
     levels=(("l_returnflag",), ("l_quantity",), ("l_returnflag", "l_quantity")),
 )
 COHORTS = ["A", "N", "R", "X"]
-NEEDED = ["l_orderkey", *ITEMS.numeric, "l_returnflag", "l_linestatus"]
+IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+CELL = ("l_returnflag", "l_quantity")
+NEEDED = [*IDS, *ITEMS.numeric, "l_returnflag", "l_linestatus"]
 
 
 def items(spark, sf_dir):
@@ -112,3 +116,83 @@ def absent_categories(spark, sf_dir):
 @query("noisy_histogram")
 def noisy_histogram(spark, sf_dir):
     return counts.noisy_histogram(items(spark, sf_dir), ITEMS, COHORTS, 2.0, 1).select("cohort", "col", "bin", F.round("share", 6).alias("share"))
+
+
+_WORKLOAD = {c: f"CASE WHEN {c} IS NULL THEN '0' " + " ".join(f"WHEN {c} < {e[i + 1]} THEN '{i}'" for i in range(len(e) - 2)) + f" ELSE '{len(e) - 2}' END" for c, e in ITEMS.numeric.items()}
+_WORKLOAD |= {c: f"coalesce({c}, 'nan')" for c in [*ITEMS.categorical, ITEMS.target]}
+TRIPLES = lambda where: " UNION ALL ".join(f"SELECT '{'|'.join(t)}' AS col, {" || '|' || ".join(_WORKLOAD[c] for c in t)} AS bin FROM lineitem {where}" for t in combinations(_WORKLOAD, 3))
+
+
+@query("three_way_distance", f"WITH a AS (SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS p FROM ({TRIPLES('WHERE l_orderkey % 2 = 0')}) GROUP BY 1, 2), b AS (SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS q FROM ({TRIPLES('WHERE l_orderkey % 2 = 1')}) GROUP BY 1, 2) SELECT col, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) AS distance FROM a FULL JOIN b USING (col, bin) GROUP BY col")
+def three_way_distance(spark, sf_dir):
+    return distances.k_way_distance(*halves(spark, sf_dir), ITEMS, 3)
+
+
+_KEY = " || ' & ' || ".join(_cell_sql(c) for c in CELL)
+
+
+@query("conditional_distance", f"WITH r AS (SELECT {_KEY} AS cell, l_linestatus = 'F' AS positive, l_orderkey % 2 AS half FROM lineitem), a AS (SELECT cell, count(*) AS n, avg(positive::INT) AS p FROM r WHERE half = 0 GROUP BY 1 HAVING count(*) >= 30), b AS (SELECT cell, avg(positive::INT) AS q FROM r WHERE half = 1 GROUP BY 1) SELECT cell, round(n / sum(n) OVER (), 9) AS weight, round(abs(p - coalesce(q, 0)), 9) AS distance FROM a LEFT JOIN b USING (cell)")
+def conditional_distance(spark, sf_dir):
+    return distances.conditional_distance(*halves(spark, sf_dir), ITEMS, CELL)
+
+
+MATCH = ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
+
+
+@query("exact_matches", f"SELECT l_orderkey, l_linenumber FROM lineitem x WHERE l_orderkey % 2 = 1 AND EXISTS (SELECT 1 FROM (SELECT DISTINCT {', '.join(MATCH)} FROM lineitem WHERE l_orderkey % 2 = 0) y WHERE {' AND '.join(f'x.{c} IS NOT DISTINCT FROM y.{c}' for c in MATCH)})")
+def exact_matches(spark, sf_dir):
+    private, other = halves(spark, sf_dir)
+    return distances.exact_matches(private, other, MATCH).select("l_orderkey", "l_linenumber")
+
+
+@query("pool_coverage", "WITH s AS (SELECT l_returnflag AS cohort, count(*) AS size FROM lineitem WHERE l_orderkey % 2 = 0 GROUP BY 1), h AS (SELECT l_returnflag AS cohort, count(*) AS have FROM lineitem WHERE l_orderkey % 2 = 1 GROUP BY 1) SELECT cohort, round(size * 1000 / sum(size) OVER (), 6) AS owed, coalesce(have, 0) AS have, round(coalesce(have, 0) / (size * 1000 / sum(size) OVER ()), 6) AS ratio FROM s LEFT JOIN h USING (cohort)")
+def pool_coverage(spark, sf_dir):
+    private, pool = halves(spark, sf_dir)
+    sizes = private.groupBy(F.col("l_returnflag").alias("cohort")).agg(F.count("*").alias("size"))
+    return distances.pool_coverage(pool, sizes, "l_returnflag", 1000)
+
+
+_HASH = f"md5(concat_ws('|', {', '.join(IDS)}, '7'))"
+
+
+@query("holdout_split", f"SELECT {', '.join(IDS)}, row_number() OVER (PARTITION BY l_linestatus ORDER BY {_HASH}, {', '.join(IDS)}) <= floor(count(*) OVER (PARTITION BY l_linestatus) * 0.2) AS held_out FROM lineitem")
+def holdout_split(spark, sf_dir):
+    return ranks.holdout_split(items(spark, sf_dir), "l_linestatus", 0.2, IDS, 7).select(*IDS, "held_out")
+
+
+@query("exact_sample", f"SELECT {', '.join(IDS)} FROM lineitem ORDER BY {_HASH}, {', '.join(IDS)} LIMIT 1000")
+def exact_sample(spark, sf_dir):
+    return ranks.sample_exactly(items(spark, sf_dir), 1000, IDS, 7).select(*IDS)
+
+
+@query("apportionment", "WITH s AS (SELECT l_returnflag AS cohort, count(*) AS size FROM lineitem GROUP BY 1), e AS (SELECT *, size * 1000.0::DOUBLE / sum(size) OVER () AS x FROM s) SELECT cohort, size, (floor(x) + (row_number() OVER (ORDER BY floor(x) - x, cohort) <= 1000 - sum(floor(x)) OVER ())::INT)::BIGINT AS quota FROM e")
+def apportionment(spark, sf_dir):
+    sizes = items(spark, sf_dir).groupBy(F.col("l_returnflag").alias("cohort")).agg(F.count("*").alias("size"))
+    return ranks.apportion(sizes, "cohort", "size", 1000)
+
+
+@query("relabelled", f"WITH r AS (SELECT *, {_KEY} AS cell FROM lineitem), t AS (SELECT cell, round(avg((l_linestatus = 'F')::INT), 5) AS rate FROM r WHERE l_orderkey % 2 = 0 GROUP BY 1 HAVING count(*) >= 30), s AS (SELECT *, row_number() OVER (PARTITION BY cell ORDER BY {_HASH}, {', '.join(IDS)}) AS k, count(*) OVER (PARTITION BY cell) AS n FROM r WHERE l_orderkey % 2 = 1) SELECT {', '.join(IDS)}, CASE WHEN rate IS NULL THEN l_linestatus WHEN k <= floor(rate * n) + (('0x' || substr(md5(cell || '|7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate * n - floor(rate * n))::INT THEN 'F' ELSE 'O' END AS l_linestatus FROM s LEFT JOIN t USING (cell)")
+def relabelled(spark, sf_dir):
+    private, other = halves(spark, sf_dir)
+    rows = correct.with_cell(private, ITEMS, CELL).groupBy("cell").agg(F.count("*").alias("n"), F.round(F.avg((F.col("l_linestatus") == "F").cast("int")), 5).alias("rate")).where("n >= 30")
+    return correct.relabel(other, rows, ITEMS, CELL, IDS, 7).select(*IDS, "l_linestatus")
+
+
+@query("released_cells")
+def released_cells(spark, sf_dir):
+    return stage.release(items(spark, sf_dir), ITEMS, COHORTS, n_min=50, seed=1).tables(spark)["cells"]
+
+
+@query("selected_rows")
+def selected_rows(spark, sf_dir):
+    private, pool = halves(spark, sf_dir)
+    released = stage.release(private, ITEMS, COHORTS, n_min=50, seed=1)
+    return select.select_to_release(pool, released, ITEMS, 500, IDS, 7)
+
+
+@query("rate_bounds")
+def rate_bounds(spark, sf_dir):
+    private, other = halves(spark, sf_dir)
+    table = correct.conditional_table(private, ITEMS, ("l_quantity",), 2.0, n_min=50, seed=1)
+    floor = other.withColumn("l_linestatus", F.when(ranks.unit_hash(ranks.order_key(IDS, 7)) < 0.5, "F").otherwise("O"))
+    return correct.bounds(private, {"synthetic": other, "floor": floor}, table, ITEMS, ("l_quantity",), 2.0, n_min=50, seed=1)
