@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema, text
-from hushtable.operators.counts import cell, cell_rates
+from hushtable.operators.counts import cell_key, cell_rates
 from hushtable.operators.ledger import Ledger, laplace
 from hushtable.operators.ranks import ranked, unit_hash
 
@@ -23,7 +23,7 @@ def one_level(schema: Schema, columns: tuple[str, ...]) -> Schema:
 
 
 def with_cell(df: DataFrame, schema: Schema, columns: tuple[str, ...]) -> DataFrame:
-    return df.withColumn("cell", F.concat_ws(" & ", *[cell(schema, c) for c in columns]))
+    return df.withColumn("cell", cell_key(schema, columns))
 
 
 def conditional_table(df: DataFrame, schema: Schema, columns: tuple[str, ...], epsilon: float, n_min: int = 150, ledger: Ledger | None = None, seed: int | None = None) -> DataFrame:

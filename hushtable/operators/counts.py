@@ -60,15 +60,20 @@ def cell(schema: Schema, column: str) -> Column:
     return F.concat(F.lit(f"{column}="), (cell_bin(number(column), schema.numeric[column]) if column in schema.numeric else text(column)).cast("string"))
 
 
+def cell_key(schema: Schema, columns) -> Column:
+    """The key of a row's cell; the level without columns has the one cell `*`."""
+    return F.concat_ws(" & ", *[cell(schema, c) for c in columns]) if columns else F.lit("*")
+
+
 def cell_rates(df: DataFrame, schema: Schema) -> DataFrame:
     """Support, positives and positive rate of every cell of every level, over the dense domain; one pass for all levels."""
-    keys = [F.struct(F.lit(i).alias("level"), F.concat_ws(" & ", *[cell(schema, c) for c in level]).alias("cell")) for i, level in enumerate(schema.levels)]
+    keys = [F.struct(F.lit(i).alias("level"), cell_key(schema, level).alias("cell")) for i, level in enumerate(schema.levels)]
     rows = df.select(F.explode(F.array(*keys)).alias("k"), (text(schema.target) == schema.positive).alias("positive")).select("k.*", "positive")
     counts = rows.groupBy("level", "cell").agg(F.count("*").alias("support"), F.count_if(F.col("positive")).alias("positives"))
     every = []
     for i, level in enumerate(schema.levels):
         d = domain(df, **{f"c{k}": [f"{c}={v}" for v in schema.bins(c)] for k, c in enumerate(level)})
-        every.append(d.select(F.lit(i).alias("level"), F.concat_ws(" & ", *d.columns).alias("cell")))
+        every.append(d.select(F.lit(i).alias("level"), (F.concat_ws(" & ", *d.columns) if level else F.lit("*")).alias("cell")))
     out = reduce(DataFrame.unionByName, every).join(counts, ["level", "cell"], "left").na.fill(0)
     return out.withColumn("rate", F.when(F.col("support") > 0, F.round(F.col("positives") / F.col("support"), 5)))
 

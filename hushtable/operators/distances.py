@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema, cell_bin, clipped, text
-from hushtable.operators.counts import _distance, cell
+from hushtable.operators.counts import _distance, cell_key
 
 
 def workload_bin(column: str, schema: Schema) -> Column:
@@ -36,7 +36,7 @@ def conditional_distance(real: DataFrame, other: DataFrame, schema: Schema, colu
     """
     if not columns:
         raise ValueError("name at least one column")
-    key = F.concat_ws(" & ", *[cell(schema, c) for c in columns]).alias("cell")
+    key = cell_key(schema, columns).alias("cell")
     positive = F.count_if(text(schema.target) == schema.positive)
     a = real.groupBy(key).agg(F.count("*").alias("n"), (positive / F.count("*")).alias("p")).where(F.col("n") >= least)
     b = other.groupBy(key).agg((positive / F.count("*")).alias("q"))

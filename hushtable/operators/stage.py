@@ -94,7 +94,7 @@ def release(df: DataFrame, schema: Schema, cohorts: list[str], epsilon: float =
         cells.loc[at, "rate"] = np.clip(np.maximum(hits, 0) / np.maximum(cells.loc[at, "noisy"], n_min), 0, 1).round(5)
     if schema.levels and not len(cells):
         raise ValueError("no cell has enough rows")
-    cells["support"] = cells["noisy"].round().astype(int)
+    cells["level"], cells["support"] = cells["level"].astype("int64"), cells["noisy"].round().astype("int64")
     ledger.seal()
     if ledger.remaining > 0.02 * epsilon:
         notes.append("a part of the budget was not spent")
