@@ -7,8 +7,9 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema
-from hushtable.operators import correct, counts, distances, ranks, select, stage
+from hushtable.operators import correct, counts, decode, distances, ranks, select, stage
 from hushtable.plans.registry import query
+from hushtable.sources import generated
 from hushtable.sources.tables import read_table
 
 ITEMS = Schema(
@@ -196,3 +197,19 @@ def rate_bounds(spark, sf_dir):
     table = correct.conditional_table(private, ITEMS, ("l_quantity",), 2.0, n_min=50, seed=1)
     floor = other.withColumn("l_linestatus", F.when(ranks.unit_hash(ranks.order_key(IDS, 7)) < 0.5, "F").otherwise("O"))
     return correct.bounds(private, {"synthetic": other, "floor": floor}, table, ITEMS, ("l_quantity",), 2.0, n_min=50, seed=1)
+
+
+@query("decoded_rows")
+def decoded_rows(spark, sf_dir):
+    return decode.decode(spark, stage.release(items(spark, sf_dir), ITEMS, COHORTS, n_min=50, seed=1), ITEMS, 500, seed=7)
+
+
+_FIT = " AND ".join(f"{c} BETWEEN {e[0]} AND {e[-1]}" for c, e in ITEMS.numeric.items())
+
+
+@query("parsed_rows", f"SELECT l_orderkey, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus FROM lineitem WHERE l_returnflag IN ('A', 'N', 'R', 'X') AND l_linestatus IN ('F', 'O') AND {_FIT}")
+def parsed_rows(spark, sf_dir):
+    """Each line item as a text of its own, with a header, and read back."""
+    names = [*ITEMS.numeric, *ITEMS.categorical, ITEMS.target]
+    text = F.concat(F.lit("Here it is:\n" + ",".join(names) + "\n"), F.concat_ws(",", *names), F.lit("\nthat is all"))
+    return generated.parse_generated(items(spark, sf_dir).select("l_orderkey", text.alias("text")), ITEMS, key="l_orderkey")
