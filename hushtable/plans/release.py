@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema
-from hushtable.operators import correct, counts, decode, distances, ranks, select, stage
+from hushtable.operators import correct, counts, decode, distances, ranks, scores, select, stage
 from hushtable.plans.registry import query
 from hushtable.sources import generated
 from hushtable.sources.tables import read_table
@@ -213,3 +213,8 @@ def parsed_rows(spark, sf_dir):
     names = [*ITEMS.numeric, *ITEMS.categorical, ITEMS.target]
     text = F.concat(F.lit("Here it is:\n" + ",".join(names) + "\n"), F.concat_ws(",", *names), F.lit("\nthat is all"))
     return generated.parse_generated(items(spark, sf_dir).select("l_orderkey", text.alias("text")), ITEMS, key="l_orderkey")
+
+
+@query("quantity_auc", "WITH c AS (SELECT l_quantity AS s, count(*) FILTER (l_linestatus = 'F') AS pos, count(*) FILTER (l_linestatus <> 'F') AS neg FROM lineitem WHERE l_quantity IS NOT NULL AND l_linestatus IS NOT NULL GROUP BY 1), r AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM c) SELECT round(sum(pos * (before + neg / 2)) / (sum(pos)::DOUBLE * sum(neg)), 9) AS auc, sum(pos)::BIGINT AS positives, sum(neg)::BIGINT AS negatives FROM r")
+def quantity_auc(spark, sf_dir):
+    return scores.auc(items(spark, sf_dir), F.col("l_quantity"), F.col("l_linestatus") == "F")
