@@ -159,13 +159,9 @@ def filter_of(ids: DataFrame) -> dict[int, bytes]:
     return {r["k"]: bytes(r["bits"]) for r in rows}
 
 
-def sets_of(ids: DataFrame, docs: DataFrame, unique: bool, width: int, kind: str) -> DataFrame:
-    """The sets of some documents, made anew from their texts.
-
-    A filter of fixed size picks the documents while the texts are read, so that no other text or set is shuffled. What it
-    lets through beyond them finds no partner.
-    """
-    held = docs.sparkSession.sparkContext.broadcast(filter_of(ids))
+def passing(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose id is one of these, and few others: a filter of fixed size picks them before anything is shuffled."""
+    held = rows.sparkSession.sparkContext.broadcast(filter_of(ids))
 
     def run(frames):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
@@ -173,14 +169,24 @@ def sets_of(ids: DataFrame, docs: DataFrame, unique: bool, width: int, kind: str
             bits[(k - 1) * 4096 : (k - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
         for frame in frames:
             p = frame["p"].to_numpy() - 1
-            frame = frame[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1]
-            if not len(frame):
-                continue
-            for part in slices(frame):
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "s": [s.tobytes() for s in shingles(part["text"].tolist(), width)]})
+            yield frame[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1].drop(columns="p")
+
+    return rows.withColumn("p", place("id")).mapInPandas(run, rows.schema)
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, unique: bool, width: int, kind: str) -> DataFrame:
+    """The sets of some documents, made anew from their texts, which are picked while they are read.
+
+    What the filter lets through beyond them finds no partner.
+    """
+
+    def run(frames):
+        for frame in frames:
+            if len(frame):
+                for part in slices(frame):
+                    yield pd.DataFrame({"id": part["id"].to_numpy(), "s": [s.tobytes() for s in shingles(part["text"].tolist(), width)]})
 
-    read = docs.where("id is not null").select("id", "text", place("id").alias("p"))
-    found = read.mapInPandas(run, f"id {kind}, s binary")
+    found = passing(docs.where("id is not null").select("id", "text"), ids).mapInPandas(run, f"id {kind}, s binary")
     return materialize(found if unique else found.distinct())
 
 
@@ -357,7 +363,8 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         if sets is None or not wanted.isEmpty():
             more = sets_of(wanted, base, unique, width, kind)
             sets = more if sets is None else sets.union(more.join(wanted, "id", "left_semi"))
-        done = materialize(verify(pairs, sets, unique, num, den, kind))
+        asked = passing(sets, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
+        done = materialize(verify(pairs, asked, unique, num, den, kind))
         answers = done if answers is None else answers.union(done)
         links = done.where("linked").select("a", "b")
         if not links.isEmpty():
