@@ -24,21 +24,17 @@ def features(schema: Schema) -> list[Column]:
     return out
 
 
-def nearest(queries: DataFrame, rows: DataFrame, schema: Schema, most: int = 20_000) -> DataFrame:
-    """Adds `distance`: from each query to the nearest row, Euclidean over scaled numbers and one-hot categories.
+def _names(schema: Schema) -> list[str]:
+    return [f"_n_{c}" for c in schema.numeric] + [f"_c_{c}" for c in schema.categorical]
 
-    A stated set of queries against all rows: the queries' distinct features, at most `most` (more are refused), go to all
-    tasks; each task keeps its least distance a query, and these are reduced. Without rows the distance is null.
+
+def _least(points: pd.DataFrame, rows: DataFrame, schema: Schema) -> DataFrame:
+    """The least distance of each point, named by its place `at`, to the features in `rows`; points without one are left out.
+
+    The points go to all tasks; each task keeps its least distance a point, and these are reduced.
     """
-    columns = features(schema)
-    names = [f"_n_{c}" for c in schema.numeric] + [f"_c_{c}" for c in schema.categorical]
     numbers = len(schema.numeric)
-    asked = queries.select("*", *columns)
-    points = asked.select(*names).distinct().limit(most + 1).toPandas()
-    if len(points) > most:
-        raise ValueError(f"more than {most} different queries")
-    spark = queries.sparkSession
-    held = spark.sparkContext.broadcast(points.to_numpy(float))
+    held = rows.sparkSession.sparkContext.broadcast(points[_names(schema)].to_numpy(float))
 
     def run(frames):
         q = held.value
@@ -55,18 +51,50 @@ def nearest(queries: DataFrame, rows: DataFrame, schema: Schema, most: int = 20_
         seen = np.flatnonzero(np.isfinite(least))
         yield pd.DataFrame({"at": seen, "d": least[seen]})
 
-    found = rows.select(*columns).mapInPandas(run, "at long, d double").groupBy("at").agg(F.min("d").alias("d"))
-    table = spark.createDataFrame(points.assign(at=np.arange(len(points))), ", ".join(f"`{n}` double" for n in names) + ", at long")
-    told = table.join(found, "at", "left").select(*names, F.round(F.sqrt("d"), 9).alias("distance"))
+    found = rows.mapInPandas(run, "at long, d double").groupBy("at").agg(F.min("d").alias("d"))
+    return found.select("at", F.round(F.sqrt("d"), 9).alias("distance"))
+
+
+def nearest(queries: DataFrame, rows: DataFrame, schema: Schema, most: int = 20_000) -> DataFrame:
+    """Adds `distance`: from each query to the nearest row, Euclidean over scaled numbers and one-hot categories.
+
+    A stated set of queries against all rows: the queries' distinct features, at most `most` (more are refused), go to all
+    tasks; each task keeps its least distance a query, and these are reduced. Without rows the distance is null.
+    """
+    columns, names = features(schema), _names(schema)
+    asked = queries.select("*", *columns)
+    points = asked.select(*names).distinct().limit(most + 1).toPandas()
+    if len(points) > most:
+        raise ValueError(f"more than {most} different queries")
+    table = queries.sparkSession.createDataFrame(points.assign(at=np.arange(len(points))), ", ".join(f"`{n}` double" for n in names) + ", at long")
+    told = table.join(_least(points, rows.select(*columns), schema), "at", "left").select(*names, "distance")
     return asked.join(F.broadcast(told), names, "left").select(*queries.columns, "distance")  # at most `most` rows
 
 
 def closer_share(queries: DataFrame, train: DataFrame, holdout: DataFrame, schema: Schema, most: int = 20_000) -> DataFrame:
     """One row (n, share): how many of the queries lie nearer to the training rows than to the held-out ones; ties count half.
 
-    About a half is expected of rows that copy nothing, given two tables of the same size.
+    About a half is expected of rows that copy nothing, given two tables of the same size. All queries count: their
+    distinct features, with their numbers of rows, are taken in blocks of about `most`, one after another.
     """
-    near = nearest(queries, train, schema, most).withColumnRenamed("distance", "_train")
-    both = nearest(near, holdout, schema, most)
-    score = F.when(F.col("_train") < F.col("distance"), 1.0).when(F.col("_train") == F.col("distance"), 0.5).when(F.col("_train") > F.col("distance"), 0.0)
-    return both.agg(F.count(score).alias("n"), F.round(F.avg(score), 9).alias("share"))
+    columns, names = features(schema), _names(schema)
+    points = queries.select(*columns).groupBy(*names).agg(F.count(F.lit(1)).alias("_rows")).persist()
+    tables = [df.select(*columns).distinct().persist() for df in (train, holdout)]
+    blocks = max(1, -(-points.count() // most))
+    n, score = 0, 0.0
+    for block in range(blocks):
+        part = points.where(F.pmod(F.xxhash64(*names), F.lit(blocks)) == block).toPandas()
+        near = []
+        for table in tables:
+            found = _least(part, table, schema).toPandas()
+            d = np.full(len(part), np.nan)
+            d[found["at"].to_numpy(int)] = found["distance"].to_numpy(float)
+            near.append(d)
+        told = np.isfinite(near[0]) & np.isfinite(near[1])
+        rows = part["_rows"].to_numpy(np.int64)[told]
+        n += int(rows.sum())
+        score += float((rows * ((near[0] < near[1]) + 0.5 * (near[0] == near[1]))[told]).sum())
+    for table in (points, *tables):
+        table.unpersist()
+    made = queries.sparkSession.createDataFrame([(n, score / n if n else None)], "n long, share double")
+    return made.select("n", F.round("share", 9).alias("share"))

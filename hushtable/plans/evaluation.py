@@ -94,6 +94,16 @@ def closer_share(spark, sf_dir):
     return closest.closer_share(other.where("l_orderkey % 100 = 3"), private.where("l_orderkey % 4 = 0"), private.where("l_orderkey % 4 = 2"), ITEMS)
 
 
+_EVERY_ROW = f"WITH asked AS (SELECT {', '.join(IDS)}, {_POINT} FROM lineitem WHERE l_orderkey % 2 = 1)"
+
+
+@query("closer_share_whole", f"{_EVERY_ROW} SELECT count(*) AS n, round(avg(CASE WHEN a.distance < b.distance THEN 1.0::DOUBLE WHEN a.distance = b.distance THEN 0.5 ELSE 0 END), 9) AS share FROM asked JOIN {_NEAR('l_orderkey % 4 = 0')} a USING ({_NAMES}) JOIN {_NEAR('l_orderkey % 4 = 2')} b USING ({_NAMES})")
+def closer_share_whole(spark, sf_dir):
+    """The share over every other row; `closer_share` states it of the hundredth that its SQL names."""
+    private, other = halves(spark, sf_dir)
+    return closest.closer_share(other, private.where("l_orderkey % 4 = 0"), private.where("l_orderkey % 4 = 2"), ITEMS)
+
+
 @query("students")
 def students_(spark, sf_dir):
     private, other = halves(spark, sf_dir)

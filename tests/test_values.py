@@ -79,6 +79,16 @@ def test_copies_are_closer(spark):
     assert closest.closer_share(sa, sb, sb, SCHEMA).first()["share"] == 0.5
 
 
+def test_closer_share_takes_all_queries_in_blocks(spark):
+    (a, sa), (b, sb), (c, sc) = table(spark, 90, 1), table(spark, 80, 2), table(spark, 120, 3)
+    far = lambda p, t: np.sqrt((((p.x - t.x) / 10) ** 2 + (p.z - t.z) ** 2 + 2 * (p.c != t.c)).min()).round(9)
+    score = [(far(r, b) < far(r, c)) + 0.5 * (far(r, b) == far(r, c)) for r in a.itertuples()]
+    got = closest.closer_share(sa.union(sa.where("id < 5")), sb, sc, SCHEMA, most=20).first()
+    assert got["n"] == 95 and abs(got["share"] - (sum(score) + sum(score[:5])) / 95) < 1e-8
+    assert tuple(closest.closer_share(sa, sb.limit(0), sc, SCHEMA).first()) == (0, None)
+    assert tuple(closest.closer_share(sa.limit(0), sb, sc, SCHEMA).first()) == (0, None)
+
+
 def test_students_learn(spark):
     (_, sa), (_, sb) = table(spark, 600, 1), table(spark, 600, 2)
     got = students.students(sa, sb, SCHEMA, 1).collect()
