@@ -22,14 +22,17 @@ BEGINNINGS = (4, 5, 6)
 def segments(places: list[int], gains: list[float], cost: float = COST) -> list[tuple[float, int, int]]:
     """All maximal scoring segments (score, first, last token), in linear time.
 
-    `places` are the tokens with evidence, in order; all others cost `cost`. Candidates are kept on a list with the
-    running total at their left and right end; a new one swallows those that it improves on.
+    `places` are the tokens with a gain of their own, below 0 too, in order; all others cost `cost`. Candidates are kept on
+    a list with the running total at their left and right end; a new one swallows those that it improves on.
     """
     kept: list[list[float]] = []  # left total, right total, first, last, which kept one stood before with a smaller left total
     total, last = 0.0, -1
     for place, gain in zip(places, gains):
         total -= cost * (place - last - 1)
         last = place
+        if gain <= 0:
+            total += gain
+            continue
         left, right, first = total, total + gain, place
         total = right
         while True:
@@ -59,21 +62,19 @@ def forms(word: str) -> tuple:
     return (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k))
 
 
-def value_of(word: str, lexicon: dict[str, float]) -> float:
-    return max(lexicon.get(f, 0.0) for f in forms(word))
+def value_of(word: str, lexicon: dict[str, float]) -> float | None:
+    return max((lexicon[f] for f in forms(word) if f in lexicon), default=None)
 
 
 def gains_of(text: str | None, lexicon: dict[str, float], values: Values | None = None):
-    """Places and gains of a text's lexicon words, and its number of tokens; the k-th time a word gains 1/k of its log-odds."""
+    """Places and gains of a text's lexicon words, and its number of tokens; a word gains its log-odds wherever it stands."""
     tokens = TOKENS.findall(text.lower()) if text else []
     worth = values if values is not None else Values(lexicon)
     places, gains = [], []
-    seen: Counter = Counter()
     for i, value in enumerate(map(worth.__getitem__, tokens)):
-        if value:
-            seen[tokens[i]] += 1
+        if value is not None:
             places.append(i)
-            gains.append(value / seen[tokens[i]])
+            gains.append(value)
     return places, gains, len(tokens)
 
 
@@ -84,20 +85,20 @@ class Values(dict):
         super().__init__()
         self.lexicon, self.most = lexicon, most
 
-    def __missing__(self, word: str) -> float:
+    def __missing__(self, word: str) -> float | None:
         if len(self) > self.most:
             self.clear()
         self[word] = out = value_of(word, self.lexicon)
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = 6000, strength: float = 100.0, sure: float = 4.0, least: float = 2.0, most_words: int = 20_000, text: str = "text", key: str = "doc_id") -> dict | None:
+def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int = 6000, strength: float = 100.0, sure: float = 4.0, most_words: int = 20_000, text: str = "text", key: str = "doc_id") -> dict | None:
     """Fit log-odds, the law of clean texts' best scores, and the final calibration.
 
     Uses about `most` labelled documents of each class, chosen by a hash of their id. A word's log-odds compare the
     shares of toxic and clean documents that have it, under a Dirichlet prior of `strength` pseudo-documents spread as
-    in both classes together; words whose log-odds exceed `least`, and 0 by `sure` standard errors, make the lexicon (the `most_words`
-    surest at most). Two Spark jobs gather word counts and segment scores; None without labels of both classes.
+    in both classes together; words whose log-odds differ from 0 by `sure` standard errors, however mild or negative, make the lexicon
+    (the `most_words` surest at most). Two Spark jobs gather word counts and segment scores; None without labels of both classes.
     """
     rows = labels.selectExpr(f"`{key}` as id", f"cast(`{target}` as int) as y").where("y in (0, 1)")
     sample = docs.selectExpr(f"`{key}` as id", f"`{text}` as text").join(F.broadcast(bounded_sample(rows, "id", "y", most)), "id").select("id", "text", "y")
@@ -121,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int =
             s.clear()
 
     counts = sample.mapInPandas(count, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = counts.where("word is null or toxic >= 2").persist()
+    counts = counts.where("word is null or toxic + clean >= 2").persist()
     total = counts.where("word is null").collect()
     if not total or not total[0]["toxic"] or not total[0]["clean"]:
         counts.unpersist()
@@ -131,7 +132,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int =
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (toxic + strength - a + 0.5)) - F.log(b / (clean + strength - b + 0.5))
     found = counts.where("word is not null").select("word", odds.alias("odds"), (odds / F.sqrt(1 / a + 1 / b)).alias("z"))
-    lexicon = {r["word"]: r["odds"] for r in found.where((F.col("z") > sure) & (F.col("odds") > least)).orderBy(F.desc("z"), "word").limit(most_words).collect()}
+    lexicon = {r["word"]: r["odds"] for r in found.where(F.abs("z") > sure).orderBy(F.desc(F.abs("z")), "word").limit(most_words).collect()}
     counts.unpersist()
 
     def best(frames):

@@ -112,6 +112,23 @@ def test_segments_against_brute_force():
         assert (abs(max(s for s, _, _ in got) - best) < 1e-9) if got else best <= 0
 
 
+def test_equal_passages_get_equal_segments(spark):
+    passage, calm = "vile brute vile vile brute", "the cat sat on a mat " * 500
+    for lexicon in ({"vile": 3.0, "brute": 1.0}, {"vile": 3.0, "brute": 1.0, "cat": -0.5}):
+        model = {"lexicon": lexicon, "tail": (1.0, 1e-3), "logistic": (1.0, -1.0)}
+        docs = docs_of(spark, [f"vile {calm}" + f"{passage} {calm}" * 10, passage])
+        long, short = (r.segments for r in toxicity.score(docs, model, spans=True).orderBy("doc_id").collect())
+        assert [s.score for s in short] == [11.0] and [s.score for s in long] == [3.0] + [11.0] * 10
+        assert {s.last - s.first for s in long[1:]} == {4}
+
+
+def test_milder_words_keep_their_log_odds(spark):
+    docs = docs_of(spark, [" ".join(w for w, k in (("vile", 4), ("mild", 6), ("kind", 1)) if i % 10 < k) + " x" if i < 200 else " ".join(w for w, k in (("mild", 2), ("kind", 6)) if i % 10 < k) + " x" for i in range(400)])
+    labels = spark.createDataFrame([(i, int(i < 200)) for i in range(400)], "doc_id long, toxic int")
+    lexicon = toxicity.train(docs, labels)["lexicon"]
+    assert 0 < lexicon["mild"] < 2 and lexicon["kind"] < 0 < lexicon["vile"] and "x" not in lexicon
+
+
 def test_scores_without_labels_or_text(spark):
     docs = docs_of(spark, [None, "", "word"])
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
