@@ -350,7 +350,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     sets = None
     if not unique:
         shared = told.where("n > 0").join(reps.select(*classes, F.col("id").alias("rep")), classes).where("id <> rep").selectExpr("rep as a", "id as b")
-        labels = components(shared.join(reps.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b"))
+        labels = components(shared)
     for most_pairs in TURNS:
         found = materialize(open_pairs(lists, labels, answers, reps, most_pairs, num, den, kind))
         pairs = materialize(found.where("a <> b").select("a", "b").distinct())
@@ -373,4 +373,6 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         labels = docs.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     named = materialize(reps.select(*classes, F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("id"), "left").select(*classes, F.coalesce("component", "rep").alias("component")))
     out = told.select("id", *classes).join(named, classes, "left")
+    if not unique:  # an empty text of an id with others
+        out = out.join(labels.select("id", F.col("component").alias("tied")), "id", "left").withColumn("component", F.coalesce("component", "tied"))
     return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

@@ -73,6 +73,14 @@ def test_jaccard_join_against_brute_force(spark, width, num):
     assert got == {i: (len(s), root(i)) for i, s in enumerate(sets)}
 
 
+def test_rows_that_share_an_id_link_as_one(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(20)) for x in "abc")
+    rows = [(1, a), (2, b), (3, a), (3, b), (5, c), (7, None), (9, c), (9, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.join(docs).collect()}
+    assert got == {(1, 18, 1), (2, 18, 1), (3, 18, 1), (5, 18, 5), (7, 0, 7), (9, 18, 5), (9, 0, 5), (None, 18, 1)}
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(300, 8))
