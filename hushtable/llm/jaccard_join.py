@@ -1,4 +1,4 @@
-"""Exact Jaccard join on word shingles, by index lists that are skipped in blocks and answers derived from similar sets."""
+"""Exact components of a Jaccard join on word shingles, by index lists skipped in blocks and distances known before."""
 
 from __future__ import annotations
 
