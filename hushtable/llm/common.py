@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections import defaultdict
@@ -9,14 +10,17 @@ from collections import defaultdict
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BASE = np.uint64(0x100000001B3)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; on one machine a folder of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -26,7 +30,66 @@ def materialize(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back: lineage ends there and no executor's loss can undo it."""
     path = f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Remove materialised tables that nothing reads any more."""
+    for df in tables:
+        if df is not None:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.written)
+            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hold an Arrow batch to so many rows in this session, unless it is held to fewer: texts are long, and both ends of
+    the pipe keep a whole batch in memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
+def over_texts(docs: DataFrame, names: list[str], text: str, made: str, start, most: int = 2_000_000) -> DataFrame:
+    """The columns `names` of every row untouched, and next to them the columns `made` (a schema) from its whole text.
+
+    `start()` is called once a task; what it returns is called with lists of texts of about `most` characters together and
+    gives a list or array for each made column. Kept columns never leave Arrow, so ids of any type stay what they are. A
+    kept column with the name of a made one is called <name>_input.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    fields = T.StructType.fromDDL(made) if isinstance(made, str) else made
+    taken = {f.name for f in fields}
+    kept = []
+    for name in names:
+        new = name
+        while new in taken:
+            new += "_input"
+        taken.add(new)
+        kept.append(new)
+    picked = docs.select(*[docs[f"`{n}`"].alias(f"_{i}") for i, n in enumerate(names)], docs[f"`{text}`"].alias("_text"))
+    schema = T.StructType([T.StructField(k, picked.schema[f"_{i}"].dataType) for i, k in enumerate(kept)] + list(fields))
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        work = start()
+        kinds = [to_arrow_type(f.dataType) for f in fields]
+        for batch in batches:
+            own = batch.column(batch.num_columns - 1)
+            sizes = np.cumsum(pc.fill_null(pc.utf8_length(own), 0).to_numpy(zero_copy_only=False)) // most
+            cuts = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if b > a:
+                    got = work(own.slice(a, b - a).to_pylist())
+                    done = [pa.array(x, kind, from_pandas=True) for x, kind in zip(got, kinds)]
+                    yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in batch.columns[:-1]] + done, names=schema.names)
+
+    return picked.mapInArrow(run, schema)
 
 
 def remainder(column: str, n: int):
@@ -35,7 +98,7 @@ def remainder(column: str, n: int):
 
 
 def portion(column: str, salt: int = 0):
-    """A number from 0 to 1 that depends on an id alone; null ids get 0."""
+    """A number from 0 to 1 that depends on an id alone; all null ids get the same one."""
     return F.pmod(F.xxhash64(F.lit(salt), F.col(column)), F.lit(1 << 30)) / float(1 << 30)
 
 

@@ -1,4 +1,4 @@
-"""Exact components of a Jaccard join on word shingles, by index lists skipped in blocks and distances known before."""
+"""Exact components and links of a Jaccard join on word shingles, by index lists skipped in blocks and answers carried over."""
 
 from __future__ import annotations
 
@@ -6,21 +6,22 @@ import zlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushtable.llm.common import materialize, mix, slices, word_ids
+from hushtable.llm.common import forget, materialize, mix, over_texts, shared_dir, small_batches, word_ids
 
 #: Slots of the frequency sketch, and the parts in which it travels.
 SLOT_BITS = 21
 CHUNKS = 32
-#: Words of 64 bits in a set's parity mark, and bits of the filter of wanted ids.
-MARK = 8
+#: Bits of a set's parity mark, and of the filter of wanted ids.
+MARK = 512
 FILTER_BITS = 1 << 25
-#: Lists of up to so many places give all their open pairs at once.
-SHORT = 8
-#: How many open pairs each place of a list may give in each turn; in the last one all that are left.
-TURNS = (1, 8, 64, None)
+#: In turn t a place meets the places before it in its list that are REACH[t] or more and less than REACH[t + 1] away; the
+#: reach goes on growing eightfold until no list is left that is longer.
+REACH = (1, 8)
+#: Lists with more places than this are cut into blocks of so many places, which are met in pairs by different tasks.
+BLOCK = 1024
 
 
 def shingles(texts: list, width: int) -> list[np.ndarray]:
@@ -57,15 +58,22 @@ def slot_of(h: np.ndarray) -> np.ndarray:
 
 def sketch(docs: DataFrame, width: int) -> np.ndarray:
     """How many (document, shingle) pairs fall in each of a fixed number of slots: a bounded picture of what is common."""
+    small_batches(docs.sparkSession)
 
     def count(frames):
         from pyspark import TaskContext
 
         total = np.zeros(1 << SLOT_BITS, np.int64)
         for frame in frames:
-            for part in slices(frame):
-                for s in shingles(part["text"].tolist(), width):
-                    np.add.at(total, slot_of(s), 1)
+            texts, held, size = [], frame["text"].tolist(), 0
+            for t in [*held, None]:
+                if t is not None:
+                    texts.append(t)
+                    size += len(t)
+                if texts and (size > 1_000_000 or t is None):
+                    for s in shingles(texts, width):
+                        np.add.at(total, slot_of(s), 1)
+                    texts, size = [], 0
         group = TaskContext.get().partitionId() % 64
         for k, part in enumerate(np.split(total, CHUNKS)):
             yield pd.DataFrame({"chunk": [k], "grp": [group], "n": [zlib.compress(part.astype("<u4" if part.max() < 1 << 32 else "<u8").tobytes(), 1)], "wide": [bool(part.max() >= 1 << 32)]})
@@ -75,7 +83,7 @@ def sketch(docs: DataFrame, width: int) -> np.ndarray:
         return pd.DataFrame({"chunk": [frame["chunk"].iloc[0]], "grp": [0], "n": [zlib.compress(total.astype("<u8").tobytes(), 1)], "wide": [True]})
 
     kind = "chunk int, grp int, n binary, wide boolean"
-    counts = docs.select("text").mapInPandas(count, kind)
+    counts = docs.where("text is not null").select("text").mapInPandas(count, kind)
     counts = counts.groupBy("chunk", "grp").applyInPandas(add, kind).groupBy("chunk").applyInPandas(add, kind)
     out = np.zeros(1 << SLOT_BITS, np.uint32)
     size = len(out) // CHUNKS
@@ -96,56 +104,56 @@ def profiles(docs: DataFrame, width: int, num: int, den: int, common: np.ndarray
     """
     held = docs.sparkSession.sparkContext.broadcast(common)
 
-    def run(frames):
+    def start():
         order_of = held.value
-        for frame in frames:
-            for part in slices(frame):
-                sets = shingles(part["text"].tolist(), width)
-                rare, sums, marks = [], [], []
-                for s in sets:
-                    n = len(s)
-                    take = n + (-num * n // den) + 1 if n else 0
-                    order = np.lexsort((s, order_of[slot_of(s)]))[:take]
-                    rare.append(s[order].view(np.int64))
-                    odd = np.bincount((mix(s) & np.uint64(64 * MARK - 1)).astype(np.int64), minlength=64 * MARK) & 1
-                    marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
-                    sums.append((int(mix(s).sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x6A09E667F3BCC908)).sum(dtype=np.uint64).view(np.int64))))
-                f = np.array(sums, np.int64).reshape(-1, 2)
-                yield pd.DataFrame({"id": part["id"].to_numpy(), "n": np.fromiter(map(len, sets), np.int64, len(sets)), "f1": f[:, 0], "f2": f[:, 1], "mark": marks, "rare": rare})
-
-    return docs.mapInPandas(run, f"id {docs.schema['id'].dataType.simpleString()}, n long, f1 long, f2 long, mark array<long>, rare array<long>")
 
+        def work(texts):
+            n, f1, f2, marks, rare = [], [], [], [], []
+            for s in shingles(texts, width):
+                take = len(s) + (-num * len(s) // den) + 1 if len(s) else 0
+                rare.append(s[np.lexsort((s, order_of[slot_of(s)]))[:take]].view(np.int64))
+                odd = np.bincount((mix(s) & np.uint64(MARK - 1)).astype(np.int64), minlength=MARK) & 1
+                marks.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                n.append(len(s))
+                f1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)))
+                f2.append(int(mix(s ^ np.uint64(0x6A09E667F3BCC908)).sum(dtype=np.uint64).view(np.int64)))
+            return n, f1, f2, marks, rare
 
-def needed(a, b, num: int, den: int):
-    """The least common shingles of two sets of these sizes that link: 100 i >= 90 (a + b - i), solved for i."""
-    return -(-num * (a + b) // (den + num))
+        return work
 
+    return over_texts(docs, ["id"], "text", "n int, f1 long, f2 long, mark binary, rare array<long>", start, 1_000_000)
 
-def runs(frames):
-    """Frames sorted by token, cut so that no token's rows are in two."""
-    rest = None
-    for frame in frames:
-        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
-        last = np.searchsorted(frame["token"].to_numpy(), frame["token"].iloc[-1]) if len(frame) else 0
-        rest = frame.iloc[last:]
-        if last:
-            yield frame.iloc[:last]
-    if rest is not None and len(rest):
-        yield rest
 
+def needed(a, b, num: int, den: int):
+    """The least common shingles of two sets of these sizes that link: 100 i >= 90 (a + b - i), solved for i."""
+    return -(-num * (a + b) // (den + num))
 
-def index_lists(reps: DataFrame, kind: str) -> DataFrame:
-    """The places (token, id, n, pos) of all index lists that hold at least two sets."""
 
-    def run(frames):
-        for frame in runs(frames):
-            token = frame["token"].to_numpy()
-            same = token[1:] == token[:-1]
-            yield frame[np.append(same, False) | np.append(False, same)]
+def index_lists(reps: DataFrame, block: int) -> DataFrame:
+    """The places of all index lists that hold at least two sets, each list in order of size and position.
 
+    A row is (token, id, np, place, m, mark): size and position as np = n * 2^32 + pos, the place in the list, and the
+    list's length. Lists that a sample of the ids finds long are numbered over sorted partitions, so that none is put
+    whole in a task; the sample decides how a list is numbered, not what is in it.
+    """
     posted = reps.where("id is not null and n > 0").select("id", "n", F.posexplode("rare").alias("pos", "token"))
-    posted = posted.repartition("token").sortWithinPartitions("token")
-    return posted.select("token", "id", "n", "pos").mapInPandas(run, f"token long, id {kind}, n long, pos int")
+    posted = posted.select("token", "id", (F.col("n").cast("long") * (1 << 32) + F.col("pos")).alias("np"))
+    many = posted.where(F.pmod(F.xxhash64("id"), F.lit(16)) == 0).groupBy("token").count().where(F.col("count") > block // 8)
+    many = materialize(many.orderBy(F.desc("count"), "token").select("token").limit(1_000_000))  # 8 MB at most
+    hot = F.broadcast(many)
+    by = Window.partitionBy("token").orderBy("np", "id")
+    lists = posted.join(hot, "token", "left_anti").repartition("token")
+    lists = lists.withColumn("place", F.row_number().over(by).cast("long") - 1).withColumn("m", F.count("*").over(Window.partitionBy("token")))
+    lists = lists.where("m > 1").select("token", "id", "np", "place", "m")
+    if not many.isEmpty():
+        long = posted.join(hot, "token", "left_semi").repartitionByRange("token", "np", "id").sortWithinPartitions("token", "np", "id")
+        long = materialize(long.withColumn("at", F.monotonically_increasing_id()))
+        parts = long.groupBy("token", F.shiftright("at", 33).alias("part")).agg(F.min("at").alias("start"), F.count("*").alias("rows"))
+        before = Window.partitionBy("token").orderBy("part")
+        shift = parts.select("token", "part", (F.sum("rows").over(before) - F.col("rows") - F.col("start")).alias("shift"), F.sum("rows").over(Window.partitionBy("token")).alias("m"))
+        long = long.withColumn("part", F.shiftright("at", 33)).join(shift, ["token", "part"])
+        lists = lists.union(long.where("m > 1").select("token", "id", "np", (F.col("at") + F.col("shift")).alias("place"), "m"))
+    return materialize(lists.join(reps.select("id", "mark"), "id"))
 
 
 def place(column: str):
@@ -159,19 +167,29 @@ def filter_of(ids: DataFrame) -> dict[int, bytes]:
     return {r["k"]: bytes(r["bits"]) for r in rows}
 
 
-def passing(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose id is one of these, and few others: a filter of fixed size picks them before anything is shuffled."""
+def passing(rows: DataFrame, ids: DataFrame, then=None, schema=None) -> DataFrame:
+    """Rows whose id is one of these, and few others: a filter of fixed size picks them before anything is shuffled.
+
+    `then` turns the list of the picked rows' second column into another.
+    """
     held = rows.sparkSession.sparkContext.broadcast(filter_of(ids))
+    small_batches(rows.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
 
-    def run(frames):
         bits = np.zeros(FILTER_BITS // 8, np.uint8)
         for k, part in held.value.items():
             bits[(k - 1) * 4096 : (k - 1) * 4096 + len(part)] = np.frombuffer(part, np.uint8)
-        for frame in frames:
-            p = frame["p"].to_numpy() - 1
-            yield frame[(bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1].drop(columns="p")
+        for batch in batches:
+            p = batch.column(2).to_numpy(zero_copy_only=False) - 1
+            mine = batch.filter(pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+            for at in range(0, mine.num_rows, 200):
+                part = mine.slice(at, 200)
+                second = part.column(1) if then is None else pa.array(then(part.column(1).to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), second], names=["id", "s"])
 
-    return rows.withColumn("p", place("id")).mapInPandas(run, rows.schema)
+    return rows.withColumn("p", place("id")).mapInArrow(run, schema or rows.schema)
 
 
 def sets_of(ids: DataFrame, docs: DataFrame, unique: bool, width: int, kind: str) -> DataFrame:
@@ -179,14 +197,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, unique: bool, width: int, kind: str
 
     What the filter lets through beyond them finds no partner.
     """
-
-    def run(frames):
-        for frame in frames:
-            if len(frame):
-                for part in slices(frame):
-                    yield pd.DataFrame({"id": part["id"].to_numpy(), "s": [s.tobytes() for s in shingles(part["text"].tolist(), width)]})
-
-    found = passing(docs.where("id is not null").select("id", "text"), ids).mapInPandas(run, f"id {kind}, s binary")
+    found = passing(docs.where("id is not null and text is not null").select("id", "text"), ids, lambda texts: [s.tobytes() for s in shingles(texts, width)], f"id {kind}, s binary")
     return materialize(found if unique else found.distinct())
 
 
@@ -221,158 +232,231 @@ def components(edges: DataFrame) -> DataFrame:
         both = now.union(now.selectExpr("v", "u"))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m"))
         large = materialize(both.join(least, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct())
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(least.select("u", "m"))
-        now = materialize(small.distinct())
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m"))
+        new = materialize(small.distinct())
+        forget(now, least, large)
+        now = new
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == size:
             return now.selectExpr("u as id", "v as component")
         size = after
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame | None, reps: DataFrame, most_pairs: int | None, num: int, den: int, kind: str) -> DataFrame:
-    """Pairs of one list whose components differ and which the answers so far leave open.
+def cells_of(lists: DataFrame, lo: int, hi: int, block: int, num: int, den: int) -> DataFrame:
+    """The rows of each pair of blocks of a list that can hold pairs of places from lo to hi apart: (token, cell, far).
+
+    A list of one block is its own only cell. Longer ones are read in pairs of blocks, so that a hot list is met by many
+    tasks. A pair of blocks is skipped where the largest set of the one is too small for the smallest of the other, or
+    where the positions of the one leave too few shingles in common.
+    """
+    rows = lists.withColumn("block", F.floor(F.col("place") / block))
+    short = rows.where(F.col("m") <= block).withColumns({"cell": F.lit(0).cast("long"), "apart": F.lit(0).cast("long")})
+    cut = rows.where(F.col("m") > block)
+    n, left = F.shiftright("np", 32), F.shiftright("np", 32) - F.col("np").bitwiseAND(F.lit((1 << 32) - 1))
+    told = cut.groupBy("token", "block").agg(F.min(n).alias("small"), F.max(n).alias("large"), F.max(left).alias("left"))
+    steps = F.sequence(F.lit(max(0, lo // block - 1)).cast("long"), F.least(F.lit(-(-hi // block)), F.col("block")))
+    pairs = told.where(F.col("block") >= max(0, lo // block - 1)).select("token", "block", "small", "left", F.explode(steps).alias("apart"))
+    pairs = pairs.withColumn("other", F.col("block") - F.col("apart"))
+    before = told.select("token", F.col("block").alias("other"), F.col("small").alias("small_o"), F.col("large").alias("large_o"), F.col("left").alias("left_o"))
+    pairs = pairs.join(before, ["token", "other"])
+    pairs = pairs.where(F.col("large_o") * den >= F.col("small") * num)  # sizes
+    pairs = pairs.where(F.least("left", "left_o") * (den + num) >= F.lit(num) * (F.col("small") + F.col("small_o")))  # positions
+    key = (F.col("block") * F.lit(1 << 20) + F.col("apart")).alias("cell")
+    met = pairs.select("token", key, "apart", "block").union(pairs.where("apart > 0").select("token", key, "apart", F.col("other")))
+    return short.select("token", "cell", "apart", "block", "id", "np", "place", "m", "mark", *extra(lists)).union(
+        cut.join(met, ["token", "block"]).select("token", "cell", "apart", "block", "id", "np", "place", "m", "mark", *extra(lists))
+    )
+
+
+def extra(lists: DataFrame) -> list[str]:
+    return [c for c in ("own", "lead", "far") if c in lists.columns]
 
-    A list is ordered by size and position. Blocks of places are skipped whole where sizes can't link; then pairs whose
-    positions allow too few common shingles, whose parity marks differ in too many cells, or whose known distances from
-    one set answered before (`lead`) differ by more than a link allows, as the difference of sets is a metric. For each
-    place a few pairs are enough, with the nearest places before it that are left: if they link, what either links with
-    is in one component anyway; if not, the next turn goes on. Without `most_pairs` all are returned.
 
-    Returns token, a, b; rows with a = b name further sets that the next turns may ask for. A list without a row has no
-    open pair, and never will.
+def runs(frames):
+    """Frames sorted by token and cell, cut so that no cell's rows are in two."""
+    rest = None
+    for frame in frames:
+        frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+        if not len(frame):
+            continue
+        token, cell = frame["token"].to_numpy(), frame["cell"].to_numpy()
+        same = (token == token[-1]) & (cell == cell[-1])
+        last = len(frame) - int(np.argmin(same[::-1])) if not same.all() else 0
+        rest = frame.iloc[last:]
+        if last:
+            yield frame.iloc[:last].reset_index(drop=True)
+    if rest is not None and len(rest):
+        yield rest.reset_index(drop=True)
+
+
+def owned(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return lists.withColumn("own", F.col("id"))
+    return lists.join(labels, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
+
+
+def mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The lists whose places belong to several components; no other can close a component any more."""
+    if labels is None:
+        return lists
+    tokens = owned(lists.select("token", "id"), labels).groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y"))
+    return lists.join(tokens.where("x <> y").select("token"), "token", "left_semi")
+
+
+def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame | None, lo: int, hi: int, best: bool, block: int, num: int, den: int, kind: str) -> DataFrame:
+    """Pairs of places lo to hi apart in a list which the answers so far leave open: (a, b, y, differ, sure).
+
+    Skipped are: pairs whose components (by `labels`) are one, sizes that can't link, with all that is
+    before them in the list, positions that leave too few common shingles, marks that differ in too many cells, and pairs
+    whose known distances from one set answered before (`lead`) differ by more than a link allows, as the difference of
+    sets is a metric. Where both distances add up to no more than a link allows, the link is `sure`, and carried over from
+    the lead's answers without looking at the sets. With `best` only each set's likeliest pair in each list is returned.
     """
-    begins = answers is None
-    own = F.col("id")
-    rows = lists
-    if labels is not None:
-        rows = rows.join(labels, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
-        rows = materialize(rows)
-        mixed = materialize(rows.groupBy("token").agg(F.min("own").alias("x"), F.max("own").alias("y")).where("x <> y").select("token"))
-        rows = rows.join(mixed, "token", "left_semi")
-    else:
-        rows = rows.withColumn("own", own)
+    rows = owned(lists, labels)
     if answers is not None:
         near = answers.where("linked and far is not null").groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("lead"), "far")).alias("l")).select("id", "l.*")
-        failed = answers.where("not linked")
-        failed = failed.select(F.col("a").alias("id"), F.col("b").alias("other")).union(failed.select("b", "a")).groupBy("id").agg(F.collect_set("other").alias("failed"))
-        rows = rows.join(materialize(near), "id", "left").join(materialize(failed), "id", "left")
+        rows = rows.join(near, "id", "left").withColumn("lead", F.coalesce("lead", "id")).withColumn("far", F.coalesce("far", F.lit(0)))
     else:
-        rows = rows.withColumn("lead", F.lit(None).cast(kind)).withColumn("far", F.lit(None).cast("long")).withColumn("failed", F.lit(None).cast(f"array<{kind}>"))
-    rows = rows.join(reps.select("id", "n", "mark"), ["id", "n"])
+        rows = rows.withColumn("lead", F.col("id")).withColumn("far", F.lit(0).cast("long"))
 
     def run(frames):
         for frame in runs(frames):
-            token, ids, n, pos, own = (frame[c].to_numpy() for c in ("token", "id", "n", "pos", "own"))
-            lead, far = frame["lead"].to_numpy(float), frame["far"].to_numpy(float)
-            mark = np.array(frame["mark"].tolist(), np.int64).reshape(len(frame), MARK).view(np.uint64)
-            failed = frame["failed"].tolist()
+            token, cell, apart, block_of, ids, own, lead, far = (frame[c].to_numpy() for c in ("token", "cell", "apart", "block", "id", "own", "lead", "far"))
+            at, size = frame["place"].to_numpy(), frame["np"].to_numpy()
+            n, left = size >> 32, (size >> 32) - (size & 0xFFFFFFFF)
+            mark = np.frombuffer(b"".join(frame["mark"]), np.uint64).reshape(len(frame), MARK // 64)
             new = np.ones(len(token), bool)
-            new[1:] = token[1:] != token[:-1]
-            start = np.append(np.flatnonzero(new), len(token))
-            out = []
-            long = np.repeat(np.diff(start), np.diff(start))
-            for step in range(1, SHORT):  # short lists, whose pairs are few: all at once, by the distance of their places
-                y = np.flatnonzero((long[step:] <= SHORT) & (token[step:] == token[:-step])) + step
-                x = y - step
+            new[1:] = (token[1:] != token[:-1]) | (cell[1:] != cell[:-1])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(token)), 0))
+            number = np.arange(len(token)) - first
+            alive = np.arange(len(token))
+            held, count, chosen = [], 0, {}
+            step = lo if not (apart > 1).any() else 1
+            while len(alive):
+                alive = alive[number[alive] >= step]
+                y, x = alive, alive - step
+                reach = at[y] - at[x]
+                big = den * n[x] >= num * n[y]  # all places further ahead are smaller still
+                alive = alive[big & (reach + 1 < hi)]
+                fits = big & (reach >= lo) & (reach < hi) & (own[y] != own[x]) & ((apart[y] == 0) | (block_of[y] != block_of[x]))
+                y, x = y[fits], x[fits]
                 least = needed(n[y], n[x], num, den)
                 most = n[y] + n[x] - 2 * least
-                fits = (own[y] != own[x]) & (np.minimum((n - pos)[y], (n - pos)[x]) >= least)
-                fits &= ~((lead[y] == lead[x]) & (np.abs(far[y] - far[x]) > most))
+                fits = (np.minimum(left[y], left[x]) >= least) & ~((lead[y] == lead[x]) & (np.abs(far[y] - far[x]) > most))
                 y, x, most = y[fits], x[fits], most[fits]
-                fits = np.bitwise_count(mark[y] ^ mark[x]).sum(axis=1, dtype=np.int64) <= most
-                y, x = y[fits], x[fits]
-                if not begins:
-                    fits = np.array([failed[i] is None or ids[j] not in failed[i] for i, j in zip(y, x)], bool)
-                    y, x = y[fits], x[fits]
-                out.append(pd.DataFrame({"a": np.minimum(ids[y], ids[x]), "b": np.maximum(ids[y], ids[x]), "token": token[y]}))
-            for lo, hi in zip(start[:-1][np.diff(start) > SHORT], start[1:][np.diff(start) > SHORT]):
-                if own[lo:hi].min() == own[lo:hi].max():
-                    continue
-                found = set()
-                for at in range(lo, hi, 256):
-                    y = np.arange(at, min(at + 256, hi))
-                    least_n = -(-num * n[y[0]] // den)
-                    first = lo + np.searchsorted(n[lo:hi], least_n, side="left")  # smaller sets link with none of the block
-                    to = y[-1] + 1
-                    while len(y) and to > first:
-                        x = np.arange(max(first, to - 1024), to)
-                        to = x[0]
-                        least = needed(n[y][:, None], n[x][None], num, den)
-                        most = n[y][:, None] + n[x][None] - 2 * least
-                        fits = (own[y][:, None] != own[x][None]) & (x[None] < y[:, None])
-                        fits &= np.minimum((n - pos)[y][:, None], (n - pos)[x][None]) >= least
-                        fits &= ~((lead[y][:, None] == lead[x][None]) & (np.abs(far[y][:, None] - far[x][None]) > most))
-                        for k in range(len(y)):
-                            if failed[y[k]] is not None and len(failed[y[k]]):
-                                fits[k] &= ~np.isin(ids[x], failed[y[k]])
-                        i, j = np.nonzero(fits)
-                        differ = np.bitwise_count(mark[y[i]] ^ mark[x[j]]).sum(axis=1, dtype=np.int64)
-                        ok = differ <= most[i, j]
-                        i, j, differ = i[ok], j[ok], differ[ok]
-                        if begins:
-                            found.update((x, x) for x in np.unique(ids[x[j]]).tolist())
-                        if most_pairs is not None and len(i):
-                            order = np.lexsort((-j, differ, i))
-                            order = order[np.arange(len(i)) - np.searchsorted(i[order], i[order]) < most_pairs]
-                            i, j = i[order], j[order]
-                        found.update(zip(np.minimum(ids[y[i]], ids[x[j]]).tolist(), np.maximum(ids[y[i]], ids[x[j]]).tolist()))
-                        if most_pairs is not None:
-                            y = np.setdiff1d(y, y[i], assume_unique=True)
-                if found:
-                    out.append(pd.DataFrame(sorted(found), columns=["a", "b"]).assign(token=token[lo]))
-            yield pd.concat(out, ignore_index=True)[["token", "a", "b"]]
-
-    rows = rows.repartition("token").sortWithinPartitions("token", "n", "pos", "id")
-    return rows.select("token", "id", "n", "pos", "own", "lead", "far", "failed", "mark").mapInPandas(run, f"token long, a {kind}, b {kind}")
-
-
-def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
-    """Components of documents whose shingle sets have a Jaccard index of at least num/den: exact, none is lost.
-
-    Equal sets form one class, whose smallest id stands for it. Index lists over the classes' rarest shingles give, in
-    turns, pairs that may link; these are verified on whole sets, and what their answers imply narrows the next turn
-    down, until no pair of different components is left open.
-
-    A text that is null or has no word has an empty set and links with nothing. Rows that share an id are one document
-    whose links are those of all its texts. Rows with a null id get a component only through equal texts.
-    Returns key, n_shingles, component_id.
-    """
+                differ = np.bitwise_count(mark[y] ^ mark[x]).sum(axis=1, dtype=np.int64)
+                fits = differ <= most
+                y, x, most, differ = y[fits], x[fits], most[fits], differ[fits]
+                if len(y):
+                    sure = (lead[y] == lead[x]) & (far[y] + far[x] <= most)
+                    a, b = np.minimum(ids[y], ids[x]), np.maximum(ids[y], ids[x])
+                    held.append(pd.DataFrame({"a": a, "b": b, "y": ids[y], "differ": differ, "sure": sure}))
+                    count += len(y)
+                    if count > 100_000:
+                        yield pd.concat(held)
+                        held, count = [], 0
+                step += 1
+            if held:
+                out = pd.concat(held)
+                yield out.sort_values(["y", "differ", "a", "b"], kind="stable").drop_duplicates("y") if best else out
+
+    rows = cells_of(rows, lo, hi, block, num, den).repartition("token", "cell").sortWithinPartitions("token", "cell", "place")
+    return rows.mapInPandas(run, f"a {kind}, b {kind}, y {kind}, differ long, sure boolean")
+
+
+def search(docs: DataFrame, key: str, text: str, width: int, num: int, den: int, every: bool, block: int):
+    """What join and links share: (profiles, representatives, component labels, answers)."""
+    if not docs.schema[key].dataType.simpleString().startswith(("string", "int", "bigint", "smallint", "tinyint")):
+        raise ValueError(f"{key} must be a string or an integer")
+    shared_dir(docs.sparkSession)
+    small_batches(docs.sparkSession)
     base = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     kind = docs.schema[key].dataType.simpleString()
     told = materialize(profiles(base, width, num, den, sketch(base, width)))
     classes = ["f1", "f2", "n"]
     reps = materialize(told.where("n > 0").groupBy(*classes).agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("mark").alias("mark")))
-    lists = materialize(index_lists(reps, kind))
+    lists = index_lists(reps, block)
     unique = told.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
-    # rows that share an id tie their classes together
-    labels = answers = None
-    sets = None
-    if not unique:
+    labels = answers = sets = None
+    if not unique:  # rows that share an id tie their classes together
         shared = told.where("n > 0").join(reps.select(*classes, F.col("id").alias("rep")), classes).where("id <> rep").selectExpr("rep as a", "id as b")
         labels = components(shared)
-    for most_pairs in TURNS:
-        found = materialize(open_pairs(lists, labels, answers, reps, most_pairs, num, den, kind))
-        pairs = materialize(found.where("a <> b").select("a", "b").distinct())
-        if pairs.isEmpty():
+    reach, best = list(REACH), True
+    while True:
+        lo, hi = reach[-2:]
+        longest = lists.agg(F.max("m")).first()[0]
+        if longest is None or longest <= lo and not best:
             break
-        lists = materialize(lists.join(found.select("token").distinct(), "token", "left_semi"))
-        wanted = found.select(F.col("a").alias("id")).union(found.select("b")).distinct()
-        if sets is not None:
-            wanted = materialize(wanted.join(sets.select("id"), "id", "left_anti"))
-        if sets is None or not wanted.isEmpty():
-            more = sets_of(wanted, base, unique, width, kind)
-            sets = more if sets is None else sets.union(more.join(wanted, "id", "left_semi"))
-        asked = passing(sets, pairs.select(F.col("a").alias("id")).union(pairs.select("b")))
-        done = materialize(verify(pairs, asked, unique, num, den, kind))
+        found = open_pairs(lists, None if every else labels, answers, lo, hi, best, block, num, den, kind)
+        if best:  # each set's likeliest partner over all lists: most components close on these alone
+            found = found.groupBy("y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b", F.lit(False).alias("sure")).distinct()
+        else:
+            found = found.groupBy("a", "b").agg(F.max("sure").alias("sure")).join(answers.select("a", "b"), ["a", "b"], "left_anti")
+        pairs = materialize(found)
+        asked = pairs.where("not sure").select("a", "b")
+        ends = asked.select(F.col("a").alias("id")).union(asked.select("b"))
+        if sets is None:
+            sets = sets_of(ends, base, unique, width, kind)
+        else:
+            wanted = materialize(ends.distinct().join(sets.select("id"), "id", "left_anti"))
+            if not wanted.isEmpty():
+                sets = sets.union(sets_of(wanted, base, unique, width, kind).join(wanted, "id", "left_semi"))
+        done = verify(asked, passing(sets, ends), unique, num, den, kind)
+        done = materialize(done.union(pairs.where("sure").select("a", "b", F.lit(None).cast("long"), F.lit(True))))
         answers = done if answers is None else answers.union(done)
-        links = done.where("linked").select("a", "b")
-        if not links.isEmpty():
-            labels = components(links if labels is None else links.union(labels.selectExpr("id as a", "component as b")))
+        if not every:
+            fresh = done.where("linked").select("a", "b")
+            if not fresh.isEmpty():
+                labels = components(fresh if labels is None else fresh.union(labels.selectExpr("id as a", "component as b")))
+        if not best:
+            reach.append(reach[-1] * 8)
+        best = False
+        rest = materialize(mixed(lists.where(F.col("m") > reach[-2]), None if every else labels))
+        forget(lists)
+        lists = rest
+    return told, reps, labels, answers, unique
+
+
+def join(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100, block: int = BLOCK) -> DataFrame:
+    """Components of documents whose shingle sets have a Jaccard index of at least num/den: exact, none is lost.
+
+    Equal sets form one class, whose smallest id stands for it. Index lists over the classes' rarest shingles give, in
+    turns of growing reach, pairs that may link; these are verified on whole sets, and what their answers imply narrows
+    the next turn down, until no pair of different components is left open. Pairs inside a component aren't looked at:
+    `links` gives them all.
+
+    Ids are strings or integers. A text that is null or has no word has an empty set and links with nothing. Rows that
+    share an id are one document whose links are those of all its texts. Rows with a null id get a component only
+    through equal texts. Returns key, n_shingles, component_id.
+    """
+    kind = docs.schema[key].dataType.simpleString()
+    told, reps, labels, _, unique = search(docs, key, text, width, num, den, False, block)
+    classes = ["f1", "f2", "n"]
     if labels is None:
         labels = docs.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
     named = materialize(reps.select(*classes, F.col("id").alias("rep")).join(labels, F.col("rep") == F.col("id"), "left").select(*classes, F.coalesce("component", "rep").alias("component")))
     out = told.select("id", *classes).join(named, classes, "left")
     if not unique:  # an empty text of an id with others
         out = out.join(labels.select("id", F.col("component").alias("tied")), "id", "left").withColumn("component", F.coalesce("component", "tied"))
-    return out.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+    return out.select(F.col("id").alias(key), F.col("n").cast("long").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))
+
+
+def links(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 3, num: int = 90, den: int = 100, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All links between different sets, and who is in which class: (a, b) of representatives, and (key, class_id, n_links).
+
+    n_links counts the other documents that a document links with, copies of its own text included. Unlike `join` this
+    also answers pairs inside a component, so a group of n texts that all link gives n * (n - 1) / 2 rows. A document
+    without a word is in no class and has no link. Ids must not repeat.
+    """
+    told, reps, _, answers, unique = search(docs, key, text, width, num, den, True, block)
+    if not unique:
+        raise ValueError(f"{key} repeats")
+    classes = ["f1", "f2", "n"]
+    found = answers.where("linked").select("a", "b")
+    members = told.where("n > 0").groupBy(*classes).count().join(reps.select(*classes, F.col("id").alias("class_id")), classes)
+    both = found.select("a", "b").union(found.select("b", "a"))
+    others = both.join(members.select(F.col("class_id").alias("b"), "count"), "b").groupBy(F.col("a").alias("class_id")).agg(F.sum("count").alias("more"))
+    members = members.join(others, "class_id", "left").select(*classes, "class_id", (F.col("count") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"))
+    out = told.select("id", *classes).join(members, classes, "left")
+    return found, out.select(F.col("id").alias(key), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))

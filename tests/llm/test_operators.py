@@ -160,3 +160,71 @@ def test_pipeline_against_brute_force(spark):
     groups = jaccard_join.join(calm, width=cp.WORDS, num=cp.NEAR).toPandas()
     assert sorted(kept.doc_id) == sorted(groups.component_id.unique()) and list(kept.columns) == list(cp.COLUMNS)
     assert calm.where(F.col("text").isNull()).count() == docs.where(F.col("text").isNull()).count()
+
+
+def shingle_sets(texts, width):
+    words = [(t or "").lower().split() for t in texts]
+    return [{tuple(w[i : i + width]) for i in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set() for w in words]
+
+
+def linked(a, b, num):
+    return bool(a and b) and 100 * len(a & b) >= num * len(a | b)
+
+
+def families(seed, n, most):
+    """Groups of near copies of one text, each copy with a few words changed."""
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(n):
+        words = [f"w{rng.randint(0, 300)}" for _ in range(rng.randint(5, 120))]
+        for _ in range(rng.randint(1, most)):
+            copy = list(words)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = f"v{rng.randint(0, 50)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+@pytest.mark.parametrize("block", [3])
+def test_long_lists_in_blocks_and_string_ids(spark, block):
+    texts = families(11, 6, 30)
+    ids = [f"d{(i * 37) % 1000:03}" for i in range(len(texts))]
+    sets = shingle_sets(texts, 3)
+    docs = spark.createDataFrame(list(zip(ids, texts)), "doc_id string, text string")
+    least = dict(zip(ids, ids))
+    changed = True
+    pairs = [(ids[i], ids[j]) for i in range(len(ids)) for j in range(i) if linked(sets[i], sets[j], 90)]
+    while changed:
+        changed = False
+        for a, b in pairs:
+            low = min(least[a], least[b])
+            changed |= least[a] != low or least[b] != low
+            least[a] = least[b] = low
+    got = {r.doc_id: r.component_id for r in jaccard_join.join(docs, block=block).collect()}
+    assert got == least
+
+
+def test_large_ids_beside_null_ones(spark):
+    big = 2**60
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    docs = spark.createDataFrame([(big + 1, a), (big + 2, a), (big + 3, b), (None, b), (big + 4, None)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard_join.join(docs).collect()}
+    assert got == {(big + 1, big + 1), (big + 2, big + 1), (big + 3, big + 3), (None, big + 3), (big + 4, big + 4)}
+
+
+@pytest.mark.parametrize("block", [4])
+def test_all_links_against_brute_force(spark, block):
+    texts = [None, "", "one", "one", *families(12, 8, 12)]
+    sets = shingle_sets(texts, 3)
+    found, members = jaccard_join.links(docs_of(spark, texts), block=block)
+    members = {r.doc_id: (r.class_id, r.n_links) for r in members.collect()}
+    first = {}
+    for i, s in enumerate(sets):
+        if s:
+            first.setdefault(frozenset(s), i)
+    assert {k: v[0] for k, v in members.items()} == {i: first.get(frozenset(s)) for i, s in enumerate(sets)}
+    assert {k: v[1] for k, v in members.items()} == {i: sum(linked(s, o, 90) for j, o in enumerate(sets) if j != i) for i, s in enumerate(sets)}
+    reps = sorted(first.values())
+    want = {(a, b) for a in reps for b in reps if a < b and linked(sets[a], sets[b], 90)}
+    got = [(r.a, r.b) for r in found.collect()]
+    assert set(got) == want and len(got) == len(want)
