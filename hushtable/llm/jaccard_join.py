@@ -132,7 +132,7 @@ def needed(a, b, num: int, den: int):
 def index_lists(reps: DataFrame, block: int) -> DataFrame:
     """The places of all index lists that hold at least two sets, each list in order of size and position.
 
-    A row is (token, id, np, place, m, mark): size and position as np = n * 2^32 + pos, the place in the list, and the
+    A row is (token, id, np, place, m): size and position as np = n * 2^32 + pos, the place in the list, and the
     list's length. Lists that a sample of the ids finds long are numbered over sorted partitions, so that none is put
     whole in a task; the sample decides how a list is numbered, not what is in it.
     """
@@ -153,7 +153,7 @@ def index_lists(reps: DataFrame, block: int) -> DataFrame:
         shift = parts.select("token", "part", (F.sum("rows").over(before) - F.col("rows") - F.col("start")).alias("shift"), F.sum("rows").over(Window.partitionBy("token")).alias("m"))
         long = long.withColumn("part", F.shiftright("at", 33)).join(shift, ["token", "part"])
         lists = lists.union(long.where("m > 1").select("token", "id", "np", (F.col("at") + F.col("shift")).alias("place"), "m"))
-    return materialize(lists.join(reps.select("id", "mark"), "id"))
+    return materialize(lists)
 
 
 def place(column: str):
@@ -167,13 +167,13 @@ def filter_of(ids: DataFrame) -> dict[int, bytes]:
     return {r["k"]: bytes(r["bits"]) for r in rows}
 
 
-def passing(rows: DataFrame, ids: DataFrame, then=None, schema=None) -> DataFrame:
-    """Rows whose id is one of these, and few others: a filter of fixed size picks them before anything is shuffled.
+def texts_of(ids: DataFrame, docs: DataFrame, unique: bool, kind: str) -> DataFrame:
+    """The texts of some documents, packed small: a filter of fixed size picks them while they are read.
 
-    `then` turns the list of the picked rows' second column into another.
+    What the filter lets through beyond them finds no partner. Texts, unlike hashes, compress, so they move instead of sets.
     """
-    held = rows.sparkSession.sparkContext.broadcast(filter_of(ids))
-    small_batches(rows.sparkSession)
+    held = docs.sparkSession.sparkContext.broadcast(filter_of(ids))
+    small_batches(docs.sparkSession)
 
     def run(batches):
         import pyarrow as pa
@@ -184,38 +184,31 @@ def passing(rows: DataFrame, ids: DataFrame, then=None, schema=None) -> DataFram
         for batch in batches:
             p = batch.column(2).to_numpy(zero_copy_only=False) - 1
             mine = batch.filter(pa.array((bits[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
-            for at in range(0, mine.num_rows, 200):
-                part = mine.slice(at, 200)
-                second = part.column(1) if then is None else pa.array(then(part.column(1).to_pylist()), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), second], names=["id", "s"])
-
-    return rows.withColumn("p", place("id")).mapInArrow(run, schema or rows.schema)
-
+            packed = [zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for t in mine.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([mine.column(0), pa.array(packed, pa.binary())], names=["id", "t"])
 
-def sets_of(ids: DataFrame, docs: DataFrame, unique: bool, width: int, kind: str) -> DataFrame:
-    """The sets of some documents, made anew from their texts, which are picked while they are read.
-
-    What the filter lets through beyond them finds no partner.
-    """
-    found = passing(docs.where("id is not null and text is not null").select("id", "text"), ids, lambda texts: [s.tobytes() for s in shingles(texts, width)], f"id {kind}, s binary")
+    found = docs.where("id is not null and text is not null").select("id", "text", place("id").alias("p")).mapInArrow(run, f"id {kind}, t binary")
     return materialize(found if unique else found.distinct())
 
 
-def verify(pairs: DataFrame, sets: DataFrame, unique: bool, num: int, den: int, kind: str) -> DataFrame:
-    """The exact difference of each pair (a, b) of documents, and whether they link."""
+def verify(pairs: DataFrame, texts: DataFrame, unique: bool, width: int, num: int, den: int, kind: str) -> DataFrame:
+    """The exact difference of the sets of each pair (a, b) of documents, and whether they link."""
 
     def compare(frames):
-        for frame in frames:
-            out = []
-            for a, b in zip(frame["sa"], frame["sb"]):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                i = len(np.intersect1d(a, b, assume_unique=True))
-                out.append((len(a) + len(b) - 2 * i, i > 0 and den * i >= num * (len(a) + len(b) - i)))
-            done = pd.DataFrame(out, columns=["far", "linked"])
-            yield pd.concat([frame[["a", "b"]].reset_index(drop=True), done], axis=1)
-
-    left = sets.withColumnRenamed("id", "b").withColumnRenamed("s", "sb")
-    right = sets.withColumnRenamed("id", "a").withColumnRenamed("s", "sa")
+        for whole in frames:
+            for at in range(0, len(whole), 100):
+                frame = whole.iloc[at : at + 100]
+                both = list(set(frame["ta"]) | set(frame["tb"]))
+                sets = dict(zip(both, shingles([zlib.decompress(t).decode("utf-8", "surrogatepass") for t in both], width)))
+                out = []
+                for a, b in zip(map(sets.__getitem__, frame["ta"]), map(sets.__getitem__, frame["tb"])):
+                    i = len(np.intersect1d(a, b, assume_unique=True))
+                    out.append((len(a) + len(b) - 2 * i, i > 0 and den * i >= num * (len(a) + len(b) - i)))
+                done = pd.DataFrame(out, columns=["far", "linked"])
+                yield pd.concat([frame[["a", "b"]].reset_index(drop=True), done], axis=1)
+
+    left = texts.withColumnRenamed("id", "b").withColumnRenamed("t", "tb")
+    right = texts.withColumnRenamed("id", "a").withColumnRenamed("t", "ta")
     done = pairs.join(left, "b").join(right, "a").mapInPandas(compare, f"a {kind}, b {kind}, far long, linked boolean")
     # an id with several texts links if one of them does; its distances then bound nothing
     return done if unique else done.groupBy("a", "b").agg(F.lit(None).cast("long").alias("far"), F.max("linked").alias("linked"))
@@ -243,16 +236,19 @@ def components(edges: DataFrame) -> DataFrame:
         size = after
 
 
-def cells_of(lists: DataFrame, lo: int, hi: int, block: int, num: int, den: int) -> DataFrame:
+def cells_of(rows: DataFrame, lists: DataFrame, longest: int, lo: int, hi: int, block: int, num: int, den: int) -> DataFrame:
     """The rows of each pair of blocks of a list that can hold pairs of places from lo to hi apart: (token, cell, far).
 
     A list of one block is its own only cell. Longer ones are read in pairs of blocks, so that a hot list is met by many
     tasks. A pair of blocks is skipped where the largest set of the one is too small for the smallest of the other, or
     where the positions of the one leave too few shingles in common.
     """
-    rows = lists.withColumn("block", F.floor(F.col("place") / block))
-    short = rows.where(F.col("m") <= block).withColumns({"cell": F.lit(0).cast("long"), "apart": F.lit(0).cast("long")})
-    cut = rows.where(F.col("m") > block)
+    number = F.floor(F.col("place") / block).alias("block")
+    columns = ["token", "cell", "apart", "block", *[c for c in rows.columns if c != "token"]]
+    short = rows.where(F.col("m") <= block).select("*", number, F.lit(0).cast("long").alias("cell"), F.lit(0).cast("long").alias("apart")).select(*columns)
+    if longest <= block:
+        return short
+    cut = lists.where(F.col("m") > block).withColumn("block", number)
     n, left = F.shiftright("np", 32), F.shiftright("np", 32) - F.col("np").bitwiseAND(F.lit((1 << 32) - 1))
     told = cut.groupBy("token", "block").agg(F.min(n).alias("small"), F.max(n).alias("large"), F.max(left).alias("left"))
     steps = F.sequence(F.lit(max(0, lo // block - 1)).cast("long"), F.least(F.lit(-(-hi // block)), F.col("block")))
@@ -264,13 +260,7 @@ def cells_of(lists: DataFrame, lo: int, hi: int, block: int, num: int, den: int)
     pairs = pairs.where(F.least("left", "left_o") * (den + num) >= F.lit(num) * (F.col("small") + F.col("small_o")))  # positions
     key = (F.col("block") * F.lit(1 << 20) + F.col("apart")).alias("cell")
     met = pairs.select("token", key, "apart", "block").union(pairs.where("apart > 0").select("token", key, "apart", F.col("other")))
-    return short.select("token", "cell", "apart", "block", "id", "np", "place", "m", "mark", *extra(lists)).union(
-        cut.join(met, ["token", "block"]).select("token", "cell", "apart", "block", "id", "np", "place", "m", "mark", *extra(lists))
-    )
-
-
-def extra(lists: DataFrame) -> list[str]:
-    return [c for c in ("own", "lead", "far") if c in lists.columns]
+    return short.union(rows.where(F.col("m") > block).withColumn("block", number).join(met, ["token", "block"]).select(*columns))
 
 
 def runs(frames):
@@ -291,6 +281,7 @@ def runs(frames):
 
 
 def owned(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Places with the component `own` of their sets, so far as it is known."""
     if labels is None:
         return lists.withColumn("own", F.col("id"))
     return lists.join(labels, "id", "left").withColumn("own", F.coalesce("component", "id")).drop("component")
@@ -304,16 +295,17 @@ def mixed(lists: DataFrame, labels: DataFrame | None) -> DataFrame:
     return lists.join(tokens.where("x <> y").select("token"), "token", "left_semi")
 
 
-def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame | None, lo: int, hi: int, best: bool, block: int, num: int, den: int, kind: str) -> DataFrame:
+def open_pairs(lists: DataFrame, longest: int, marks: DataFrame, labels: DataFrame | None, answers: DataFrame | None, lo: int, hi: int, best: bool, block: int, num: int, den: int, kind: str) -> DataFrame:
     """Pairs of places lo to hi apart in a list which the answers so far leave open: (a, b, y, differ, sure).
 
     Skipped are: pairs whose components (by `labels`) are one, sizes that can't link, with all that is
     before them in the list, positions that leave too few common shingles, marks that differ in too many cells, and pairs
     whose known distances from one set answered before (`lead`) differ by more than a link allows, as the difference of
     sets is a metric. Where both distances add up to no more than a link allows, the link is `sure`, and carried over from
-    the lead's answers without looking at the sets. With `best` only each set's likeliest pair in each list is returned.
+    the lead's answers without looking at the sets. With `best` only each set's likeliest pair is returned, and only a quarter
+    of the lists is looked at: similar sets share many, and what is missed here is left to the turns that look at all.
     """
-    rows = owned(lists, labels)
+    rows = owned((lists.where("token % 4 = 0") if best else lists).join(marks, "id"), labels)
     if answers is not None:
         near = answers.where("linked and far is not null").groupBy(F.col("b").alias("id")).agg(F.min(F.struct(F.col("a").alias("lead"), "far")).alias("l")).select("id", "l.*")
         rows = rows.join(near, "id", "left").withColumn("lead", F.coalesce("lead", "id")).withColumn("far", F.coalesce("far", F.lit(0)))
@@ -361,7 +353,7 @@ def open_pairs(lists: DataFrame, labels: DataFrame | None, answers: DataFrame |
                 out = pd.concat(held)
                 yield out.sort_values(["y", "differ", "a", "b"], kind="stable").drop_duplicates("y") if best else out
 
-    rows = cells_of(rows, lo, hi, block, num, den).repartition("token", "cell").sortWithinPartitions("token", "cell", "place")
+    rows = cells_of(rows, lists, longest, lo, hi, block, num, den).repartition("token", "cell").sortWithinPartitions("token", "cell", "place")
     return rows.mapInPandas(run, f"a {kind}, b {kind}, y {kind}, differ long, sure boolean")
 
 
@@ -378,7 +370,7 @@ def search(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
     reps = materialize(told.where("n > 0").groupBy(*classes).agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("mark").alias("mark")))
     lists = index_lists(reps, block)
     unique = told.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
-    labels = answers = sets = None
+    labels = answers = texts = None
     if not unique:  # rows that share an id tie their classes together
         shared = told.where("n > 0").join(reps.select(*classes, F.col("id").alias("rep")), classes).where("id <> rep").selectExpr("rep as a", "id as b")
         labels = components(shared)
@@ -388,33 +380,34 @@ def search(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
         longest = lists.agg(F.max("m")).first()[0]
         if longest is None or longest <= lo and not best:
             break
-        found = open_pairs(lists, None if every else labels, answers, lo, hi, best, block, num, den, kind)
+        found = open_pairs(lists, longest, reps.select("id", "mark"), None if every else labels, answers, lo, hi, best, block, num, den, kind)
         if best:  # each set's likeliest partner over all lists: most components close on these alone
             found = found.groupBy("y").agg(F.min(F.struct("differ", "a", "b")).alias("p")).select("p.a", "p.b", F.lit(False).alias("sure")).distinct()
         else:
             found = found.groupBy("a", "b").agg(F.max("sure").alias("sure")).join(answers.select("a", "b"), ["a", "b"], "left_anti")
         pairs = materialize(found)
-        asked = pairs.where("not sure").select("a", "b")
-        ends = asked.select(F.col("a").alias("id")).union(asked.select("b"))
-        if sets is None:
-            sets = sets_of(ends, base, unique, width, kind)
-        else:
-            wanted = materialize(ends.distinct().join(sets.select("id"), "id", "left_anti"))
-            if not wanted.isEmpty():
-                sets = sets.union(sets_of(wanted, base, unique, width, kind).join(wanted, "id", "left_semi"))
-        done = verify(asked, passing(sets, ends), unique, num, den, kind)
-        done = materialize(done.union(pairs.where("sure").select("a", "b", F.lit(None).cast("long"), F.lit(True))))
-        answers = done if answers is None else answers.union(done)
-        if not every:
+        if best or not pairs.isEmpty():
+            asked = pairs.where("not sure").select("a", "b")
+            ends = asked.select(F.col("a").alias("id")).union(asked.select("b"))
+            if texts is None:
+                texts = texts_of(ends, base, unique, kind)
+            else:
+                wanted = materialize(ends.distinct().join(texts.select("id"), "id", "left_anti"))
+                if not wanted.isEmpty():
+                    texts = texts.union(texts_of(wanted, base, unique, kind).join(wanted, "id", "left_semi"))
+            known = texts if best else texts.join(ends.distinct(), "id", "left_semi")
+            done = verify(asked, known, unique, width, num, den, kind)
+            done = materialize(done.union(pairs.where("sure").select("a", "b", F.lit(None).cast("long"), F.lit(True))))
+            answers = done if answers is None else answers.union(done)
             fresh = done.where("linked").select("a", "b")
-            if not fresh.isEmpty():
+            if not every and not fresh.isEmpty():
                 labels = components(fresh if labels is None else fresh.union(labels.selectExpr("id as a", "component as b")))
         if not best:
             reach.append(reach[-1] * 8)
+            rest = materialize(mixed(lists.where(F.col("m") > reach[-2]), None if every else labels))
+            forget(lists)
+            lists = rest
         best = False
-        rest = materialize(mixed(lists.where(F.col("m") > reach[-2]), None if every else labels))
-        forget(lists)
-        lists = rest
     return told, reps, labels, answers, unique
 
 
