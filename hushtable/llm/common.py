@@ -105,7 +105,8 @@ def portion(column: str, salt: int = 0):
 def bounded_sample(df: DataFrame, key: str, by: str, most: int) -> DataFrame:
     """About `most` rows of each value of `by`, chosen by a hash of `key`: a fraction for each value from one count.
 
-    The choice needs no window and no sort; it expects few distinct values of `by`.
+    The choice needs no window and no sort; it expects few distinct values of `by`. Where each key has a row or two, the
+    size is `most` for each value give or take a few times its root.
     """
     counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
     keep = F.lit(False)
@@ -129,18 +130,15 @@ def list_sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - lengths]
 
 
-def by_length(words: list[str], most: int = 64):
-    """Words grouped by length as (row numbers, matrix of code points); those longer than `most` come in pieces of `most`."""
-    groups = defaultdict(lambda: ([], []))
+def by_length(words: list[str]):
+    """Words grouped by length as (row numbers, matrix of code points)."""
+    groups = defaultdict(list)
     for row, word in enumerate(words):
-        for at in range(0, len(word), most):
-            part = word[at : at + most]
-            rows, parts = groups[len(part)]
-            rows.append(row)
-            parts.append(part)
-    for length, (rows, parts) in groups.items():
-        points = np.frombuffer("".join(parts).encode("utf-32-le", "surrogatepass"), np.uint32)
-        yield np.array(rows), points.reshape(len(parts), length)
+        if word:
+            groups[len(word)].append(row)
+    for length, rows in groups.items():
+        points = np.frombuffer("".join(map(words.__getitem__, rows)).encode("utf-32-le", "surrogatepass"), np.uint32)
+        yield np.array(rows), points.reshape(len(rows), length)
 
 
 def prefix_hashes(points: np.ndarray) -> np.ndarray:
@@ -151,11 +149,8 @@ def prefix_hashes(points: np.ndarray) -> np.ndarray:
     return out
 
 
-POWERS = np.array([pow(int(BASE), i, 1 << 64) for i in range(130)], np.uint64)
-
-
 def substring_hash(prefixes: np.ndarray, start: int, length: int) -> np.ndarray:
-    return prefixes[:, start + length] - prefixes[:, start] * POWERS[length]
+    return prefixes[:, start + length] - prefixes[:, start] * np.uint64(pow(int(BASE), length, 1 << 64))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

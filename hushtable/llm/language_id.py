@@ -11,34 +11,46 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtable.llm.common import Remembered, by_length, list_sums, materialize, bounded_sample, prefix_hashes, slices, substring_hash, word_ids
+from hushtable.llm.common import Remembered, by_length, list_sums, materialize, bounded_sample, over_texts, prefix_hashes, slices, substring_hash, word_ids
 
-LETTERS = re.compile(r"[^\W\d_]+")
-LONGEST = 6
-SLOTS = 1 << 18
+WORDS = re.compile(r"[^\W\d_]+")
 #: Probability of a single character that no piece covers.
 UNKNOWN = 1e-7
-#: Each step is multiplied by this, so that words of 64 characters stay within the range of a double.
-SCALE = 1e3
+#: Each step is multiplied by this, so that words of LONG characters stay within the range of a double; longer ones are
+#: summed by logarithms.
+SCALE, LONG = 1e3, 65
+
+
+def letters(text: str) -> list[str]:
+    """Runs of letters (Unicode categories L*) in lower case."""
+    found = WORDS.findall(text.lower())
+    if all(map(str.isalpha, found)):
+        return found
+    return [part for word in found for part in "".join(c if c.isalpha() else " " for c in word).split()]
 
 
 @lru_cache(maxsize=2)
-def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of the vocabulary's lower-case pieces of letters, and a table from hash to number (0: no piece)."""
+def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes of all lower-case pieces of letters, a table from hash to number (0: no piece), and the longest piece's length.
+
+    The table has as many places a slot as its fullest slot needs, so that it leaves no piece out.
+    """
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
-    pieces = sorted({p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) == p.lower() and p.strip("▁").isalpha() and p.find("▁", 1) < 0 and len(p) <= LONGEST})
+    pieces = sorted({p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) == p.lower() and (p == "▁" or p.strip("▁").isalpha() and p.find("▁", 1) < 0)})
     hashes = np.zeros(len(pieces) + 1, np.uint64)
     for rows, points in by_length(pieces):
         hashes[rows + 1] = prefix_hashes(points)[:, -1]
-    table = np.zeros((SLOTS, 4), np.int32)  # four places a slot; the few pieces beyond them are left out alike everywhere
-    for number, at in enumerate(slot(hashes)[1:], 1):
-        row = table[at]
-        free = np.flatnonzero(row == 0)
-        if len(free):
-            row[free[0]] = number
-    return hashes, table, np.array([len(p) for p in ["?", *pieces]])
+    at = slot(hashes[1:]).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    fill = np.arange(len(at)) - np.searchsorted(at[order], at[order])
+    table = np.zeros((SLOTS, int(fill.max(initial=0)) + 1), np.int32)
+    table[at[order], fill] = order + 1
+    return hashes, table, max(map(len, pieces), default=1)
+
+
+SLOTS = 1 << 18
 
 
 def slot(h):
@@ -51,7 +63,7 @@ def piece_numbers(prefixes: np.ndarray, at: int, length: int, known: tuple) -> n
     hashes, table, _ = known
     rows = table[slot(h)]
     out = np.zeros(len(h), np.int64)
-    for k in range(4):
+    for k in range(table.shape[1]):
         out = np.where((hashes[rows[:, k]] == h) & (rows[:, k] > 0), rows[:, k], out)
     return out
 
@@ -67,7 +79,7 @@ def forward(points: np.ndarray, probability: np.ndarray, known: tuple, keep: boo
     alpha[0] = 1
     found = {}
     for end in range(1, length + 1):
-        for size in range(1, min(LONGEST, end) + 1):
+        for size in range(1, min(known[2], end) + 1):
             number = piece_numbers(prefixes, end - size, size, known)
             rows = np.arange(n) if size == 1 else np.flatnonzero(number)
             if len(rows):
@@ -77,37 +89,70 @@ def forward(points: np.ndarray, probability: np.ndarray, known: tuple, keep: boo
     return (alpha, found) if keep else alpha[length]
 
 
+def by_logarithms(points: np.ndarray, logs: np.ndarray, known: tuple):
+    """The same sums for words of any length: log-probabilities of all prefixes, and the pieces found."""
+    prefixes = prefix_hashes(points)
+    n, length = points.shape
+    alpha = np.full((length + 1, n, logs.shape[1]), -np.inf)
+    alpha[0] = 0
+    found = {}
+    for end in range(1, length + 1):
+        for size in range(1, min(known[2], end) + 1):
+            number = piece_numbers(prefixes, end - size, size, known)
+            rows = np.arange(n) if size == 1 else np.flatnonzero(number)
+            if len(rows):
+                alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - size, rows] + logs[number[rows]])
+                found[end, size] = rows, number[rows]
+    return alpha, found
+
+
 def word_scores(words: list[str], probability: np.ndarray, known: tuple) -> np.ndarray:
     """Log-probability of each word by language. Each word begins with the mark of a word's start."""
     out = np.zeros((len(words), probability.shape[1]))
     for rows, points in by_length(["▁" + w for w in words]):
         for at in range(0, len(rows), 20_000):
             part = slice(at, at + 20_000)
-            np.add.at(out, rows[part], np.log(np.maximum(forward(points[part], probability, known), 1e-300)) - points.shape[1] * np.log(SCALE))
+            if points.shape[1] > LONG:
+                out[rows[part]] = by_logarithms(points[part], np.log(probability.astype(float)), known)[0][-1]
+            else:
+                out[rows[part]] = np.log(np.maximum(forward(points[part], probability, known), 1e-300)) - points.shape[1] * np.log(SCALE)
     return out
 
 
-def expected_pieces(words: list[str], counts: np.ndarray, probability: np.ndarray, known: tuple) -> np.ndarray:
-    """How often each piece is expected in the words, over all segmentations: forward and backward."""
-    out = np.zeros(len(probability))
+def expected_pieces(words: list[str], counts: np.ndarray, probability: np.ndarray, known: tuple) -> tuple[np.ndarray, float]:
+    """How often each piece is expected in the words, over all segmentations, forward and backward; and their log-likelihood."""
+    out, likely = np.zeros(len(probability)), 0.0
     for rows, points in by_length(["▁" + w for w in words]):
-        alpha, found = forward(points, probability, known, True)
         length = points.shape[1]
+        if length > LONG:
+            logs = np.log(probability)
+            alpha, found = by_logarithms(points, logs, known)
+            beta = np.full((length + 1, len(points)), -np.inf)
+            beta[length] = 0
+            total = alpha[length, :, 0]
+            for end, size in sorted(found, reverse=True):
+                at, number = found[end, size]
+                step = logs[number, 0] + beta[end, at]
+                out += np.bincount(number, counts[rows[at]] * np.exp(alpha[end - size, at, 0] + step - total[at]), len(out))
+                beta[end - size, at] = np.logaddexp(beta[end - size, at], step)
+            likely += float(counts[rows] @ total)
+            continue
+        alpha, found = forward(points, probability, known, True)
         beta = np.zeros((length + 1, len(points)))
         beta[length] = 1
         total = np.maximum(alpha[length, :, 0], 1e-300)
-        for end in range(length, 0, -1):
-            for size in range(1, min(LONGEST, end) + 1):
-                if (end, size) in found:
-                    at, number = found[end, size]
-                    step = probability[number, 0] * SCALE**size * beta[end, at]
-                    out += np.bincount(number, counts[rows[at]] * alpha[end - size, at, 0] * step / total[at], len(out))
-                    beta[end - size, at] += step
-    return out
+        likely += float(counts[rows] @ (np.log(total) - length * np.log(SCALE)))
+        for end, size in sorted(found, reverse=True):
+            at, number = found[end, size]
+            step = probability[number, 0] * SCALE**size * beta[end, at]
+            out += np.bincount(number, counts[rows[at]] * alpha[end - size, at, 0] * step / total[at], len(out))
+            beta[end - size, at] += step
+    return out, likely
 
 
-def train(docs: DataFrame, path: str, most_docs: int = 1500, rounds: int = 2, text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict[str, np.ndarray]:
-    """Piece probabilities of each language by expectation and maximisation.
+def train(docs: DataFrame, path: str, most_docs: int = 1500, most_rounds: int = 6, gain: float = 0.02, text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict[str, np.ndarray]:
+    """Piece probabilities of each language by expectation and maximisation, until a round adds less than `gain` to the
+    mean log-likelihood of a word, `most_rounds` at most.
 
     Fitted on about `most_docs` labelled documents of each language, chosen by a hash of their id; their words are
     counted, and each round's expected counts summed, by Spark. Only (languages x pieces) numbers come to the driver.
@@ -120,7 +165,7 @@ def train(docs: DataFrame, path: str, most_docs: int = 1500, rounds: int = 2, te
             for part in slices(frame):
                 found: dict = {}
                 for own, t in zip(part["lang"], part["text"]):
-                    found.setdefault(own, Counter()).update(LETTERS.findall(t.lower()))
+                    found.setdefault(own, Counter()).update(letters(t))
                 yield pd.DataFrame([(own, w, n) for own, c in found.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
     words = materialize(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
@@ -129,7 +174,9 @@ def train(docs: DataFrame, path: str, most_docs: int = 1500, rounds: int = 2, te
     uniform = np.full((size, 1), 1 / size)
     uniform[0] = UNKNOWN
     model: dict[str, np.ndarray] = {}
-    for _ in range(rounds):
+    total = words.agg(F.sum("n")).first()[0] or 0
+    last = -np.inf
+    for _ in range(most_rounds):
         before = dict(model)
 
         def expect(frames):
@@ -138,19 +185,24 @@ def train(docs: DataFrame, path: str, most_docs: int = 1500, rounds: int = 2, te
             for frame in frames:
                 for own, part in frame.groupby("lang"):
                     p = before[own][:, None] if own in before else uniform
-                    sums[own] = sums.get(own, 0) + expected_pieces(part["word"].tolist(), part["n"].to_numpy(float), p, pieces)
+                    found, likely = expected_pieces(part["word"].tolist(), part["n"].to_numpy(float), p, pieces)
+                    sums[own] = sums.get(own, 0) + np.append(found, likely)
             for own, s in sums.items():
                 at = np.flatnonzero(s)
                 yield pd.DataFrame({"lang": own, "piece": at, "n": s[at]})
 
         got = words.mapInPandas(expect, "lang string, piece long, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toPandas()
         model = {}
-        for own, part in got.groupby("lang"):
+        likely = float(got.loc[got["piece"] == size, "n"].sum()) / max(total, 1)
+        for own, part in got[got["piece"] < size].groupby("lang"):
             s = np.full(size, 0.1)
             s[part["piece"]] += part["n"]
             s[0] = 0
             model[own] = s / s.sum()
             model[own][0] = UNKNOWN
+        if likely - last < gain:
+            break
+        last = likely
     return dict(sorted(model.items()))
 
 
@@ -163,24 +215,22 @@ def identify(docs: DataFrame, model: dict[str, np.ndarray], path: str, text: str
     languages = np.array([*model, "und"], dtype=object)
     weights = docs.sparkSession.sparkContext.broadcast(np.stack(list(model.values()), 1).astype(np.float32) if model else None)
 
-    names = [key, *keep]
-    fields = [docs.schema[name] for name in names]
-
-    def run(frames):
+    def start():
         pieces, probability = vocabulary(path), weights.value
-        scores = Remembered(lambda words: list(word_scores(words, probability, pieces).astype(np.float32)))
-        for frame in frames:
-            for part in slices(frame, text):
-                lists = [LETTERS.findall(t.lower()) if t and probability is not None else [] for t in part[text].where(part[text].notna(), None)]
-                words, flat, lengths = word_ids(lists)
-                best, score = np.full(len(part), len(languages) - 1), np.zeros(len(part))
-                if words:
-                    total = list_sums(np.array(scores(words))[flat], lengths)
-                    some = lengths > 0
-                    share = np.exp(total - total.max(1, keepdims=True))
-                    best[some] = total.argmax(1)[some]
-                    score[some] = (1 / share.sum(1))[some]
-                yield part[names].assign(lang_pred=languages[best], score=score)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*names, *[text] * (text not in names)).mapInPandas(run, schema + ", lang_pred string, score double")
+        scores = Remembered(lambda words: list(word_scores(words, probability, pieces).astype(np.float32)), 100_000)
+
+        def work(texts):
+            lists = [letters(t) if t and probability is not None else [] for t in texts]
+            words, flat, lengths = word_ids(lists)
+            best, score = np.full(len(texts), len(languages) - 1), np.zeros(len(texts))
+            if words:
+                total = list_sums(np.array(scores(words))[flat], lengths)
+                some = lengths > 0
+                share = np.exp(total - total.max(1, keepdims=True))
+                best[some] = total.argmax(1)[some]
+                score[some] = (1 / share.sum(1))[some]
+            return languages[best].tolist(), score
+
+        return work
+
+    return over_texts(docs, [key, *keep], text, "lang_pred string, score double", start)
