@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushtable.llm.common import portion
+from hushtable.llm.common import materialize, portion
 
 
 def graph(x: np.ndarray, k: int) -> np.ndarray:
@@ -99,15 +101,16 @@ def unit(x: np.ndarray) -> np.ndarray:
 def exact_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int):
     """The k nearest candidates of each query, apart from the query itself: (query, candidate, inner product).
 
-    A matrix product preselects with a margin for rounding; the sums are then taken dimension by dimension, so that
+    An id with several vectors counts once, with the nearest. A matrix product preselects with a margin for rounding; the sums are then taken dimension by dimension, so that
     equal vectors have equal scores.
     """
     out = []
+    many = int(np.unique(c_ids, return_counts=True)[1].max(initial=1))
     for at in range(0, len(q), 256):
         part, ids = q[at : at + 256], q_ids[at : at + 256]
         s = part @ c.T
         s[ids[:, None] == c_ids[None, :]] = -np.inf
-        n = min(k, s.shape[1])
+        n = min(k * many, s.shape[1])
         least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
         least = least - 1e-9 * (1 + np.abs(least))
         rows, cols = np.nonzero((s >= least[:, None]) & np.isfinite(s))
@@ -116,13 +119,16 @@ def exact_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
             exact += part[rows, d] * c[cols, d]
         order = np.lexsort((c_ids[cols], -exact, rows))
         rows, cols, exact = rows[order], cols[order], exact[order]
+        if many > 1:
+            once = ~pd.DataFrame({"q": rows, "c": c_ids[cols]}).duplicated().to_numpy()
+            rows, cols, exact = rows[once], cols[once], exact[once]
         first = np.searchsorted(rows, rows)
         keep = np.arange(len(rows)) - first < k
         out.append(pd.DataFrame({"query_id": ids[rows[keep]], "vec_id": c_ids[cols[keep]], "score": exact[keep]}))
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def fit(sample: np.ndarray, parts: int, aim: float = 0.975, k: int = 20) -> tuple[list[np.ndarray], int]:
+def fit(sample: np.ndarray, parts: int, aim: float = 0.95, k: int = 20) -> tuple[list[np.ndarray], int]:
     """The router, and how many partitions a query must visit for the aimed recall among the sample's own neighbours."""
     x = unit(sample)
     near = graph(x, k)
@@ -136,72 +142,72 @@ def fit(sample: np.ndarray, parts: int, aim: float = 0.975, k: int = 20) -> tupl
     return w, int(min(parts, need[min(len(need) - 1, int(aim * len(need)))] + 1)) if len(need) else parts
 
 
-def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str = "embedding", most_sample: int = 6000, rows_a_part: int = 4000, block: int = 4000) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str = "embedding", most_sample: int = 6000, rows_a_part: int = 1000, most_parts: int = 256, block: int = 4000) -> DataFrame:
     """The k nearest rows by inner product for each row that satisfies the condition `queries`.
 
     Every usable row is indexed in the partition that the router finds likeliest, and each query visits the likeliest
-    few. Of copies of one vector only the k + 1 smallest ids can be among any k nearest, so no others are compared; this
-    limit is exact. Partitions and their queries are cut into blocks of about `block` rows. A block returns no
-    candidate below the k-th nearest that a query has in the sample alone, which can be none of its k nearest. The router is fitted on about
-    `most_sample` rows chosen by a hash of their id. Vectors that are null, zero, of another length than most, or hold a
-    null or non-finite component take no part; neither do null ids. Rows that share an id count as one: the query's own
-    id is never its neighbour. Returns query_id, rank, vec_id, score.
+    few. There is a partition for every `rows_a_part` rows, two from twice as many rows on, and `most_parts` at most. Of
+    copies of one vector only the k + 1 smallest ids can be among any k nearest, so no others are compared; this limit
+    is exact. Partitions that fill beyond `block` rows, and their queries, are cut into blocks. The router is fitted on
+    about `most_sample` rows chosen by a hash of their id. Each query is also compared with that sample: its k nearest
+    there are candidates, and a block returns nothing below the k-th of them, which can be none of the k nearest.
+
+    Vectors that are null, zero, or hold a null or non-finite component take no part; neither do null ids. Vectors of
+    another length are searched among their own kind. An id with several vectors is one candidate, with the nearest of
+    them, and asks with the smallest. Returns query_id, rank, vec_id, score.
     """
-    spark = vectors.sparkSession
     usable = vectors.selectExpr(f"`{key}` as id", f"`{vector}` as v", f"({queries}) as asks").where(
         "id is not null and v is not null and size(v) > 0 and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('Infinity')) and exists(v, x -> x <> 0)"
     )
-    sizes = sorted(((r["count"], r["n"]) for r in usable.groupBy(F.size("v").alias("n")).count().collect()), reverse=True)
-    schema = "query_id long, vec_id long, score double"
-    if not sizes:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    total, width = sizes[0]
-    usable = usable.where(F.size("v") == width)
+    found = [search_width(usable.where(F.size("v") == r["n"]), r["count"], r["n"], k, most_sample, rows_a_part, most_parts, block) for r in usable.groupBy(F.size("v").alias("n")).count().collect()]
+    schema = f"query_id {vectors.schema[key].dataType.simpleString()}, rank int, vec_id {vectors.schema[key].dataType.simpleString()}, score double"
+    return reduce(DataFrame.union, found) if found else vectors.sparkSession.createDataFrame([], schema)
+
+
+def search_width(usable: DataFrame, total: int, width: int, k: int, most_sample: int, rows_a_part: int, most_parts: int, block: int) -> DataFrame:
+    spark = usable.sparkSession
+    name = usable.schema["id"].dataType.simpleString()
+    schema = f"query_id {name}, vec_id {name}, score double"
+    pairs = usable.select("id", "v").distinct()
     first = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    candidates = usable.select("id", "v").withColumn("copy", first).where(F.col("copy") <= k + 1).drop("copy")
-    asking = usable.where("asks").select("id", "v").dropDuplicates(["id"])
+    candidates = pairs.withColumn("copy", first).where(F.col("copy") <= k + 1).drop("copy")
+    asking = usable.where("asks").groupBy("id").agg(F.min("v").alias("v"))
 
     sample = usable.where(portion("id", 3) < most_sample / total).select("id", "v").toPandas().sort_values("id")
     sample = sample[~sample["v"].map(tuple).duplicated()]
     x = np.array(sample["v"].tolist(), float).reshape(len(sample), width)
-    parts = int(min(128, max(1, total // rows_a_part), max(1, len(x) // 40)))
+    parts = int(min(most_parts, max(1, total // rows_a_part), max(1, len(x) // 20)))
     model, visit = fit(x, parts) if parts > 1 else (None, 1)
     held = spark.sparkContext.broadcast(model)
     sampled = spark.sparkContext.broadcast((x, sample["id"].to_numpy()))
 
-    def bounds(q, ids):
-        """For each query what its k-th nearest reaches at least: that among the sample, with a margin for rounding."""
+    def near_sample(frames):
+        """The k nearest of each query within the sample."""
         some, own = sampled.value
-        if len(some) <= k:
-            return np.full(len(q), -np.inf)
-        out = []
-        for at in range(0, len(q), 256):
-            s = q[at : at + 256] @ some.T
-            s[ids[at : at + 256, None] == own[None]] = -np.inf
-            out.append(np.partition(s, len(some) - k, axis=1)[:, len(some) - k])
-        least = np.concatenate(out)
-        return least - 1e-9 * (1 + np.abs(least))
-
-    def place(visits, asks=False):
+        for frame in frames:
+            if len(frame) and len(some):
+                yield exact_top(np.array(frame["v"].tolist(), float), frame["id"].to_numpy(), some, own, k)
+
+    def place(visits):
         def run(frames):
             for frame in frames:
                 if not len(frame):
                     continue
-                if asks:
-                    frame = frame.assign(least=bounds(np.array(frame["v"].tolist(), float), frame["id"].to_numpy()))
                 if held.value is None:
                     yield frame.assign(part=0)
                     continue
                 logits = route(unit(np.array(frame["v"].tolist(), float)), held.value)
                 cells = np.argsort(-logits, axis=1, kind="stable")[:, :visits]
-                out = frame.loc[frame.index.repeat(cells.shape[1])]
-                yield out.assign(part=cells.ravel().astype(np.int32))
+                yield frame.loc[frame.index.repeat(cells.shape[1])].assign(part=cells.ravel().astype(np.int32))
 
         return run
 
-    kind = vectors.schema[vector].dataType.simpleString()
-    indexed = candidates.mapInPandas(place(1), f"id long, v {kind}, part int")
-    routed = asking.mapInPandas(place(visit, True), f"id long, v {kind}, least double, part int")
+    kind = usable.schema["v"].dataType.simpleString()
+    indexed = candidates.mapInPandas(place(1), f"id {name}, v {kind}, part int")
+    begun = materialize(asking.mapInPandas(near_sample, schema))
+    reached = begun.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("least"))
+    asking = asking.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
+    routed = asking.mapInPandas(place(visit), f"id {name}, v {kind}, least double, part int")
     blocks = {r["part"]: max(1, -(-r["count"] // block)) for r in indexed.groupBy("part").count().collect()}
     asked = {r["part"]: max(1, -(-r["count"] // block)) for r in routed.groupBy("part").count().collect()}
 
@@ -216,11 +222,12 @@ def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector
 
     def rerank(asks, has):
         if not len(asks) or not len(has):
-            return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype=float)})
+            return pd.DataFrame({"query_id": asks["id"].head(0), "vec_id": asks["id"].head(0), "score": pd.Series(dtype=float)})
         q, c = (np.array(f["v"].tolist(), float) for f in (asks, has))
         top = exact_top(q, asks["id"].to_numpy(), c, has["id"].to_numpy(), k)
         return top[top["score"].to_numpy() >= top["query_id"].map(dict(zip(asks["id"], asks["least"]))).to_numpy(float)]
 
     found = left.groupBy("part", "qb", "cb").cogroup(right.groupBy("part", "qb", "cb")).applyInPandas(rerank, schema)
+    found = found.union(begun).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
