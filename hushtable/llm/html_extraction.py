@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import html
 import re
+from collections import defaultdict
 from zlib import crc32
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from hushtable.llm.common import portion, slices
+from hushtable.llm.common import over_texts, portion, slices
 
 #: Fixed values of HTML: elements that begin a new block, that have no content, and whose content is not text.
 BLOCKS = frozenset(
@@ -19,7 +19,12 @@ BLOCKS = frozenset(
     "head header hr html legend li main menu nav ol option p pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-SILENT = frozenset("script style noscript template svg iframe object canvas math".split())
+SILENT = frozenset("script style iframe noembed noframes".split())
+#: Lists that end the reach of an item left open.
+HOLDERS = ("ul", "ol", "dl", "table", "select", "menu")
+ITEMS = frozenset("li dt dd tr td th option".split())
+#: So many open elements, the innermost ones, are a block's path.
+DEEP = 32
 #: Words in a tag, class, id or role that tell what an element holds, for the labels that the model learns from.
 MAIN = frozenset("article main content post entry story articlebody".split())
 REST = frozenset(
@@ -40,14 +45,55 @@ def marks_of(tag: str, attributes: str) -> tuple[str, ...]:
     return (tag, *(w for _, a, b, c in ATTRIBUTE.findall(attributes) for w in NAME.findall((a or b or c).lower())))
 
 
-def leaves(page: str) -> list[tuple[tuple, str, int]]:
-    """Blocks of text in page order: (marks on the path, text, characters inside links).
+def judged(verdict: int, marks: tuple, depth: int) -> int:
+    """What an element inside one judged `verdict` holds, by its marks: 1 main text, -1 something else of the page, 0 unknown."""
+    for mark in marks:
+        if verdict < 0 or mark in REST and mark not in MAIN or mark == "title" and depth < 4:
+            return -1
+        if mark in MAIN:
+            verdict = 1
+    return verdict
+
+
+class Open:
+    """The elements open at a place of a page, with their numbers by tag, so that none is looked for."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, tuple, int]] = []
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
+        self.blocks: list[int] = []
+
+    def push(self, tag: str, marks: tuple) -> None:
+        verdict = judged(self.stack[-1][2] if self.stack else 0, marks, len(self.stack))
+        self.at[tag].append(len(self.stack))
+        if tag in BLOCKS:
+            self.blocks.append(len(self.stack))
+        self.stack.append((tag, marks, verdict))
+
+    def cut(self, to: int) -> None:
+        """Close the innermost elements down to number `to`."""
+        while len(self.stack) > to:
+            tag = self.stack.pop()[0]
+            self.at[tag].pop()
+            if tag in BLOCKS:
+                self.blocks.pop()
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at[tag] else -1
+
+    def path(self) -> tuple:
+        return tuple(m for _, marks, _ in self.stack[-DEEP:] for m in marks)
 
-    Comments, doctypes and silent elements are no text; an element left open ends with its parent, a paragraph also where
-    the next block begins. White space, <br> included, becomes one space.
+
+def leaves(page: str) -> list[tuple[tuple, str, int, int]]:
+    """Blocks of text in page order: (marks on the path, text, characters inside links, 1 if marks say it is main text).
+
+    Comments, doctypes and raw text that is no text (scripts, styles, frames) are left out; an element left open ends with
+    its parent, a paragraph also where the next block begins. White space, <br> included, becomes one space. Takes time
+    in proportion to the page, however deep it is nested.
     """
     out: list = []
-    stack: list[tuple[str, tuple]] = []
+    opened = Open()
     held: list[str] = []
     linked = 0
 
@@ -55,7 +101,7 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
         nonlocal linked
         text = " ".join(html.unescape("".join(held)).split()) if held else ""
         if text:
-            out.append((tuple(m for _, marks in stack for m in marks), text, linked))
+            out.append((opened.path(), text, linked, int(bool(opened.stack) and opened.stack[-1][2] > 0)))
         held.clear()
         linked = 0
 
@@ -65,7 +111,7 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
         upto = found.start() if found else n
         if upto > at:
             held.append(page[at:upto])
-            if any(tag == "a" for tag, _ in stack[-3:]):
+            if opened.last("a") >= len(opened.stack) - 3 and opened.at["a"]:
                 linked += upto - at
         if not found:
             break
@@ -74,13 +120,11 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
             continue
         tag = found[2].lower()
         if found[1]:
-            if any(t == tag for t, _ in stack):
-                if tag in BLOCKS or any(t in BLOCKS for t, _ in stack[[i for i, (t, _) in enumerate(stack) if t == tag][-1] :]):
-                    close()
-                while stack.pop()[0] != tag:
-                    pass
-            elif tag in BLOCKS:
+            own = opened.last(tag)
+            if tag in BLOCKS or own >= 0 and opened.blocks and opened.blocks[-1] >= own:
                 close()
+            if own >= 0:
+                opened.cut(own)
             continue
         if tag in SILENT:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
@@ -91,30 +135,16 @@ def leaves(page: str) -> list[tuple[tuple, str, int]]:
             held.append(" ")
         if tag in BLOCKS:
             close()
-            opens = [i for i, (t, _) in enumerate(stack) if t == "p"]
-            if opens and all(t not in BLOCKS for t, _ in stack[opens[-1] + 1 :]):
-                del stack[opens[-1] :]
-            if tag in ("li", "dt", "dd", "tr", "td", "th", "option"):
-                same = [i for i, (t, _) in enumerate(stack) if t == tag]
-                if same and all(t not in ("ul", "ol", "dl", "table", "select", "menu") for t, _ in stack[same[-1] :]):
-                    del stack[same[-1] :]
+            if opened.blocks and opened.stack[opened.blocks[-1]][0] == "p":
+                opened.cut(opened.blocks[-1])
+            if tag in ITEMS and opened.last(tag) > max(map(opened.last, HOLDERS)):
+                opened.cut(opened.last(tag))
         if tag not in VOID:
-            stack.append((tag, marks_of(tag, found[3])))
+            opened.push(tag, marks_of(tag, found[3]))
     close()
     return out
 
 
-def teacher(path: tuple) -> int:
-    """Whether a block is main text by the marks on its path: inside a main element, and in nothing else of the page."""
-    inside = False
-    for mark in path:
-        if mark in MAIN:
-            inside = True
-        elif mark in REST:
-            return 0
-    return int(inside and "title" not in path[:4])
-
-
 def slots_of(path: tuple, text: str) -> tuple[list[int], list[int]]:
     """Hashed slots of a block's path marks, the inner three once more by depth, and of its words."""
     own = [crc32(m.encode()) % PATH_SLOTS for m in path]
@@ -149,12 +179,12 @@ class Slots:
 
 def inputs(page: list, model: dict, slots) -> tuple[np.ndarray, list]:
     """Vectors of a page's blocks: mean path vector, mean word vector, and four measures of length and links."""
-    found = [slots(path, text) for path, text, _ in page]
+    found = [slots(path, text) for path, text, *_ in page]
     paths = np.stack([model["path"][own].mean(0) for own, _ in found])
     flat = np.concatenate([w for _, w in found])
     lengths = np.array([len(w) for _, w in found])
     words = np.add.reduceat(model["word"][flat], np.append(0, np.cumsum(lengths)[:-1]), axis=0) / lengths[:, None]
-    measures = np.array([(np.log1p(len(t)) / 8, min(1.0, a / max(len(t), 1)), t[-1:] in ".!?", len(t) > 80) for _, t, a in page], float)
+    measures = np.array([(np.log1p(len(t)) / 8, min(1.0, a / max(len(t), 1)), t[-1:] in ".!?", len(t) > 80) for _, t, a, _ in page], float)
     return np.concatenate([paths, words, measures], 1), found
 
 
@@ -316,16 +346,16 @@ def train(pages: DataFrame, most: int = 250, made: int = 500, key: str = "page_i
             for part in slices(frame):
                 for i, page in zip(part["id"], part["text"]):
                     found = leaves(page)
-                    yield pd.DataFrame({"id": [i], "path": [[" ".join(p) for p, _, _ in found]], "text": [[t for _, t, _ in found]], "linked": [[a for _, _, a in found]]})
+                    yield pd.DataFrame({"id": [i], "path": [[" ".join(f[0]) for f in found]], "text": [[f[1] for f in found]], "linked": [[f[2] for f in found]], "main": [[f[3] for f in found]]})
 
     kind = pages.schema[key].dataType.simpleString()
-    got = sample.mapInPandas(parse, f"id {kind}, path array<string>, text array<string>, linked array<long>").toPandas().sort_values("id", kind="stable")
-    real = [list(zip((tuple(p.split(" ")) if p else () for p in row.path), row.text, row.linked)) for row in got.itertuples()]
+    got = sample.mapInPandas(parse, f"id {kind}, path array<string>, text array<string>, linked array<long>, main array<long>").toPandas().sort_values("id", kind="stable")
+    real = [list(zip((tuple(p.split(" ")) if p else () for p in row.path), row.text, row.linked, row.main)) for row in got.itertuples()]
     real = [page for page in real if page]
-    words = sorted({w for page in real for _, t, _ in page for w in t.split() if len(w) < 20})[:20_000] or ["word", "text", "page"]
+    words = sorted({w for page in real for _, t, *_ in page for w in t.split() if len(w) < 20}, key=lambda w: (crc32(w.encode()), w))[:20_000] or ["word", "text", "page"]
     pages_ = real + [leaves(invented(rng, words)) for _ in range(made)]
     pages_ = [p for p in pages_ if p]
-    return learn(pages_, [np.array([teacher(path) for path, _, _ in page], float) for page in pages_])
+    return learn(pages_, [np.array([main for *_, main in page], float) for page in pages_])
 
 
 def extract(pages: DataFrame, model: dict, key: str = "page_id", url: str = "url", text: str = "html", threshold: float = 0.5) -> DataFrame:
@@ -336,15 +366,15 @@ def extract(pages: DataFrame, model: dict, key: str = "page_id", url: str = "url
     """
     held = pages.sparkSession.sparkContext.broadcast(model)
 
-    def run(frames):
+    def start():
         slots = Slots()
-        for frame in frames:
-            for part in slices(frame):
-                found = [leaves(p) if p else [] for p in part["text"].where(part["text"].notna(), None)]
-                chances = probabilities(found, held.value, slots)
-                texts = ["\n".join(t for (_, t, _), p in zip(page, own) if p >= threshold) for page, own in zip(found, chances)]
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "url": part["url"].to_numpy(), "text": texts, "n_chars": [len(t) for t in texts], "n_blocks": [len(p) for p in found]})
 
-    kind = pages.schema[key].dataType.simpleString()
-    out = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), F.col(text).alias("text")).mapInPandas(run, f"key {kind}, url string, text string, n_chars long, n_blocks int")
-    return out.withColumnRenamed("key", key)
+        def work(texts):
+            found = [leaves(p) if p else [] for p in texts]
+            chances = probabilities(found, held.value, slots)
+            out = ["\n".join(f[1] for f, p in zip(page, own) if p >= threshold) for page, own in zip(found, chances)]
+            return out, [len(t) for t in out], [len(p) for p in found]
+
+        return work
+
+    return over_texts(pages, [key, url], text, "text string, n_chars long, n_blocks int", start)
