@@ -38,7 +38,7 @@ def op3_learned_partitions(spark, sf_dir):
 def op4_toxicity(spark, sf_dir):
     docs = documents(spark, sf_dir)
     model = toxicity.train(docs, labels(spark, sf_dir).where(~remainder("doc_id", 3).eqNullSafe(1)))
-    found = toxicity.score(docs, model)
+    found = toxicity.score(docs, model, level=0.05)
     return found.select("doc_id", remainder("doc_id", 3).eqNullSafe(1).alias("held_out"), "score", "predicted", "n_segments")
 
 

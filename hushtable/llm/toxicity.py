@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtable.llm.common import bounded_sample, slices
+from hushtable.llm.common import bounded_sample, over_texts, slices
 
 TOKENS = re.compile(r"[^\W_]+")
 #: What a token without evidence costs a segment.
@@ -57,6 +57,12 @@ def evidence(segs: list[tuple[float, int, int]], n: int, tail: tuple[float, floa
     return out
 
 
+def significant(segs: list[tuple[float, int, int]], n: int, tail: tuple[float, float], level: float) -> list[tuple[float, int, int]]:
+    """The segments that a clean text of n tokens exceeds with a probability of `level` at most, by the extreme-value law."""
+    rate, scale = tail
+    return [s for s in segs if -np.expm1(-scale * max(n, 1) * np.exp(-rate * s[0])) <= level]
+
+
 def forms(word: str) -> tuple:
     """A word and its beginnings, marked as such: a rare inflected word is judged by the surest of them."""
     return (word, *(word[:k] + "*" for k in BEGINNINGS if len(word) > k))
@@ -81,7 +87,7 @@ def gains_of(text: str | None, lexicon: dict[str, float], values: Values | None
 class Values(dict):
     """The value of each word met, found once, for a bounded number of words."""
 
-    def __init__(self, lexicon: dict[str, float], most: int = 400_000):
+    def __init__(self, lexicon: dict[str, float], most: int = 150_000):
         super().__init__()
         self.lexicon, self.most = lexicon, most
 
@@ -100,7 +106,7 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "toxic", most: int =
     in both classes together; words whose log-odds differ from 0 by `sure` standard errors, however mild or negative, make the lexicon
     (the `most_words` surest at most). Two Spark jobs gather word counts and segment scores; None without labels of both classes.
     """
-    rows = labels.selectExpr(f"`{key}` as id", f"cast(`{target}` as int) as y").where("y in (0, 1)")
+    rows = labels.selectExpr(f"`{key}` as id", f"cast(`{target}` as int) as y").where("id is not null and y in (0, 1)").distinct()
     sample = docs.selectExpr(f"`{key}` as id", f"`{text}` as text").join(F.broadcast(bounded_sample(rows, "id", "y", most)), "id").select("id", "text", "y")
 
     def count(frames):
@@ -175,39 +181,39 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, f
     return float(w[0]), float(w[1])
 
 
-def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str = "text", key: str = "doc_id", keep: tuple = (), spans: bool = False) -> DataFrame:
+def score(docs: DataFrame, model: dict | None, threshold: float = 0.7, text: str = "text", key: str = "doc_id", keep: tuple = (), spans: bool = False, level: float = 1.0) -> DataFrame:
     """Probability that a text is toxic, for every whole text.
 
     A null or empty text has no segment and gets the lowest probability; without a model all get 0. Returns key,
     `keep`, score, predicted (1 if score >= threshold), n_segments, and with `spans` the segments as (score, first, last
-    token).
+    token): all maximal segments whose score a clean text of that length reaches with a probability of `level` at most (1: every maximal segment).
     """
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    names = [key, *keep]
-    fields = [docs.schema[name] for name in names]
-
-    def run(frames):
+    def start():
         model = held.value
         values = Values(model["lexicon"] if model else {})
-        for frame in frames:
-            for part in slices(frame, text):
-                out = []
-                for t in part[text].where(part[text].notna(), None):
-                    if model is None:
-                        out.append((0.0, 0, []))
-                        continue
-                    places, gains, n = gains_of(t, model["lexicon"], values)
-                    segs = segments(places, gains)
-                    slope, constant = model["logistic"]
-                    logit = slope * np.log1p(evidence(segs, n, model["tail"])) + constant
-                    out.append((float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))), len(segs), segs))
-                done = pd.DataFrame(out, columns=["score", "n_segments", "segments"])
-                if not spans:
-                    done = done.drop(columns="segments")
-                done.insert(1, "predicted", (done["score"] >= threshold).astype(np.int32))
-                yield pd.concat([part[names].reset_index(drop=True), done], axis=1)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    schema += ", score double, predicted int, n_segments int" + ", segments array<struct<score:double,first:int,last:int>>" * spans
-    return docs.select(*names, *[text] * (text not in names)).mapInPandas(run, schema)
+
+        def work(texts):
+            scores, numbers, kept = [], [], []
+            for t in texts:
+                if model is None:
+                    scores.append(0.0)
+                    numbers.append(0)
+                    kept.append([])
+                    continue
+                places, gains, n = gains_of(t, model["lexicon"], values)
+                segs = segments(places, gains)
+                slope, constant = model["logistic"]
+                logit = slope * np.log1p(evidence(segs, n, model["tail"])) + constant
+                own = significant(segs, n, model["tail"], level)
+                scores.append(float(1 / (1 + np.exp(-np.clip(logit, -30, 30)))))
+                numbers.append(len(own))
+                kept.append([{"score": s, "first": a, "last": b} for s, a, b in own])
+            predicted = (np.array(scores) >= threshold).astype(np.int32)
+            return [scores, predicted, numbers, kept] if spans else [scores, predicted, numbers]
+
+        return work
+
+    made = "score double, predicted int, n_segments int" + ", segments array<struct<score:double,first:int,last:int>>" * spans
+    return over_texts(docs, [key, *keep], text, made, start)
