@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtable.llm.common import Remembered, bounded_sample, by_length, list_sums, mix, prefix_hashes, slices, substring_hash, word_ids
+from hushtable.llm.common import Remembered, bounded_sample, by_length, list_sums, mix, over_texts, prefix_hashes, slices, substring_hash, word_ids
 
 BUCKETS = 1 << 16
 GRAMS = (3, 4)
@@ -75,9 +75,9 @@ def train(docs: DataFrame, labels: DataFrame, target: str = "quality", most: int
 
     The sample's bags of buckets (each no longer than the number of buckets) come to the driver, where numpy trains.
     Returns one log-odds for each bucket, then the constant, or None if there is no labelled document of both classes.
-    Repeated labels count as often as they are there; null labels don't.
+    Equal labels of an id count once, null labels not at all; an id with both labels counts for both.
     """
-    rows = labels.selectExpr(f"`{key}` as id", f"cast(`{target}` as int) as y").where("y in (0, 1)")
+    rows = labels.selectExpr(f"`{key}` as id", f"cast(`{target}` as int) as y").where("id is not null and y in (0, 1)").distinct()
     counts = {r["y"]: r["count"] for r in rows.groupBy("y").count().collect()}
     if len(counts) < 2:
         return None
@@ -120,29 +120,27 @@ def score(docs: DataFrame, model: np.ndarray | None, threshold: float = 0.3, tex
     """
     weights = docs.sparkSession.sparkContext.broadcast(model)
 
-    names = [key, *keep]
-    fields = [docs.schema[name] for name in names]
-
-    def run(frames):
+    def start():
         odds = weights.value
 
         def sums(words):
             row, bucket = features(words)
-            return list(zip(np.bincount(row, odds[bucket], len(words)), np.bincount(row, minlength=len(words))))
+            return np.stack([np.bincount(row, odds[bucket], len(words)), np.bincount(row, minlength=len(words))], 1).astype(np.float32).tolist()
 
-        value = Remembered(sums)
-        for frame in frames:
-            for part in slices(frame, text):
-                logit = np.zeros(len(part))
-                if odds is not None:
-                    words, flat, lengths = word_ids([t.split() if t else [] for t in part[text].where(part[text].notna(), None)])
-                    logit += odds[-1]
-                    if words:
-                        total = list_sums(np.array(value(words), float)[flat], lengths)
-                        found = marks(flat, lengths)
-                        logit += (total[:, 0] + found @ odds[:2]) / (total[:, 1] + found.sum(1) + FEW)
-                p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
-                yield part[names].assign(score=p, predicted=(p >= threshold).astype(np.int32))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.select(*names, *[text] * (text not in names)).mapInPandas(run, schema + ", score double, predicted int")
+        value = Remembered(sums, 100_000)
+
+        def work(texts):
+            logit = np.zeros(len(texts))
+            if odds is not None:
+                words, flat, lengths = word_ids([t.split() if t else [] for t in texts])
+                logit += odds[-1]
+                if words:
+                    total = list_sums(np.array(value(words), float)[flat], lengths)
+                    found = marks(flat, lengths)
+                    logit += (total[:, 0] + found @ odds[:2]) / (total[:, 1] + found.sum(1) + FEW)
+            p = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
+            return p, (p >= threshold).astype(np.int32)
+
+        return work
+
+    return over_texts(docs, [key, *keep], text, "score double, predicted int", start)
