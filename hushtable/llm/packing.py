@@ -33,15 +33,18 @@ def optimal_bounds(counts: np.ndarray, buckets: int) -> list[int]:
 
 
 def token_length(text: str = "text"):
-    """Runs of letters and digits, and single other characters: a native stand-in for a tokenizer's count."""
+    """Runs of letters and digits, and single other characters: a native stand-in for a tokenizer's count.
+
+    Give `pack` another column as `length`, such as the n_tokens of `count_tokens`, to pack by real ids.
+    """
     return F.coalesce(F.regexp_count(F.col(text), F.lit(r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]")), F.lit(0))
 
 
-def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length=None, buckets: int = 8, step: int = 32, longest: int = 4096, budget: int = 32_768) -> DataFrame:
+def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", length=None, buckets: int = 8, step: int = 1, longest: int = 4096, budget: int = 32_768) -> DataFrame:
     """Place every document in batches whose padded size stays within a token budget.
 
     Documents longer than `longest` tokens are cut into segments, none is dropped; a null or empty text is one segment of
-    0 tokens. Bucket bounds are multiples of `step`, chosen by dynamic programming over the histogram of all segments
+    0 tokens. Bucket bounds (multiples of `step`) are chosen by dynamic programming over the histogram of all segments
     (at most longest/step bins come to the driver). Segments are sorted by bucket and a hash; a segment's number within
     its bucket, counted over the sorted partitions, gives its batch, so only each bucket's last batch may be part full.
     Repeated rows are packed each. Returns key, segment, n_tokens, bucket_len, batch_id, place.
