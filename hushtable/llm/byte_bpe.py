@@ -9,10 +9,9 @@ from collections import defaultdict
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from hushtable.llm.common import Remembered, slices
+from hushtable.llm.common import Remembered, over_texts
 
 
 class Pairs(dict):
@@ -130,26 +129,26 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, text: str = "text",
     as little-endian 32-bit numbers), decoded_sha256, and with `ids` the ids as an array.
     """
 
-    def run(frames):
+    def start():
         import regex
 
         find, vocabulary = regex.compile(pattern).findall, load(path)
-        for frame in frames:
-            for part in slices(frame):
-                rows = list(map(find, part["text"].fillna("")))
-                distinct = list(set().union(*rows))
-                code = dict(zip(distinct, vocabulary.encoded(distinct)))
-                out = []
-                for words in rows:
-                    raw = b"".join(map(code.__getitem__, words))
-                    own = np.frombuffer(raw, "<u4").tolist()
-                    back = b"".join(map(vocabulary.bytes_of.__getitem__, own))
-                    out.append((len(own), hashlib.sha256(raw).hexdigest(), hashlib.sha256(back).hexdigest(), own if ids else None))
-                done = pd.DataFrame(out, columns=["n_tokens", "ids_sha256", "decoded_sha256", "ids"])
-                done.insert(0, "key", part["key"].to_numpy())
-                yield done if ids else done.drop(columns="ids")
-
-    kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids
-    found = docs.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInPandas(run, schema)
-    return found.withColumnRenamed("key", key)
+
+        def work(texts):
+            rows = [find(t or "") for t in texts]
+            distinct = list(set().union(*rows))
+            code = dict(zip(distinct, vocabulary.encoded(distinct)))
+            counts, sums, back, lists = [], [], [], []
+            for words in rows:
+                raw = b"".join(map(code.__getitem__, words))
+                own = np.frombuffer(raw, "<u4").tolist()
+                counts.append(len(own))
+                sums.append(hashlib.sha256(raw).hexdigest())
+                back.append(hashlib.sha256(b"".join(map(vocabulary.bytes_of.__getitem__, own))).hexdigest())
+                if ids:
+                    lists.append(own)
+            return [counts, sums, back, lists] if ids else [counts, sums, back]
+
+        return work
+
+    return over_texts(docs, [key], text, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<long>" * ids, start)

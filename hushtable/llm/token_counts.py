@@ -5,10 +5,9 @@ from __future__ import annotations
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 
-from hushtable.llm.common import slices
+from hushtable.llm.common import over_texts
 
 #: A boundary must lie so far before a chunk's end that no added token can be cut between them.
 MARGIN = 64
@@ -79,20 +78,20 @@ def count_tokens(docs: DataFrame, path: str, text: str = "text", key: str = "doc
     Repeated rows and ids are counted row by row. Returns key, n_bytes, n_tokens, over_limit.
     """
 
-    def run(frames):
+    def start():
         tokenizer = load(path)
-        for frame in frames:
-            for part in slices(frame):
-                texts = part["text"].fillna("").tolist()
-                n = np.zeros(len(texts), np.int64)
-                small = [i for i, t in enumerate(texts) if len(t) <= huge]
-                for at in range(0, len(small), 256):
-                    rows = small[at : at + 256]
-                    n[rows] = [len(e) for e in tokenizer.encode_batch_fast([texts[i] for i in rows], add_special_tokens=False)]
-                for i in set(range(len(texts))) - set(small):
-                    n[i] = len(spliced_ids(tokenizer, texts[i], huge, overlap))
-                yield pd.DataFrame({"key": part["key"].to_numpy(), "n_bytes": [len(t.encode()) for t in texts], "n_tokens": n, "over_limit": n > limit})
-
-    kind = docs.schema[key].dataType.simpleString()
-    found = docs.selectExpr(f"`{key}` as key", f"`{text}` as text").mapInPandas(run, f"key {kind}, n_bytes long, n_tokens long, over_limit boolean")
-    return found.withColumnRenamed("key", key)
+
+        def work(texts):
+            texts = [t or "" for t in texts]
+            n = np.zeros(len(texts), np.int64)
+            small = [i for i, t in enumerate(texts) if len(t) <= huge]
+            for at in range(0, len(small), 256):
+                rows = small[at : at + 256]
+                n[rows] = [len(e) for e in tokenizer.encode_batch_fast([texts[i] for i in rows], add_special_tokens=False)]
+            for i in set(range(len(texts))) - set(small):
+                n[i] = len(spliced_ids(tokenizer, texts[i], huge, overlap))
+            return [len(t.encode()) for t in texts], n, n > limit
+
+        return work
+
+    return over_texts(docs, [key], text, "n_bytes long, n_tokens long, over_limit boolean", start)
