@@ -7,7 +7,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from hushtable.llm import byte_bpe, html_extraction, jaccard_join, neighbours, packing, quality_classifier, quality_rules, token_counts, toxicity
+from hushtable.llm import byte_bpe, html_extraction, jaccard_join, language_id, neighbours, packing, quality_classifier, quality_rules, token_counts, toxicity
 
 PIECES = ["the", "a ", "\n", "\n\n", " ", "     ", "é", "日本", "'s", "12", "!!", "<|endoftext|>", "<|end", "x" * 50, "\t", "🙂", "don't"]
 
@@ -93,6 +93,25 @@ def test_neighbours_against_brute_force(spark):
         assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r["rank"])] == want
 
 
+def test_several_partitions_reach_the_recall(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(12, 16)) * 3
+    x = (centres[rng.integers(12, size=1500)] + rng.normal(size=(1500, 16))).round(3)
+    rows = [(i, [float(v) for v in row]) for i, row in enumerate(x)] + [(i, [float(v) for v in x[i]]) for i in range(0, 1500, 50)]
+    rows += [(7, [float(v) for v in x[8]]), (5000, [1.0, 2.0]), (5020, [2.0, 1.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.search(vectors, "vec_id % 20 = 0", k=10, rows_a_part=150).toPandas()
+    hits = 0
+    for q in range(0, 1500, 20):
+        s = x @ x[q]
+        s[7] = max(s[7], s[8])
+        own = got[got.query_id == q].sort_values("rank")
+        assert len(own) == 10 and own.vec_id.is_unique and q not in set(own.vec_id) and np.allclose(own.score, s[own.vec_id])
+        hits += len(set(own.vec_id) & set(sorted((i for i in range(1500) if i != q), key=lambda i: (-round(s[i], 9), i))[:10]))
+    assert hits >= 0.9 * 75 * 10
+    assert got[got.query_id.isin([5000, 5020])].sort_values("query_id")[["query_id", "vec_id", "score"]].values.tolist() == [[5000, 5020, 4.0], [5020, 5000, 4.0]]
+
+
 def test_packing_keeps_every_token(spark):
     texts = [None, "", *("w " * n for n in (1, 31, 32, 33, 100, 5000, 9000))] * 3
     out = packing.pack(docs_of(spark, texts), longest=4096, budget=8192).toPandas()
@@ -147,7 +166,34 @@ def test_scores_without_labels_or_text(spark):
 
 def test_leaves_and_labels():
     page = '<html><title>T</title><script>var t="</p>";</script><body><nav><a href="/">menu</a></nav><article><h1>A &amp; B</h1><p>one<br>two<p>three</article><div class="ad">buy</div>'
-    assert [t for p, t, _ in html_extraction.leaves(page) if html_extraction.teacher(p)] == ["A & B", "one two", "three"]
+    assert [t for _, t, _, main in html_extraction.leaves(page) if main] == ["A & B", "one two", "three"]
+
+
+def test_text_of_other_elements_stays_and_depth_costs_nothing():
+    page = "<article><p>let <math><mi>x</mi> = 2</math> and<noscript> so</noscript></p><svg><text>label</text></svg><object> alt"
+    assert " ".join(t for _, t, _, main in html_extraction.leaves(page) if main) == "let x = 2 and so label alt"
+    import time
+
+    began = time.time()
+    assert len(html_extraction.leaves("<div>a<b>" * 30_000)) == 30_000
+    assert time.time() - began < 20
+
+
+def test_lstm_gradients():
+    rng = np.random.default_rng(1)
+    x, mask, w, b = rng.normal(size=(4, 3, 5)), np.array([[1, 1, 1], [1, 1, 0], [1, 1, 0], [1, 0, 0]], float), rng.normal(size=(5 + html_extraction.HIDDEN, 4 * html_extraction.HIDDEN)), rng.normal(size=4 * html_extraction.HIDDEN)
+    aim = rng.normal(size=(4, 3, html_extraction.HIDDEN))
+    loss = lambda x, w, b: float((html_extraction.lstm(x, mask, w, b)[0] * aim).sum())
+    dx, dw, db = html_extraction.lstm_back(aim, html_extraction.lstm(x, mask, w, b)[1], w)
+    for value, grad in ((x, dx), (w, dw), (b, db)):
+        for _ in range(6):
+            at = tuple(rng.integers(n) for n in value.shape)
+            keep, value[at] = value[at], value[at] + 1e-5
+            up = loss(x, w, b)
+            value[at] = keep - 1e-5
+            down = loss(x, w, b)
+            value[at] = keep
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-5 * (1 + abs(grad[at]))
 
 
 def test_pipeline_against_brute_force(spark):
@@ -228,3 +274,102 @@ def test_all_links_against_brute_force(spark, block):
     want = {(a, b) for a in reps for b in reps if a < b and linked(sets[a], sets[b], 90)}
     got = [(r.a, r.b) for r in found.collect()]
     assert set(got) == want and len(got) == len(want)
+
+
+def test_forward_sums_over_all_segmentations():
+    known = language_id.vocabulary(P.path("piece_bpe_32k.model"))
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    pieces = {p for i in range(model.get_piece_size()) if (p := model.id_to_piece(i)) == p.lower() and (p == "▁" or p.strip("▁").isalpha() and p.find("▁", 1) < 0)}
+    assert len(known[0]) == len(pieces) + 1 and known[2] == max(map(len, pieces)) > 6
+    number = {}
+    for piece in pieces:
+        points = np.frombuffer(piece.encode("utf-32-le"), np.uint32).reshape(1, -1)
+        number[piece] = int(language_id.piece_numbers(language_id.prefix_hashes(points), 0, len(piece), known)[0])
+    assert sorted(number.values()) == list(range(1, len(pieces) + 1))
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet(np.ones(len(pieces) + 1), 2).T
+
+    def total(text, k):
+        return 1.0 if not text else sum((p[number[text[:n]], k] if text[:n] in number else p[0, k] if n == 1 else 0.0) * total(text[n:], k) for n in range(1, len(text) + 1))
+
+    for word in ("a", "ing", "information", "qx"):
+        got = language_id.word_scores([word], p, known)[0]
+        assert np.allclose(got, [np.log(total("▁" + word, k)) for k in range(2)], rtol=1e-6)
+    # logarithms give the same sums, and long words are scored whole
+    points = np.frombuffer("▁information".encode("utf-32-le"), np.uint32).reshape(1, -1)
+    assert np.allclose(language_id.by_logarithms(points, np.log(p), known)[0][-1, 0], language_id.word_scores(["information"], p, known)[0])
+    assert np.isfinite(language_id.word_scores(["ab" * 500], p, known)).all()
+    flat = np.full((len(known[0]), 1), 1 / len(known[0]))
+    short, long = (language_id.expected_pieces([w], np.ones(1), flat, known)[0] for w in ("the" * 3, "the" * 40))
+    length = np.array([1, *[len(x) for x, _ in sorted(number.items(), key=lambda x: x[1])]])
+    assert np.isclose(short @ length, 10) and np.isclose(long @ length, 121)
+
+
+def test_languages_are_told_apart(spark):
+    words = {"x": "alpha beta gamma delta", "y": "un deux trois quatre", "z": "eins zwei drei vier"}
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(words[k].split()) for _ in range(12)), k) for i, k in enumerate("xyz" * 20)]
+    docs = spark.createDataFrame(rows + [(90, None, "x"), (91, "½ ² Ⅷ 7", "y"), (92, "Zwei" * 100, None), (93, "deux", "x")], "doc_id long, text string, lang string")
+    path = P.path("piece_bpe_32k.model")
+    model = language_id.train(docs, path)
+    got = {r.doc_id: r for r in language_id.identify(docs, model, path).collect()}
+    assert [got[i].lang_pred for i in range(60)] == list("xyz" * 20)
+    assert got[90].lang_pred == got[91].lang_pred == "und" and got[92].lang_pred == "z" and got[93].lang_pred == "y"
+
+
+def test_counting_splices_huge_texts(spark):
+    rng, path = random.Random(8), P.path("byte_bpe_50k.json")
+    texts = [None, "", *("".join(rng.choice(PIECES) for _ in range(300)) for _ in range(12))]
+    tokenizer = token_counts.load(path)
+    got = {r.doc_id: r for r in token_counts.count_tokens(docs_of(spark, texts), path, huge=100, overlap=70).collect()}
+    assert {i: (r.n_bytes, r.n_tokens) for i, r in got.items()} == {i: (len((t or "").encode()), len(tokenizer.encode(t or "", add_special_tokens=False))) for i, t in enumerate(texts)}
+
+
+def test_all_maximal_segments_against_brute_force():
+    """The definition: of the segments that hold no better part and lie in no better segment of that kind, all maximal ones."""
+    rng = random.Random(5)
+    for _ in range(150):
+        line = [rng.choice([-0.25, -0.25, -1.0, rng.uniform(0.2, 1), rng.uniform(1, 2)]) for _ in range(11)]
+
+        def best(a, b):  # recursive definition: the best segment, then what is left of it on both sides
+            runs = [(sum(line[i:j]), i, j) for i in range(a, b) for j in range(i + 1, b + 1)]
+            top = max(runs, key=lambda r: (round(r[0], 9), r[2] - r[1]), default=(0, 0, 0))
+            return [] if top[0] <= 1e-9 else best(a, top[1]) + [(round(top[0], 6), top[1], top[2] - 1)] + best(top[2], b)
+
+        places = [i for i, g in enumerate(line) if g != -0.25]
+        got = [(round(s, 6), a, b) for s, a, b in toxicity.segments(places, [line[i] for i in places])]
+        assert [s for s, *_ in got] == [s for s, *_ in best(0, 11)]
+
+
+def test_descent_follows_the_gradient():
+    rng = np.random.default_rng(3)
+    bags, labels = [(np.array([2, 5, 9]), np.array([0.5, 0.3, 0.2], np.float32))], np.array([1])
+    start, flat = quality_classifier.descend([], np.zeros(0, int), size=4, buckets=16)
+    vectors, weights = quality_classifier.descend(bags, labels, size=4, epochs=1, rate=1e-3, buckets=16)
+    mean = np.append(bags[0][1] @ start[bags[0][0]], 1.0)
+    loss = lambda w: float(np.log(np.exp(mean @ w).sum()) - (mean @ w)[1])
+    for i in range(5):
+        for j in range(2):
+            up = np.zeros((5, 2))
+            up[i, j] = 1e-4
+            slope = (loss(flat + up) - loss(flat - up)) / 2e-4
+            assert abs((weights - flat)[i, j] + 1e-3 * slope) < 1e-6
+    assert rng is not None and vectors.shape == start.shape
+
+
+def test_empty_tables(spark):
+    none = spark.createDataFrame([], "doc_id long, text string, lang string, score double")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    path = P.path("piece_bpe_32k.model")
+    frames = [
+        language_id.identify(none, language_id.train(none, path), path),
+        quality_classifier.score(none, quality_classifier.train(none, labels), keep=("score",)),
+        toxicity.score(none, toxicity.train(none, labels), keep=("score",)),
+        token_counts.count_tokens(none, P.path("byte_bpe_50k.json")),
+        jaccard_join.join(none),
+        packing.pack(none),
+        neighbours.search(spark.createDataFrame([], "vec_id long, embedding array<float>"), "vec_id % 20 = 0"),
+    ]
+    assert [f.count() for f in frames] == [0] * 7 and frames[1].columns == ["doc_id", "score_input", "score", "predicted"]
