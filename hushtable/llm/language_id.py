@@ -47,25 +47,45 @@ def vocabulary(path: str) -> tuple[np.ndarray, np.ndarray, int]:
     fill = np.arange(len(at)) - np.searchsorted(at[order], at[order])
     table = np.zeros((SLOTS, int(fill.max(initial=0)) + 1), np.int32)
     table[at[order], fill] = order + 1
-    return hashes, table, max(map(len, pieces), default=1)
+    seen = np.zeros(1 << SEEN, np.uint8)
+    seen[thin(hashes[1:])] = 1
+    return hashes, table, max(map(len, pieces), default=1), seen
 
 
 SLOTS = 1 << 18
+SEEN = 21
+
+
+def thin(h):
+    """The place of a hash in the small table that most strings that are no piece don't pass."""
+    return (h * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(64 - SEEN)
 
 
 def slot(h):
     return ((h ^ (h >> np.uint64(23))) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(46)
 
 
-def piece_numbers(prefixes: np.ndarray, at: int, length: int, known: tuple) -> np.ndarray:
-    """Which piece each row has at a place, or 0."""
+def piece_numbers(prefixes: np.ndarray, at: int, length: int, known: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The rows that have a piece at a place, and which one."""
     h = substring_hash(prefixes, at, length)
-    hashes, table, _ = known
-    rows = table[slot(h)]
+    hashes, table, _, seen = known
+    rows = np.flatnonzero(seen[thin(h)])
+    h = h[rows]
+    places = table[slot(h)]
     out = np.zeros(len(h), np.int64)
     for k in range(table.shape[1]):
-        out = np.where((hashes[rows[:, k]] == h) & (rows[:, k] > 0), rows[:, k], out)
-    return out
+        out = np.where((hashes[places[:, k]] == h) & (places[:, k] > 0), places[:, k], out)
+    return rows[out > 0], out[out > 0]
+
+
+def pieces_at(prefixes: np.ndarray, at: int, length: int, known: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The same, where a single character that no piece covers counts as piece 0."""
+    rows, numbers = piece_numbers(prefixes, at, length, known)
+    if length > 1:
+        return rows, numbers
+    every = np.zeros(len(prefixes), np.int64)
+    every[rows] = numbers
+    return np.arange(len(prefixes)), every
 
 
 def forward(points: np.ndarray, probability: np.ndarray, known: tuple, keep: bool = False):
@@ -80,12 +100,11 @@ def forward(points: np.ndarray, probability: np.ndarray, known: tuple, keep: boo
     found = {}
     for end in range(1, length + 1):
         for size in range(1, min(known[2], end) + 1):
-            number = piece_numbers(prefixes, end - size, size, known)
-            rows = np.arange(n) if size == 1 else np.flatnonzero(number)
+            rows, numbers = pieces_at(prefixes, end - size, size, known)
             if len(rows):
-                alpha[end, rows] += alpha[end - size, rows] * (probability[number[rows]] * SCALE**size)
+                alpha[end, rows] += alpha[end - size, rows] * (probability[numbers] * SCALE**size)
                 if keep:
-                    found[end, size] = rows, number[rows]
+                    found[end, size] = rows, numbers
     return (alpha, found) if keep else alpha[length]
 
 
@@ -98,11 +117,10 @@ def by_logarithms(points: np.ndarray, logs: np.ndarray, known: tuple):
     found = {}
     for end in range(1, length + 1):
         for size in range(1, min(known[2], end) + 1):
-            number = piece_numbers(prefixes, end - size, size, known)
-            rows = np.arange(n) if size == 1 else np.flatnonzero(number)
+            rows, numbers = pieces_at(prefixes, end - size, size, known)
             if len(rows):
-                alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - size, rows] + logs[number[rows]])
-                found[end, size] = rows, number[rows]
+                alpha[end, rows] = np.logaddexp(alpha[end, rows], alpha[end - size, rows] + logs[numbers])
+                found[end, size] = rows, numbers
     return alpha, found
 
 
@@ -150,7 +168,7 @@ def expected_pieces(words: list[str], counts: np.ndarray, probability: np.ndarra
     return out, likely
 
 
-def train(docs: DataFrame, path: str, most_docs: int = 1500, most_rounds: int = 6, gain: float = 0.02, text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict[str, np.ndarray]:
+def train(docs: DataFrame, path: str, most_docs: int = 1500, most_rounds: int = 4, gain: float = 0.1, text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict[str, np.ndarray]:
     """Piece probabilities of each language by expectation and maximisation, until a round adds less than `gain` to the
     mean log-likelihood of a word, `most_rounds` at most.
 
