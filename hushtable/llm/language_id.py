@@ -186,7 +186,7 @@ def train(docs: DataFrame, path: str, most_docs: int = 1500, most_rounds: int =
                     found.setdefault(own, Counter()).update(letters(t))
                 yield pd.DataFrame([(own, w, n) for own, c in found.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
-    words = materialize(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    words = materialize(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(32, "lang", "word"))
     known = vocabulary(path)
     size = len(known[0])
     uniform = np.full((size, 1), 1 / size)
