@@ -42,6 +42,13 @@ class Schema:
         return [self.negative, self.positive] if column == self.target else list(self.categorical[column])
 
 
+    def cells(self, column: str) -> list[str]:
+        """The same domain as parts of a cell's key: column[a,b) for numbers, column=value else."""
+        if column in self.numeric:
+            return [f"{column}[{a:g},{b:g})" for a, b in zip(self.numeric[column], self.numeric[column][1:])]
+        return [f"{column}={value}" for value in self.bins(column)]
+
+
 def number(column: str) -> Column:
     """A numeric value, null if it can't be read as one or is NaN."""
     value = F.expr(f"try_cast(`{column}` as double)")
@@ -65,6 +72,33 @@ def cell_bin(value: Column, edges: Sequence[float]) -> Column:
     return out
 
 
+def selection_bin(value: Column, edges: Sequence[float]) -> Column:
+    """Bins [a, b) by inner edges only: values outside fall in the boundary bins, a missing value in the first."""
+    out = F.lit(0)
+    for i in range(1, len(edges) - 1):
+        out = F.when(value >= edges[i], F.lit(i)).otherwise(out)
+    return out
+
+
+def half_open_band(value: Column, edges: Sequence[float]) -> Column:
+    """Bands [a, b), the last one open too; values outside and missing ones are `nan`."""
+    out = F.lit("nan")
+    for i in range(len(edges) - 1):
+        out = F.when((value >= edges[i]) & (value < edges[i + 1]), F.lit(str(i))).otherwise(out)
+    return out
+
+
+def clipped_band(column: str, edges: Sequence[float]) -> Column:
+    """Bands (a, b] of values clipped to the outer edges; a missing value has none."""
+    value = clipped(column, edges)
+    return F.when(value.isNotNull(), band(value, edges))
+
+
+def whole(value: Column) -> Column:
+    """A text without the .0 that a whole number read as a fraction ends with."""
+    return F.regexp_replace(F.trim(value), r"^(-?\d+)\.0$", "$1")
+
+
 def band(value: Column, edges: Sequence[float]) -> Column:
     """Bands (a, b], the lowest edge included, as labels; values outside and missing ones are the category `nan`."""
     out = F.lit("nan")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema, band, cell_bin, clipped, histogram_bin, number, text
@@ -57,7 +58,9 @@ def histogram_moments(df: DataFrame, schema: Schema, cohorts: list[str]) -> Data
 
 
 def cell(schema: Schema, column: str) -> Column:
-    return F.concat(F.lit(f"{column}="), (cell_bin(number(column), schema.numeric[column]) if column in schema.numeric else text(column)).cast("string"))
+    if column in schema.numeric:
+        return F.element_at(F.array(*map(F.lit, schema.cells(column))), cell_bin(number(column), schema.numeric[column]) + 1)
+    return F.concat(F.lit(f"{column}="), text(column))
 
 
 def cell_key(schema: Schema, columns) -> Column:
@@ -72,7 +75,7 @@ def cell_rates(df: DataFrame, schema: Schema) -> DataFrame:
     counts = rows.groupBy("level", "cell").agg(F.count("*").alias("support"), F.count_if(F.col("positive")).alias("positives"))
     every = []
     for i, level in enumerate(schema.levels):
-        d = domain(df, **{f"c{k}": [f"{c}={v}" for v in schema.bins(c)] for k, c in enumerate(level)})
+        d = domain(df, **{f"c{k}": schema.cells(c) for k, c in enumerate(level)})
         every.append(d.select(F.lit(i).alias("level"), (F.concat_ws(" & ", *d.columns) if level else F.lit("*")).alias("cell")))
     out = reduce(DataFrame.unionByName, every).join(counts, ["level", "cell"], "left").na.fill(0)
     return out.withColumn("rate", F.when(F.col("support") > 0, F.round(F.col("positives") / F.col("support"), 5)))
@@ -82,35 +85,39 @@ def mutual_information(df: DataFrame, schema: Schema) -> DataFrame:
     """Mutual information of each column's bands with the target, in nats; columns without rows have none."""
     rows = long_bins(df, schema, lambda c: band(number(c), schema.numeric[c]) if c in schema.numeric else text(c))
     joint = rows.groupBy("col", "bin", "positive").agg(F.count("*").alias("n"))
-    by_bin = rows.groupBy("col", "bin").agg(F.count("*").alias("nb"))
-    by_class = rows.groupBy("col", "positive").agg(F.count("*").alias("nc"))
-    total = rows.groupBy("col").agg(F.count("*").alias("nt"))
-    out = joint.join(by_bin, ["col", "bin"]).join(by_class, ["col", "positive"]).join(total, "col")
+    summed = lambda *by: F.sum("n").over(Window.partitionBy("col", *by))  # noqa: E731 (over the domain's few counts)
+    out = joint.withColumns({"nb": summed("bin"), "nc": summed("positive"), "nt": summed()})
     return out.groupBy("col").agg(F.round(F.sum(F.col("n") / F.col("nt") * F.log(F.col("n") * F.col("nt") / (F.col("nb") * F.col("nc")))), 9).alias("mi"))
 
 
 def one_way_distance(real: DataFrame, other: DataFrame, schema: Schema) -> DataFrame:
-    """Total variation of each column's bands between two tables: half the summed difference of shares."""
-    binned = lambda c: band(number(c), schema.numeric[c]) if c in schema.numeric else F.coalesce(text(c), F.lit("nan"))
-    both = long_bins(real, schema, binned).withColumn("side", F.lit(1)).unionByName(long_bins(other, schema, binned).withColumn("side", F.lit(-1)))
-    return _distance(both, ["col"])
+    """Total variation of each column's bands between two tables, the target's too, and their mean: half the summed
+    difference of shares."""
+    return _set_distance(real, other, schema, 1)
 
 
 def two_way_distance(real: DataFrame, other: DataFrame, schema: Schema) -> DataFrame:
-    """Total variation of every pair of columns."""
-    names = [*schema.numeric, *schema.categorical]
-    binned = lambda c: (band(number(c), schema.numeric[c]) if c in schema.numeric else F.coalesce(text(c), F.lit("nan"))).cast("string")
-    pairs = [F.struct(F.lit(f"{a}|{b}").alias("col"), F.concat_ws("|", binned(a), binned(b)).alias("bin")) for i, a in enumerate(names) for b in names[i + 1 :]]
-    side = lambda df, s: df.select(F.explode(F.array(*pairs)).alias("p")).select("p.*").withColumn("side", F.lit(s))
-    return _distance(side(real, 1).unionByName(side(other, -1)), ["col"])
-
-
-def _distance(both: DataFrame, by: list[str]) -> DataFrame:
-    counts = both.groupBy(*by, "bin").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.sum((F.col("side") == -1).cast("long")).alias("b"))
-    totals = counts.groupBy(*by).agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
-    share = lambda n, t: F.when(F.col(t) > 0, F.col(n) / F.col(t)).otherwise(F.lit(0.0))
-    out = counts.join(totals, by).groupBy(*by)
-    return out.agg(F.round(F.sum(F.abs(share("a", "ta") - share("b", "tb"))) / 2, 9).alias("distance"))
+    """Total variation of every pair of columns, those with the target too, and their mean."""
+    return _set_distance(real, other, schema, 2)
+
+
+def _set_distance(real: DataFrame, other: DataFrame, schema: Schema, k: int) -> DataFrame:
+    binned = lambda c: band(number(c), schema.numeric[c]) if c in schema.numeric else F.coalesce(text(c), F.lit("nan"))
+    sets = combinations([*schema.numeric, *schema.categorical, schema.target], k)
+    parts = [F.struct(F.lit("|".join(c)).alias("col"), F.concat_ws("|", *map(binned, c)).alias("bin")) for c in sets]
+    side = lambda df, s: df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").withColumn("side", F.lit(s))
+    return _distance(side(real, 1).unionByName(side(other, -1)), {"mean": F.lit(True)})
+
+
+def _distance(both: DataFrame, means: dict[str, Column]) -> DataFrame:
+    """The distance of each `col` from one aggregation, and a row for each named mean over the columns of a condition."""
+    counts = both.groupBy("col", "bin").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.sum((F.col("side") == -1).cast("long")).alias("b"))
+    of = Window.partitionBy("col")
+    share = lambda n: F.when(F.sum(n).over(of) > 0, F.col(n) / F.sum(n).over(of)).otherwise(F.lit(0.0))
+    apart = counts.select("col", F.abs(share("a") - share("b")).alias("apart")).groupBy("col").agg((F.sum("apart") / 2).alias("d"))
+    named = F.array(F.col("col"), *[F.when(condition, F.lit(name)) for name, condition in means.items()])
+    rows = apart.select(F.explode(named).alias("name"), "d").where("name is not null")
+    return rows.groupBy(F.col("name").alias("col")).agg(F.round(F.avg("d"), 9).alias("distance"))
 
 
 def conditional_error(real: DataFrame, other: DataFrame, schema: Schema) -> DataFrame:

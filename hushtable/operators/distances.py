@@ -20,13 +20,17 @@ def workload_bin(column: str, schema: Schema) -> Column:
 
 
 def k_way_distance(real: DataFrame, other: DataFrame, schema: Schema, k: int) -> DataFrame:
-    """Total variation of every set of k columns, the target among them; one pass over each table for all sets."""
+    """Total variation of every set of k columns, the target among them, their mean, and the mean of those with the target.
+
+    One pass over each table for all sets.
+    """
     names = [*schema.numeric, *schema.categorical, schema.target]
     if not 1 <= k <= len(names):
         raise ValueError(f"k must be from 1 to {len(names)}")
     sets = [F.struct(F.lit("|".join(c)).alias("col"), F.concat_ws("|", *[workload_bin(x, schema) for x in c]).alias("bin")) for c in combinations(names, k)]
     side = lambda df, s: df.select(F.explode(F.array(*sets)).alias("p")).select("p.*").withColumn("side", F.lit(s))
-    return _distance(side(real, 1).unionByName(side(other, -1)), ["col"])
+    target = F.array_contains(F.split("col", r"\|"), schema.target)
+    return _distance(side(real, 1).unionByName(side(other, -1)), {"mean": F.lit(True), "mean with target": target})
 
 
 def conditional_distance(real: DataFrame, other: DataFrame, schema: Schema, columns: tuple[str, ...], least: int = 30) -> DataFrame:

@@ -107,3 +107,58 @@ def laplace(scale: float, n: int, seed: int | None = None) -> np.ndarray:
         return np.random.default_rng(seed).laplace(0, scale, n)
     half = (np.array([secrets.randbits(53) for _ in range(n)]) + 0.5) / 2**53 - 0.5
     return -scale * np.sign(half) * np.log1p(-2 * np.abs(half))
+
+
+def mean_sensitivity(low: float, high: float, n: int) -> float:
+    """How much one of n values within bounds can change their mean."""
+    if not low < high or n < 1:
+        raise ValueError("bounds must ascend and n be positive")
+    return (high - low) / n
+
+
+def exponential_choice(scores: np.ndarray, epsilon: float, sensitivity: float = 1.0, seed: int | None = None) -> int:
+    """The exponential mechanism: number i with a chance in proportion to exp(epsilon * score / (2 * sensitivity)).
+
+    Drawn as the largest score under Gumbel noise, which has that law.
+    """
+    rng = np.random.default_rng(seed)
+    return int(np.argmax(np.asarray(scores, float) * epsilon / (2 * sensitivity) + rng.gumbel(size=len(scores))))
+
+
+def permute_and_flip(scores: np.ndarray, epsilon: float, sensitivity: float = 1.0, seed: int | None = None) -> int:
+    """Permute and flip, which is never worse than the exponential mechanism: the largest score under exponential noise."""
+    rng = np.random.default_rng(seed)
+    return int(np.argmax(np.asarray(scores, float) * epsilon / (2 * sensitivity) + rng.exponential(size=len(scores))))
+
+
+def delta_of(rho: float, epsilon: float) -> float:
+    """The least delta for which rho-zCDP implies (epsilon, delta), over the order alpha of the Renyi bound."""
+    if rho <= 0:
+        return 0.0
+    low, high = 1.0 + 1e-9, (epsilon + 1) / (2 * rho) + 2
+    for _ in range(200):  # the exponent's slope in alpha rises, so its zero is bracketed
+        alpha = (low + high) / 2
+        if (2 * alpha - 1) * rho - epsilon + np.log1p(-1 / alpha) < 0:
+            low = alpha
+        else:
+            high = alpha
+    return float(min(1.0, np.exp((alpha - 1) * (alpha * rho - epsilon) + alpha * np.log1p(-1 / alpha)) / (alpha - 1)))
+
+
+def rho_of(epsilon: float, delta: float) -> float:
+    """The largest rho whose zCDP implies (epsilon, delta), by bisection."""
+    if not 0 < delta < 1 or epsilon < 0:
+        raise ValueError("epsilon must not be negative, delta be between 0 and 1")
+    low, high = 0.0, epsilon + 1
+    for _ in range(200):
+        middle = (low + high) / 2
+        if delta_of(middle, epsilon) <= delta:
+            low = middle
+        else:
+            high = middle
+    return low
+
+
+def gaussian(rho: float, sensitivity: float, size: int, seed: int | None = None) -> np.ndarray:
+    """Gaussian noise that spends rho of zero-concentrated privacy on values with this L2 sensitivity."""
+    return np.random.default_rng(seed).normal(0, sensitivity / np.sqrt(2 * rho), size)

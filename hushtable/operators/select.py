@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtable.functions.bins import Schema, histogram_bin, number, text
+from hushtable.functions.bins import Schema, number, selection_bin, text
 from hushtable.operators.distances import pool_coverage
 from hushtable.operators.ranks import ranked
 from hushtable.operators.stage import Release
@@ -19,8 +19,8 @@ SIGNATURES = 2_000_000
 
 
 def with_signature(pool: DataFrame, schema: Schema) -> DataFrame:
-    """Adds cohort, class and the bin of every column; values outside the public domain have no bin."""
-    binned = lambda c: histogram_bin(number(c), schema.numeric[c]).cast("string") if c in schema.numeric else F.when(text(c).isin(list(schema.categorical[c])), text(c))
+    """Adds cohort, class and the bin of every column; numbers outside the edges fall in the boundary bins, texts outside the domain in none."""
+    binned = lambda c: selection_bin(number(c), schema.numeric[c]).cast("string") if c in schema.numeric else F.when(text(c).isin(list(schema.categorical[c])), text(c))
     parts = [F.coalesce(binned(c), F.lit("")).alias(f"_bin_{c}") for c in [*schema.numeric, *schema.categorical]]
     return pool.select("*", F.coalesce(text(schema.stratify), F.lit("")).alias("_cohort"), F.coalesce(text(schema.target) == schema.positive, F.lit(False)).alias("_positive"), *parts)
 

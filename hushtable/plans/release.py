@@ -46,7 +46,7 @@ def _cell_sql(c):
     if c not in ITEMS.numeric:
         return f"'{c}=' || {c}"
     edges = ITEMS.numeric[c]
-    return f"'{c}=' || CASE " + " ".join(f"WHEN {c} < {edges[i + 1]} THEN '{i}'" for i in range(len(edges) - 2)) + f" ELSE '{len(edges) - 2}' END"
+    return "CASE " + " ".join(f"WHEN {c} < {edges[i + 1]} THEN '{ITEMS.cells(c)[i]}'" for i in range(len(edges) - 2)) + f" ELSE '{ITEMS.cells(c)[-1]}' END"
 
 
 CLIPPED = "(SELECT l_returnflag, l_linestatus, " + ", ".join(f"least(greatest({c}, {e[0]}), {e[-1]}) AS {c}" for c, e in ITEMS.numeric.items()) + " FROM lineitem WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in ITEMS.numeric) + ") t"
@@ -56,7 +56,7 @@ DENSE = f"SELECT d.cohort, d.col, d.bin, coalesce(c.n, 0) AS n FROM ({DOMAIN}) d
 BANDS = lambda where: " UNION ALL ".join([*(f"SELECT '{c}' AS col, {_band_sql(c, e)} AS bin, l_linestatus = 'F' AS positive FROM lineitem {where}" for c, e in ITEMS.numeric.items()), f"SELECT 'l_returnflag', l_returnflag, l_linestatus = 'F' FROM lineitem {where}"])
 CELLS = lambda where: " UNION ALL ".join(f"SELECT {i} AS level, {" || ' & ' || ".join(_cell_sql(c) for c in level)} AS cell, l_linestatus = 'F' AS positive FROM lineitem {where}" for i, level in enumerate(ITEMS.levels))
 CELL_DOMAIN = " UNION ALL ".join(
-    f"SELECT {i} AS level, {" || ' & ' || ".join(f'c{k}' for k in range(len(level)))} AS cell FROM " + ", ".join(f"(SELECT unnest([{', '.join(repr(f'{c}={b}') for b in ITEMS.bins(c))}]) AS c{k}) AS d{k}" for k, c in enumerate(level))
+    f"SELECT {i} AS level, {" || ' & ' || ".join(f'c{k}' for k in range(len(level)))} AS cell FROM " + ", ".join(f"(SELECT unnest([{', '.join(repr(b) for b in ITEMS.cells(c))}]) AS c{k}) AS d{k}" for k, c in enumerate(level))
     for i, level in enumerate(ITEMS.levels)
 )
 
@@ -89,17 +89,24 @@ def mutual_information(spark, sf_dir):
     return counts.mutual_information(items(spark, sf_dir), ITEMS)
 
 
-@query("one_way_distance", f"WITH a AS (SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS p FROM ({BANDS('WHERE l_orderkey % 2 = 0')}) GROUP BY 1, 2), b AS (SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS q FROM ({BANDS('WHERE l_orderkey % 2 = 1')}) GROUP BY 1, 2) SELECT col, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) AS distance FROM a FULL JOIN b USING (col, bin) GROUP BY col")
-def one_way_distance(spark, sf_dir):
-    return counts.one_way_distance(*halves(spark, sf_dir), ITEMS)
+def _distance_sql(rows, means="SELECT 'mean', round(avg(d), 9) FROM d"):
+    """Distances between the halves of what `rows` gives for a condition, and their means."""
+    side = lambda half, name: f"SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS {name} FROM ({rows(f'WHERE l_orderkey % 2 = {half}')}) GROUP BY 1, 2"
+    return f"WITH a AS ({side(0, 'p')}), b AS ({side(1, 'q')}), d AS (SELECT col, sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2 AS d FROM a FULL JOIN b USING (col, bin) GROUP BY col) SELECT col, round(d, 9) AS distance FROM d UNION ALL {means}"
 
 
-_NAMES = [*ITEMS.numeric, *ITEMS.categorical]
+_NAMES = [*ITEMS.numeric, *ITEMS.categorical, ITEMS.target]
 _BAND = {c: _band_sql(c, ITEMS.numeric[c]) if c in ITEMS.numeric else c for c in _NAMES}
-PAIRS = lambda where: " UNION ALL ".join(f"SELECT '{a}|{b}' AS col, {_BAND[a]} || '|' || {_BAND[b]} AS bin FROM lineitem {where}" for i, a in enumerate(_NAMES) for b in _NAMES[i + 1 :])
+SINGLES = lambda where: " UNION ALL ".join(f"SELECT '{c}' AS col, {_BAND[c]} AS bin FROM lineitem {where}" for c in _NAMES)
+PAIRS = lambda where: " UNION ALL ".join(f"SELECT '{a}|{b}' AS col, {_BAND[a]} || '|' || {_BAND[b]} AS bin FROM lineitem {where}" for a, b in combinations(_NAMES, 2))
+
+
+@query("one_way_distance", _distance_sql(SINGLES))
+def one_way_distance(spark, sf_dir):
+    return counts.one_way_distance(*halves(spark, sf_dir), ITEMS)
 
 
-@query("two_way_distance", f"WITH a AS (SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS p FROM ({PAIRS('WHERE l_orderkey % 2 = 0')}) GROUP BY 1, 2), b AS (SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS q FROM ({PAIRS('WHERE l_orderkey % 2 = 1')}) GROUP BY 1, 2) SELECT col, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) AS distance FROM a FULL JOIN b USING (col, bin) GROUP BY col")
+@query("two_way_distance", _distance_sql(PAIRS))
 def two_way_distance(spark, sf_dir):
     return counts.two_way_distance(*halves(spark, sf_dir), ITEMS)
 
@@ -124,7 +131,7 @@ _WORKLOAD |= {c: f"coalesce({c}, 'nan')" for c in [*ITEMS.categorical, ITEMS.tar
 TRIPLES = lambda where: " UNION ALL ".join(f"SELECT '{'|'.join(t)}' AS col, {" || '|' || ".join(_WORKLOAD[c] for c in t)} AS bin FROM lineitem {where}" for t in combinations(_WORKLOAD, 3))
 
 
-@query("three_way_distance", f"WITH a AS (SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS p FROM ({TRIPLES('WHERE l_orderkey % 2 = 0')}) GROUP BY 1, 2), b AS (SELECT col, bin, count(*) / sum(count(*)) OVER (PARTITION BY col) AS q FROM ({TRIPLES('WHERE l_orderkey % 2 = 1')}) GROUP BY 1, 2) SELECT col, round(sum(abs(coalesce(p, 0) - coalesce(q, 0))) / 2, 9) AS distance FROM a FULL JOIN b USING (col, bin) GROUP BY col")
+@query("three_way_distance", _distance_sql(TRIPLES, f"SELECT 'mean', round(avg(d), 9) FROM d UNION ALL SELECT 'mean with target', round(avg(d), 9) FROM d WHERE list_contains(string_split(col, '|'), '{ITEMS.target}')"))
 def three_way_distance(spark, sf_dir):
     return distances.k_way_distance(*halves(spark, sf_dir), ITEMS, 3)
 
