@@ -139,7 +139,7 @@ def word_scores(words: list[str], probability: np.ndarray, known: tuple) -> np.n
 
 def expected_pieces(words: list[str], counts: np.ndarray, probability: np.ndarray, known: tuple) -> tuple[np.ndarray, float]:
     """How often each piece is expected in the words, over all segmentations, forward and backward; and their log-likelihood."""
-    out, likely = np.zeros(len(probability)), 0.0
+    seen, likely = [(np.zeros(0, np.int64), np.zeros(0))], 0.0
     for rows, points in by_length(["▁" + w for w in words]):
         length = points.shape[1]
         if length > LONG:
@@ -151,7 +151,7 @@ def expected_pieces(words: list[str], counts: np.ndarray, probability: np.ndarra
             for end, size in sorted(found, reverse=True):
                 at, number = found[end, size]
                 step = logs[number, 0] + beta[end, at]
-                out += np.bincount(number, counts[rows[at]] * np.exp(alpha[end - size, at, 0] + step - total[at]), len(out))
+                seen.append((number, counts[rows[at]] * np.exp(alpha[end - size, at, 0] + step - total[at])))
                 beta[end - size, at] = np.logaddexp(beta[end - size, at], step)
             likely += float(counts[rows] @ total)
             continue
@@ -163,12 +163,26 @@ def expected_pieces(words: list[str], counts: np.ndarray, probability: np.ndarra
         for end, size in sorted(found, reverse=True):
             at, number = found[end, size]
             step = probability[number, 0] * SCALE**size * beta[end, at]
-            out += np.bincount(number, counts[rows[at]] * alpha[end - size, at, 0] * step / total[at], len(out))
+            seen.append((number, counts[rows[at]] * alpha[end - size, at, 0] * step / total[at]))
             beta[end - size, at] += step
-    return out, likely
+    numbers, shares = map(np.concatenate, zip(*seen))
+    return np.bincount(numbers, shares, len(probability)), likely
 
 
-def train(docs: DataFrame, path: str, most_docs: int = 1500, most_rounds: int = 4, gain: float = 0.1, text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict[str, np.ndarray]:
+def gathered(frames, rows: int):
+    """Frames put together to about so many rows, as a few large matrices cost less than many small ones."""
+    held, n = [], 0
+    for frame in frames:
+        held.append(frame)
+        n += len(frame)
+        if n >= rows:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
+
+
+def train(docs: DataFrame, path: str, most_docs: int = 1500, most_rounds: int = 3, gain: float = 0.1, text: str = "text", key: str = "doc_id", lang: str = "lang") -> dict[str, np.ndarray]:
     """Piece probabilities of each language by expectation and maximisation, until a round adds less than `gain` to the
     mean log-likelihood of a word, `most_rounds` at most.
 
@@ -186,7 +200,7 @@ def train(docs: DataFrame, path: str, most_docs: int = 1500, most_rounds: int =
                     found.setdefault(own, Counter()).update(letters(t))
                 yield pd.DataFrame([(own, w, n) for own, c in found.items() for w, n in c.items()], columns=["lang", "word", "n"])
 
-    words = materialize(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(32, "lang", "word"))
+    words = materialize(sample.mapInPandas(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).repartition(16, "lang", "word"))
     known = vocabulary(path)
     size = len(known[0])
     uniform = np.full((size, 1), 1 / size)
@@ -200,7 +214,7 @@ def train(docs: DataFrame, path: str, most_docs: int = 1500, most_rounds: int =
         def expect(frames):
             pieces = vocabulary(path)
             sums: dict = {}
-            for frame in frames:
+            for frame in gathered(frames, 20_000):
                 for own, part in frame.groupby("lang"):
                     p = before[own][:, None] if own in before else uniform
                     found, likely = expected_pieces(part["word"].tolist(), part["n"].to_numpy(float), p, pieces)
