@@ -6,10 +6,14 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hushtable.functions.bins import Schema
-from hushtable.operators.select import select_to_release
+from hushtable.functions.bins import Schema, undiscretise
+from hushtable.operators.joint import fit, Joint
+from hushtable.operators.select import select_to_release, systematic
 from hushtable.operators.stage import Release
 
+#: Drawn rows of one cell are written in runs of at most so many, so that a hot cell is shared out.
+RUN = 10_000
+
 
 def unit(name: str, seed: int, row: str = "row") -> Column:
     """A number in [0, 1) for each row and name: a hash, so that a task that is run again draws the same."""
@@ -28,25 +32,38 @@ def quotas(release: Release, n: int) -> list[tuple[str, bool, int]]:
     return out
 
 
-def undiscretise(bins: Column, edges, u: Column, whole: bool) -> Column:
-    """A value drawn evenly in its bin; of whole numbers, only the last bin's upper edge belongs to it."""
-    e = F.array(*[F.lit(float(x)) for x in edges])
-    low, high = F.element_at(e, bins + 1), F.element_at(e, bins + 2)
-    if not whole:
-        return low + u * (high - low)
-    top = F.when(bins == len(edges) - 2, high).otherwise(high - 1)
-    return F.least(F.floor(low + u * (top - low + 1)).cast("double"), top)
-
-
 def below(sums: Column, u: Column) -> Column:
     return F.size(F.filter(sums, lambda x: x <= u))
 
 
-def draw(spark: SparkSession, release: Release, schema: Schema, n: int, seed: int = 0) -> DataFrame:
-    """n rows (row, features, target) whose columns are independent given cohort and class.
+def spread(spark: SparkSession, fitted: Joint, blocks: list[tuple[str, bool, int]], n: int, seed: int) -> DataFrame:
+    """Rows (row, block, a place `_at_` of each joined column): an even step over each block's fitted cells says how many.
 
-    Each column is drawn by inverting its released distribution; a numeric value lies evenly in its bin, and is whole where
-    all edges are. Sizes of cohorts and classes are exact.
+    The driver lists runs of at most RUN rows, as many as cells with rows and n / RUN; tasks write them out.
+    """
+    start = np.random.default_rng(seed).random()
+    shape = fitted.shares.shape[2:]
+    runs, first = [], 0
+    for i, (cohort, positive, rows) in enumerate(blocks):
+        weight = fitted.shares[fitted.cohorts.index(cohort), int(positive)].ravel()
+        counts = systematic(weight / weight.sum(), np.full(len(weight), rows), rows, start)
+        for cell in np.flatnonzero(counts):
+            at = [int(x) for x in np.unravel_index(cell, shape)] if shape else []
+            for begin in range(0, int(counts[cell]), RUN):
+                k = min(RUN, int(counts[cell]) - begin)
+                runs.append((i, at, first, first + k - 1))
+                first += k
+    table = spark.createDataFrame(runs, "block int, _at array<int>, _first long, _last long").repartition(max(1, -(-n // 500_000)), "_first")
+    places = [F.col("_at")[k].alias(f"_at_{c}") for k, c in enumerate(fitted.columns)]
+    return table.select("block", *places, F.explode(F.sequence("_first", "_last")).alias("row"))
+
+
+def draw(spark: SparkSession, release: Release, schema: Schema, n: int, seed: int = 0, fitted: Joint | None = None) -> DataFrame:
+    """n rows (row, features, target): columns of a fitted joint distribution are drawn together, all others are
+    independent given cohort and class.
+
+    A column outside it is drawn by inverting its released distribution; a numeric value lies evenly in its bin, and is whole
+    where all edges are. Sizes of cohorts and classes are exact.
     """
     blocks = [b for b in quotas(release, n) if b[2]]
     starts = np.concatenate([[0], np.cumsum([b[2] for b in blocks])])[:-1].tolist()
@@ -57,12 +74,18 @@ def draw(spark: SparkSession, release: Release, schema: Schema, n: int, seed: in
         cdfs = [np.cumsum([shares[cohort, positive, c].get(b, 0.0) for b in schema.bins(c)]) for c in columns]
         table.append((i, cohort, positive, [(x / x[-1]).tolist() for x in cdfs]))
     known = spark.createDataFrame(table, "block int, _cohort string, _positive boolean, _cdf array<array<double>>")
-    begins = F.array(*[F.lit(s) for s in starts])
-    rows = spark.range(n).withColumnRenamed("id", "row")
-    rows = rows.withColumn("block", F.size(F.filter(begins, lambda s: s <= F.col("row"))) - 1).join(F.broadcast(known), "block")
+    if fitted is None:
+        begins = F.array(*[F.lit(s) for s in starts])
+        rows = spark.range(n).withColumnRenamed("id", "row").withColumn("block", F.size(F.filter(begins, lambda s: s <= F.col("row"))) - 1)
+    else:
+        rows = spread(spark, fitted, blocks, n, seed)
+    rows = rows.join(F.broadcast(known), "block")
     out = []
     for k, c in enumerate(columns):
-        at = F.least(below(F.col("_cdf")[k], unit(c, seed)), F.lit(len(schema.bins(c)) - 1))
+        if fitted is not None and c in fitted.columns:
+            at = F.col(f"_at_{c}")
+        else:
+            at = F.least(below(F.col("_cdf")[k], unit(c, seed)), F.lit(len(schema.bins(c)) - 1))
         if c in schema.numeric:
             edges = schema.numeric[c]
             value = undiscretise(at, edges, unit(f"{c} in its bin", seed), all(float(e).is_integer() for e in edges))
@@ -75,6 +98,10 @@ def draw(spark: SparkSession, release: Release, schema: Schema, n: int, seed: in
     return rows.select("row", *out, label.alias(schema.target))
 
 
-def decode(spark: SparkSession, release: Release, schema: Schema, n: int, pool_factor: int = 3, seed: int = 0) -> DataFrame:
-    """n rows selected to the release from a drawn pool of pool_factor times as many."""
-    return select_to_release(draw(spark, release, schema, n * pool_factor, seed), release, schema, n, ["row"], seed)
+def decode(spark: SparkSession, release: Release, schema: Schema, n: int, pool_factor: int = 3, seed: int = 0, joint: bool = True) -> DataFrame:
+    """n rows selected to the release from a drawn pool of pool_factor times as many.
+
+    With `joint`, the pool follows the fitted distribution of greatest entropy, so that cells of the release are met too.
+    """
+    fitted = fit(release, schema) if joint and len(release.cells) else None
+    return select_to_release(draw(spark, release, schema, n * pool_factor, seed, fitted), release, schema, n, ["row"], seed)

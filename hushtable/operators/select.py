@@ -1,4 +1,4 @@
-"""Choose rows of a pool so that their counts follow a release: raking over signatures, then a systematic draw."""
+"""Choose rows of a pool so that their counts follow a release: raking over signatures, a systematic draw, exchanges."""
 
 from __future__ import annotations
 
@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hushtable.functions.bins import Schema, number, selection_bin, text
+from hushtable.functions.bins import Schema, number, selection_bin, text, undiscretise
 from hushtable.operators.distances import pool_coverage
-from hushtable.operators.ranks import ranked
+from hushtable.operators.ranks import ranked, unit_hash
 from hushtable.operators.stage import Release
 
 #: A pool must have so many times the rows that a cohort owes.
@@ -25,10 +25,27 @@ def with_signature(pool: DataFrame, schema: Schema) -> DataFrame:
     return pool.select("*", F.coalesce(text(schema.stratify), F.lit("")).alias("_cohort"), F.coalesce(text(schema.target) == schema.positive, F.lit(False)).alias("_positive"), *parts)
 
 
-def inclusion_weights(signatures: pd.DataFrame, release: Release, columns: list[str], n: int, rounds: int = 40, least: float = 1.0) -> np.ndarray:
+def level_keys(signatures: pd.DataFrame, schema: Schema) -> list[list[tuple]]:
+    """For each level, the (level, cell, class) of every signature; a missing number counts in the first bin, as in selection."""
+    label = {c: dict(zip(schema.bins(c), schema.cells(c))) for c in [*schema.numeric, *schema.categorical]}
+    out = []
+    for i, level in enumerate(schema.levels):
+        parts = [[label[c].get(b, "") for b in signatures[f"_bin_{c}"]] if c in label else [f"{c}={a}" for a in signatures["_cohort"]] for c in level]
+        out.append([(i, " & ".join(x[at] for x in parts) or "*", p) for at, p in enumerate(signatures["_positive"].tolist())])
+    return out
+
+
+def cell_goals(release: Release, n: int) -> dict[tuple, float]:
+    """Rows that n ones should have in each released cell and class: (level, cell, class) to a number."""
+    part = n / release.cohorts["size"].sum()
+    return {(int(r.level), r.cell, p): (r.rate if p else 1 - r.rate) * r.support * part for r in release.cells.itertuples() for p in (True, False)}
+
+
+def inclusion_weights(signatures: pd.DataFrame, release: Release, columns: list[str], n: int, rounds: int = 40, least: float = 1.0, schema: Schema | None = None) -> np.ndarray:
     """The chance of each signature's rows to be chosen, from 0 to 1, fitted to the release in turns.
 
-    Blocks are met in order: cohort sizes, classes in cohorts, then each column's bins by cohort and class. Targets under
+    Blocks are met in order: with a schema its levels' released cells by class, then cohort sizes, classes in cohorts, then
+    each column's bins by cohort and class. Cells that weren't released bind nothing. Targets under
     `least` rows are left out; a signature with a value outside the public domain or in no released cohort has weight 0.
     """
     count = signatures["n"].to_numpy(float)
@@ -43,6 +60,10 @@ def inclusion_weights(signatures: pd.DataFrame, release: Release, columns: list[
         blocks.append(([marginal.get(k) for k in keys], keys))
     fit = []
     known = np.ones(len(count), bool)
+    goals = cell_goals(release, n)
+    for keys in level_keys(signatures, schema) if schema else []:
+        targets = np.array([goals.get(k, np.nan) for k in keys], float)
+        fit.append((np.where((targets > 0) & (targets < least), np.nan, targets), pd.factorize(pd.Index(keys, tupleize_cols=False))[0]))
     for targets, keys in blocks:
         known &= np.array([t is not None for t in targets], bool)
         fit.append((np.array([t if t is not None and not 0 < t < least else np.nan for t in targets], float), pd.factorize(pd.Index(keys, tupleize_cols=False))[0]))
@@ -74,10 +95,57 @@ def systematic(weight: np.ndarray, count: np.ndarray, n: int, start: float) -> n
     return np.minimum(np.diff(np.floor(ends - start)).astype(int), count)
 
 
-def select_to_release(pool: DataFrame, release: Release, schema: Schema, n: int, ids: list[str], seed: int = 0, allow_short: bool = False) -> DataFrame:
+def swapped(signatures: pd.DataFrame, quota: np.ndarray, release: Release, schema: Schema, n: int, swaps: int) -> np.ndarray:
+    """Quotas after up to `swaps` exchanges, each of which brings the counts nearer to the release in summed absolute difference.
+
+    Counted are cohorts, classes, each column's bins by cohort and class, and positives and negatives of released cells. An
+    exchange moves the same number of rows, from a thousandth of n down to one, out of the signature that has most to spare
+    and into the one that then gains most; it stops where none gains. Signatures of no released cohort or value get no rows.
+    """
+    size = release.cohorts.set_index("cohort")
+    total = size["size"].sum()
+    cohort, positive = signatures["_cohort"].tolist(), signatures["_positive"].tolist()
+    share = {(c, p): size.at[c, "size"] / total * n * (size.at[c, "positive_share"] if p else 1 - size.at[c, "positive_share"]) for c in size.index for p in (True, False)}
+    goals = {("cohort", c): size.at[c, "size"] / total * n for c in size.index} | share
+    goals |= {(r.cohort, bool(r.positive), r.col, r.bin): r.share * share[r.cohort, bool(r.positive)] for r in release.marginals.itertuples()}
+    goals |= cell_goals(release, n)
+    keys = [[("cohort", c) for c in cohort], list(zip(cohort, positive))]
+    for c in [*schema.numeric, *schema.categorical]:
+        keys.append([(a, p, c, b) for a, p, b in zip(cohort, positive, signatures[f"_bin_{c}"])])
+    usable = np.all([[k in goals for k in part] for part in keys], axis=0)
+    keys += level_keys(signatures, schema)
+    codes, names = pd.factorize(pd.Index([k for part in keys for k in part], tupleize_cols=False))
+    at = codes.reshape(len(keys), -1)
+    weight = np.array([k in goals for k in names], float)
+    off = -np.array([goals.get(k, 0.0) for k in names])
+    quota, count = quota.copy(), signatures["n"].to_numpy()
+    for part in at:
+        np.add.at(off, part, quota)
+    change = lambda by: (weight * (np.abs(off) - np.abs(off + by)))[at].sum(axis=0)
+    step = max(1, n // 1000)
+    for _ in range(swaps):
+        spare = np.where(quota >= step, change(-step), -np.inf)
+        out = int(spare.argmax())
+        off[at[:, out]] -= step
+        wanted = np.where(usable & (count - quota >= step), change(step), -np.inf)
+        into = int(wanted.argmax())
+        if spare[out] + wanted[into] > 1e-9:
+            off[at[:, into]] += step
+            quota[out] -= step
+            quota[into] += step
+            continue
+        off[at[:, out]] += step
+        if step == 1:
+            break
+        step //= 2
+    return quota
+
+
+def select_to_release(pool: DataFrame, release: Release, schema: Schema, n: int, ids: list[str], seed: int = 0, allow_short: bool = False, swaps: int = 200) -> DataFrame:
     """n rows of the pool whose counts follow the release; `ids` tell rows apart.
 
     The pool is counted by signature, of which the public domain bounds the number; weights are fitted on these counts.
+    The even draw is then bettered by up to `swaps` exchanges between signatures.
     Which rows of a signature are taken is decided by exact ranks in hash order, so no signature is sorted in one task.
     """
     columns = [*schema.numeric, *schema.categorical]
@@ -95,8 +163,25 @@ def select_to_release(pool: DataFrame, release: Release, schema: Schema, n: int,
     signatures = rows.groupBy(*keys).agg(F.count("*").alias("n")).toPandas().sort_values(keys, ignore_index=True)
     if signatures["n"].sum() < n:
         raise ValueError(f"the pool has fewer than {n} rows in released cohorts")
-    weight = inclusion_weights(signatures, release, columns, n)
-    signatures["_quota"] = systematic(weight, signatures["n"].to_numpy(), n, np.random.default_rng(seed).random())
+    weight = inclusion_weights(signatures, release, columns, n, schema=schema)
+    drawn = systematic(weight, signatures["n"].to_numpy(), n, np.random.default_rng(seed).random())
+    signatures["_quota"] = swapped(signatures, drawn, release, schema, n, swaps)
     quotas = pool.sparkSession.createDataFrame(signatures.loc[signatures["_quota"] > 0, [*keys, "_quota"]])
     wanted = rows.join(F.broadcast(quotas), keys)
     return ranked(wanted, keys, ids, seed).where(F.col("rank") < F.col("_quota")).select(*pool.columns)
+
+
+def redraw(df: DataFrame, schema: Schema, ids: list[str], seed: int = 0, bands: dict[str, list[float]] | None = None) -> DataFrame:
+    """Each number drawn anew within its bin, and within its cohort's band where `bands` names the column's band edges.
+
+    Values outside the edges are drawn in the boundary bins; missing ones stay as they are. Whole edges give whole numbers, of
+    which only the last bin holds its upper edge. The draw depends on `ids`, column and seed alone.
+    """
+    changed = {}
+    for c, edges in schema.numeric.items():
+        inner = [float(b) for b in (bands or {}).get(c, []) if edges[0] < b < edges[-1]]
+        finer = sorted({*map(float, edges), *inner})
+        u = unit_hash(F.concat_ws("|", *[F.col(k).cast("string") for k in ids], F.lit(c), F.lit(str(seed))))
+        drawn = undiscretise(selection_bin(number(c), finer), finer, u, all(e.is_integer() for e in finer))
+        changed[c] = F.when(number(c).isNotNull(), drawn)
+    return df.withColumns(changed)
