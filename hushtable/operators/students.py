@@ -47,12 +47,13 @@ def students(train: DataFrame, test: DataFrame, schema: Schema, seed: int, names
     out = []
     if known >= 2:
         encoder = Pipeline(stages=steps).fit(fit)
-        fit, judge = encoder.transform(fit), encoder.transform(judge)
+        fit, judge = encoder.transform(fit).select("features", "scaled", "label").persist(), encoder.transform(judge)
     for name in names:
         score = F.lit(0.0)
         rows = judge
         if known >= 2:
             rows = made[name].fit(fit).transform(judge)
             score = vector_to_array("probability")[1]
-        out.append(auc(rows, score, F.col("label") == 1).select(F.lit(name).alias("student"), "auc", "positives", "negatives"))
+        out.append(auc(rows.select("label", score.alias("score")), F.col("score"), F.col("label") == 1).select(F.lit(name).alias("student"), "auc", "positives", "negatives"))
+    fit.unpersist()
     return reduce(DataFrame.unionByName, out)

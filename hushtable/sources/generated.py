@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema, number
@@ -21,22 +21,29 @@ def parse_generated(texts: DataFrame, schema: Schema, text: str = "text", key: s
     names = [*schema.numeric, *schema.categorical, schema.target]
     if key in names:
         raise ValueError(f"{key} is also a column of the schema")
+    kept = [key] if key else []
     fields = lambda line: F.transform(F.split(line, ","), lambda s: F.trim(s))
     wanted = F.array(*[F.lit(c) for c in names])
-    lines = F.transform(F.split(F.col(text), "\r?\n"), fields)
-    base = texts.select(*([key] if key else []), lines.alias("_lines"))
-    heads = F.transform("_lines", lambda f: F.size(F.array_intersect(f, wanted)) >= len(names) * ENOUGH)
-    base = base.withColumn("_at", F.array_position(heads, True)).where("_at > 0").withColumn("_head", F.element_at("_lines", F.col("_at").cast("int")))
-    rows = base.select(*([key] if key else []), "_head", F.posexplode("_lines").alias("_pos", "_fields"), "_at").where((F.col("_pos") >= F.col("_at")) & (F.size("_fields") == F.size("_head")))
-    for c in names:
-        at = F.array_position("_head", c).cast("int")
-        rows = rows.withColumn(c, F.when(at > 0, F.get("_fields", at - 1)))
-        rows = rows.withColumn(f"_has_{c}", at > 0)
-    ok = F.col(schema.target).isin(schema.positive, schema.negative)
-    for c, edges in schema.numeric.items():
-        rows = rows.withColumn(c, number(c))
-        ok &= ~F.col(f"_has_{c}") | F.coalesce(F.col(c).between(float(edges[0]), float(edges[-1])), F.lit(False))
-    for c, values in schema.categorical.items():
-        rows = rows.withColumn(c, F.when(F.col(c).rlike(r"^-?\d+\.0+$") & ~F.col(c).isin(list(values)), F.regexp_replace(c, r"\.0+$", "")).otherwise(F.col(c)))
-        ok &= ~F.col(f"_has_{c}") | F.coalesce(F.col(c).isin(list(values)), F.lit(False))
-    return rows.where(ok).select(*([key] if key else []), *names)
+    base = _once(texts, kept, lines=F.transform(F.split(F.col(text), "\r?\n"), fields))
+    heads = F.transform("lines", lambda f: F.size(F.array_intersect(f, wanted)) >= len(names) * ENOUGH)
+    base = _once(base, [*kept, "lines"], at=F.array_position(heads, True).cast("int")).where("at > 0")
+    base = _once(base, [*kept, "lines", "at"], head=F.element_at("lines", F.col("at")))
+    rows = base.select(*kept, "head", F.explode(F.slice("lines", F.col("at") + 1, F.size("lines"))).alias("fields")).where(F.size("fields") == F.size("head"))
+    place = {c: F.array_position("head", c).cast("int") for c in names}
+    read = lambda c: F.when(place[c] > 0, F.get("fields", place[c] - 1))
+    rows = _once(rows, [*kept, "head"], **{c: read(c) for c in names})
+    whole = lambda c, values: F.when(F.col(c).rlike(r"^-?\d+\.0+$") & ~F.col(c).isin(list(values)), F.regexp_replace(c, r"\.0+$", "")).otherwise(F.col(c))
+    typed = {c: number(c) for c in schema.numeric} | {c: whole(c, v) for c, v in schema.categorical.items()}
+    rows = _once(rows.where(F.col(schema.target).isin(schema.positive, schema.negative)), [*kept, "head"], **typed, **{schema.target: F.col(schema.target)})
+    ok = F.lit(True)
+    for c in [*schema.numeric, *schema.categorical]:
+        edges = schema.numeric.get(c)
+        fits = F.col(c).between(float(edges[0]), float(edges[-1])) if edges else F.col(c).isin(list(schema.categorical[c]))
+        ok &= (place[c] == 0) | F.coalesce(fits, F.lit(False))
+    return rows.where(ok).select(*kept, *names)
+
+
+def _once(df: DataFrame, kept: list[str], **made: Column) -> DataFrame:
+    """`kept` and new columns, each worked out once: the optimizer doesn't merge projections over a generator."""
+    fresh = F.struct(*[value.alias(name) for name, value in made.items()])
+    return df.select(*kept, F.inline(F.array(fresh)))
