@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema
 from hushtable.operators.audit import marginal_shift
-from hushtable.operators.correct import bounds, conditional_table, gain, relabel, verdict
+from hushtable.operators.correct import bounds, conditional_table, gain, relabel
 from hushtable.operators.counts import absent_categories, one_way_distance, two_way_distance
 from hushtable.operators.ranks import ranked, sample_exactly
 from hushtable.operators.stage import Release
