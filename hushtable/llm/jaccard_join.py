@@ -22,6 +22,8 @@ FILTER_BITS = 1 << 25
 REACH = (1, 8)
 #: Lists with more places than this are cut into blocks of so many places, which are met in pairs by different tasks.
 BLOCK = 1024
+#: Links that one task hangs on their smallest ids.
+LINKS = 200_000
 
 
 def shingles(texts: list, width: int) -> list[np.ndarray]:
@@ -214,22 +216,68 @@ def verify(pairs: DataFrame, texts: DataFrame, unique: bool, width: int, num: in
     return done if unique else done.groupBy("a", "b").agg(F.lit(None).cast("long").alias("far"), F.max("linked").alias("linked"))
 
 
-def components(edges: DataFrame) -> DataFrame:
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of the numbers below n reaches by the links (a, b)."""
+    least = np.arange(n)
+    while True:
+        x, y = least[a], least[b]
+        apart = x != y
+        if not apart.any():
+            return least
+        np.minimum.at(least, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (least[least] != least).any():
+            least = least[least]
+
+
+def stars(edges: DataFrame, parts: int, most: int) -> DataFrame:
+    """The same components with fewer links: what a task reads is hung on its smallest ids, about `most` links at a time."""
+
+    def hang(links):
+        ids, codes = np.unique(pd.concat([links["u"], links["v"]]).to_numpy(), return_inverse=True)
+        least = roots(codes[: len(links)], codes[len(links) :], len(ids))
+        moved = np.flatnonzero(least != np.arange(len(ids)))
+        return pd.DataFrame({"u": ids[moved], "v": ids[least[moved]]})
+
+    def run(frames):
+        held, count = [], 0
+        for frame in frames:
+            held.append(frame)
+            count += len(frame)
+            if count > most:
+                held = [hang(pd.concat(held))]
+                count = len(held[0])
+                if count > most // 2:
+                    yield held[0]
+                    held, count = [], 0
+        if held:
+            yield hang(pd.concat(held))
+
+    return edges.coalesce(parts).mapInPandas(run, edges.schema)
+
+
+def components(edges: DataFrame, most: int = LINKS) -> DataFrame:
     """Smallest id that each id reaches: neighbours are hung on the smallest one, in turns, until nothing changes.
 
-    `edges` has columns a, b. Each turn is written to the shared folder; no links come to the driver.
+    `edges` has columns a, b. Each turn first hangs what single tasks hold, `most` links each or about that, then the
+    neighbours that lie in different tasks; where one task holds all links, its answer is the whole. Each turn is written
+    to the shared folder; no links come to the driver.
     """
-    now = materialize(edges.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v").distinct())
+    now = materialize(edges.selectExpr("greatest(a, b) as u", "least(a, b) as v").where("u <> v"))
     size = None
     while True:
-        both = now.union(now.selectExpr("v", "u"))
+        parts = now.count() // most + 1
+        hung = materialize(stars(now, parts, 2 * most))
+        forget(now)
+        if parts == 1:
+            return hung.selectExpr("u as id", "v as component")
+        hung, once = materialize(hung.distinct()), hung
+        both = hung.union(hung.selectExpr("v", "u"))
         least = materialize(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) as m"))
         large = materialize(both.join(least, "u").where("v > u").selectExpr("v as u", "m as v").where("u <> v").distinct())
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", "m"))
-        new = materialize(small.distinct())
-        forget(now, least, large)
-        now = new
+        now = materialize(small.distinct())
+        forget(once, hung, least, large)
         after = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if after == size:
             return now.selectExpr("u as id", "v as component")

@@ -250,6 +250,20 @@ def test_long_lists_in_blocks_and_string_ids(spark, block):
     assert got == least
 
 
+@pytest.mark.parametrize("most", [40, 100_000])
+def test_components_in_one_task_and_in_many(spark, most):
+    rng = random.Random(5)
+    pairs = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)] + [("s500", f"s{i:03}") for i in range(0, 90, 3)]
+    pairs += [(f"r{rng.randrange(80):03}", f"r{rng.randrange(80):03}") for _ in range(50)] + [("c003", "c004"), ("x", "x")]
+    rng.shuffle(pairs)
+    least = {x: x for pair in pairs for x in pair}
+    for _ in least:
+        for a, b in pairs:
+            least[a] = least[b] = min(least[a], least[b])
+    found = jaccard_join.components(spark.createDataFrame(pairs, "a string, b string").repartition(5), most).collect()
+    assert sorted((r["id"], r["component"]) for r in found) == sorted((x, m) for x, m in least.items() if x != m)
+
+
 def test_large_ids_beside_null_ones(spark):
     big = 2**60
     a, b = "a b c d e f g h", "p q r s t u v w"
