@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from hushtable.llm import byte_bpe, html_extraction, jaccard_join, language_id, neighbours, packing, quality_classifier, quality_rules, token_counts, toxicity
+from hushtable.llm import byte_bpe, collocations, fill_in_middle, html_extraction, jaccard_join, language_id, neighbours, packing, quality_classifier, quality_rules, sharding, token_counts, toxicity
 from hushtable.llm.common import remainder
 from hushtable.llm.sql import ORACLE  # noqa: F401
 
@@ -67,10 +68,25 @@ def op10_byte_bpe(spark, sf_dir):
     return byte_bpe.encode_decode(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_fill_in_middle(spark, sf_dir):
+    made = fill_in_middle.fill_in_middle(documents(spark, sf_dir))
+    digests = [F.sha2(c.cast("binary"), 256) for c in (F.col("output"), fill_in_middle.restored())]
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digests[0].alias("output_sha256"), digests[1].alias("restored_sha256"))
+
+
+def op12_collocations(spark, sf_dir):
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_sharding(spark, sf_dir):
+    found = sharding.shard_texts(documents(spark, sf_dir))
+    return found.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_quality_classifier, op3_learned_partitions, op4_toxicity, op5_quality_rules,
-        op6_html_extraction, op7_jaccard_join, op8_token_counts, op9_packing, op10_byte_bpe,
+        op6_html_extraction, op7_jaccard_join, op8_token_counts, op9_packing, op10_byte_bpe, op11_fill_in_middle, op12_collocations, op13_sharding,
     )
 }
