@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema, text
-from hushtable.operators.counts import cell_key, cell_rates
+from hushtable.operators.counts import cell_key, cell_rates, coerce
 from hushtable.operators.ledger import Ledger, laplace
 from hushtable.operators.ranks import ranked, unit_hash
 
@@ -29,14 +29,14 @@ def with_cell(df: DataFrame, schema: Schema, columns: tuple[str, ...]) -> DataFr
 def conditional_table(df: DataFrame, schema: Schema, columns: tuple[str, ...], epsilon: float, n_min: int = 150, ledger: Ledger | None = None, seed: int | None = None) -> DataFrame:
     """Noisy supports and positive rates (cell, support, rate) of the cells whose noisy support is at least n_min.
 
-    A twentieth of the budget goes to supports, the rest to positive counts. Only counts over the public domain come to
+    Rows with a missing number are in no cell, as in the release. A twentieth of the budget goes to supports, the rest to positive counts. Only counts over the public domain come to
     the driver. Noise is drawn once, so that no recomputation draws anew.
     """
     if n_min < 50:
         raise ValueError("n_min must be at least 50")
     ledger = ledger or Ledger(epsilon)
     scales = ledger.spend("supports", 0.05 * epsilon), ledger.spend("rates", 0.95 * epsilon)
-    rows = cell_rates(df, one_level(schema, columns)).select("cell", "support", "positives").orderBy("cell").toPandas()
+    rows = cell_rates(coerce(df, schema), one_level(schema, columns)).select("cell", "support", "positives").orderBy("cell").toPandas()
     support = rows["support"] + laplace(scales[0], len(rows), seed)
     positives = rows["positives"] + laplace(scales[1], len(rows), None if seed is None else seed + 1)
     rows["rate"] = np.clip(np.maximum(positives, 0) / np.maximum(support, n_min), 0, 1).round(5)
@@ -83,7 +83,7 @@ def bounds(private: DataFrame, conditions: dict[str, DataFrame], table: DataFram
         raise ValueError("a positive budget and a condition are needed")
     own = one_level(schema, columns)
     scale = (ledger or Ledger(epsilon)).spend("bound", epsilon)
-    cells = cell_rates(private, own).join(F.broadcast(table.select("cell")), "cell").select("cell", "support", "positives").orderBy("cell").toPandas()
+    cells = cell_rates(coerce(private, schema), own).join(F.broadcast(table.select("cell")), "cell").select("cell", "support", "positives").orderBy("cell").toPandas()
     if not len(cells):
         raise ValueError("no released cell")
     rate = (cells["positives"] + laplace(scale, len(cells), seed)) / np.maximum(cells["support"], n_min)

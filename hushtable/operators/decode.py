@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema, undiscretise
-from hushtable.operators.joint import fit, Joint
+from hushtable.operators.fitted import CLASS, COHORT, domains, fit_release
+from hushtable.operators.graphical import Model, sampled
+from hushtable.operators.joint import Joint
 from hushtable.operators.select import select_to_release, systematic
 from hushtable.operators.stage import Release
 
@@ -58,9 +60,9 @@ def spread(spark: SparkSession, fitted: Joint, blocks: list[tuple[str, bool, int
     return table.select("block", *places, F.explode(F.sequence("_first", "_last")).alias("row"))
 
 
-def draw(spark: SparkSession, release: Release, schema: Schema, n: int, seed: int = 0, fitted: Joint | None = None) -> DataFrame:
-    """n rows (row, features, target): columns of a fitted joint distribution are drawn together, all others are
-    independent given cohort and class.
+def draw(spark: SparkSession, release: Release, schema: Schema, n: int, seed: int = 0, fitted: Joint | Model | None = None) -> DataFrame:
+    """n rows (row, features, target): columns of a fitted distribution are drawn together, all others are independent
+    given cohort and class.
 
     A column outside it is drawn by inverting its released distribution; a numeric value lies evenly in its bin, and is whole
     where all edges are. Sizes of cohorts and classes are exact.
@@ -74,15 +76,21 @@ def draw(spark: SparkSession, release: Release, schema: Schema, n: int, seed: in
         cdfs = [np.cumsum([shares[cohort, positive, c].get(b, 0.0) for b in schema.bins(c)]) for c in columns]
         table.append((i, cohort, positive, [(x / x[-1]).tolist() for x in cdfs]))
     known = spark.createDataFrame(table, "block int, _cohort string, _positive boolean, _cdf array<array<double>>")
-    if fitted is None:
+    if not isinstance(fitted, Joint):
         begins = F.array(*[F.lit(s) for s in starts])
         rows = spark.range(n).withColumnRenamed("id", "row").withColumn("block", F.size(F.filter(begins, lambda s: s <= F.col("row"))) - 1)
     else:
         rows = spread(spark, fitted, blocks, n, seed)
+    joined = [] if fitted is None else fitted.columns if isinstance(fitted, Joint) else list(domains(release, schema))[2:]
+    if isinstance(fitted, Model):
+        places = {c: i for i, c in enumerate(release.cohorts["cohort"])}
+        for name, at in ((COHORT, [places[b[0]] for b in blocks]), (CLASS, [int(b[1]) for b in blocks])):
+            rows = rows.withColumn(f"_at_{name}", F.element_at(F.array(*[F.lit(x) for x in at]), F.col("block") + 1))
+        rows = sampled(rows, fitted, (COHORT, CLASS), seed)
     rows = rows.join(F.broadcast(known), "block")
     out = []
     for k, c in enumerate(columns):
-        if fitted is not None and c in fitted.columns:
+        if c in joined:
             at = F.col(f"_at_{c}")
         else:
             at = F.least(below(F.col("_cdf")[k], unit(c, seed)), F.lit(len(schema.bins(c)) - 1))
@@ -101,7 +109,8 @@ def draw(spark: SparkSession, release: Release, schema: Schema, n: int, seed: in
 def decode(spark: SparkSession, release: Release, schema: Schema, n: int, pool_factor: int = 3, seed: int = 0, joint: bool = True) -> DataFrame:
     """n rows selected to the release from a drawn pool of pool_factor times as many.
 
-    With `joint`, the pool follows the fitted distribution of greatest entropy, so that cells of the release are met too.
+    With `joint`, the pool follows the distribution of greatest entropy fitted along a junction tree, so that cells of the
+    release are met too, however many columns they join.
     """
-    fitted = fit(release, schema) if joint and len(release.cells) else None
+    fitted = fit_release(release, schema) if joint and len(release.cells) else None
     return select_to_release(draw(spark, release, schema, n * pool_factor, seed, fitted), release, schema, n, ["row"], seed)

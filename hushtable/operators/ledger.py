@@ -101,11 +101,16 @@ def check_unit(epsilon: float, rows_per_person: int | None, acknowledged: bool =
     return None
 
 
+def chances(n: int) -> np.ndarray:
+    """Numbers in (0, 1) from the system's randomness."""
+    return (np.array([secrets.randbits(53) for _ in range(n)], float) + 0.5) / 2**53
+
+
 def laplace(scale: float, n: int, seed: int | None = None) -> np.ndarray:
     """Noise from the system's randomness; a seed is for tests only and voids the guarantee."""
     if seed is not None:
         return np.random.default_rng(seed).laplace(0, scale, n)
-    half = (np.array([secrets.randbits(53) for _ in range(n)]) + 0.5) / 2**53 - 0.5
+    half = chances(n) - 0.5
     return -scale * np.sign(half) * np.log1p(-2 * np.abs(half))
 
 
@@ -119,46 +124,59 @@ def mean_sensitivity(low: float, high: float, n: int) -> float:
 def exponential_choice(scores: np.ndarray, epsilon: float, sensitivity: float = 1.0, seed: int | None = None) -> int:
     """The exponential mechanism: number i with a chance in proportion to exp(epsilon * score / (2 * sensitivity)).
 
-    Drawn as the largest score under Gumbel noise, which has that law.
+    Drawn as the largest score under Gumbel noise, which has that law; from the system's randomness unless seeded.
     """
-    rng = np.random.default_rng(seed)
-    return int(np.argmax(np.asarray(scores, float) * epsilon / (2 * sensitivity) + rng.gumbel(size=len(scores))))
+    noise = -np.log(-np.log(chances(len(scores)))) if seed is None else np.random.default_rng(seed).gumbel(size=len(scores))
+    return int(np.argmax(np.asarray(scores, float) * epsilon / (2 * sensitivity) + noise))
 
 
 def permute_and_flip(scores: np.ndarray, epsilon: float, sensitivity: float = 1.0, seed: int | None = None) -> int:
     """Permute and flip, which is never worse than the exponential mechanism: the largest score under exponential noise."""
-    rng = np.random.default_rng(seed)
-    return int(np.argmax(np.asarray(scores, float) * epsilon / (2 * sensitivity) + rng.exponential(size=len(scores))))
+    noise = -np.log(chances(len(scores))) if seed is None else np.random.default_rng(seed).exponential(size=len(scores))
+    return int(np.argmax(np.asarray(scores, float) * epsilon / (2 * sensitivity) + noise))
+
+
+def _log_delta(rho, epsilon: float, b: np.ndarray) -> np.ndarray:
+    """The logarithm of the delta that the Renyi bound of order 1 + exp(b) gives with zero-concentrated privacy rho."""
+    order, rest = 1 + np.exp(b), b - np.logaddexp(0, b)  # rest: log(1 - 1 / order)
+    return np.exp(b) * (order * rho - epsilon) + order * rest - b
 
 
 def delta_of(rho: float, epsilon: float) -> float:
-    """The least delta for which rho-zCDP implies (epsilon, delta), over the order alpha of the Renyi bound."""
+    """The least delta for which rho-zCDP implies (epsilon, delta): the least of the bounds of all orders.
+
+    The bound has one valley over the orders, so a grid over their logarithms is laid anew around its lowest point.
+    """
     if rho <= 0:
         return 0.0
-    low, high = 1.0 + 1e-9, (epsilon + 1) / (2 * rho) + 2
-    for _ in range(200):  # the exponent's slope in alpha rises, so its zero is bracketed
-        alpha = (low + high) / 2
-        if (2 * alpha - 1) * rho - epsilon + np.log1p(-1 / alpha) < 0:
-            low = alpha
-        else:
-            high = alpha
-    return float(min(1.0, np.exp((alpha - 1) * (alpha * rho - epsilon) + alpha * np.log1p(-1 / alpha)) / (alpha - 1)))
+    b = np.linspace(-30, 30, 241)
+    for _ in range(6):
+        values = _log_delta(rho, epsilon, b)
+        k = int(np.argmin(values))
+        b = np.linspace(b[max(k - 1, 0)], b[min(k + 1, len(b) - 1)], 241)
+    return float(np.exp(min(values.min(), 0.0)))
 
 
 def rho_of(epsilon: float, delta: float) -> float:
-    """The largest rho whose zCDP implies (epsilon, delta), by bisection."""
+    """The largest rho whose zCDP implies (epsilon, delta).
+
+    At the best order the bound is level, which gives rho as (epsilon - log(1 - 1 / order)) / (2 order - 1). Along these
+    pairs delta falls as the order rises, so the order sought is the first at which it is low enough.
+    """
     if not 0 < delta < 1 or epsilon < 0:
         raise ValueError("epsilon must not be negative, delta be between 0 and 1")
-    low, high = 0.0, epsilon + 1
-    for _ in range(200):
-        middle = (low + high) / 2
-        if delta_of(middle, epsilon) <= delta:
-            low = middle
-        else:
-            high = middle
-    return low
+    b = np.linspace(-30, 30, 241)
+    for _ in range(7):
+        rho = (epsilon - b + np.logaddexp(0, b)) / (1 + 2 * np.exp(b))
+        k = max(1, int(np.argmax(_log_delta(rho, epsilon, b) <= np.log(delta))))
+        found, b = float(rho[k]), np.linspace(b[k - 1], b[k], 241)
+    return found
 
 
 def gaussian(rho: float, sensitivity: float, size: int, seed: int | None = None) -> np.ndarray:
-    """Gaussian noise that spends rho of zero-concentrated privacy on values with this L2 sensitivity."""
-    return np.random.default_rng(seed).normal(0, sensitivity / np.sqrt(2 * rho), size)
+    """Gaussian noise that spends rho of zero-concentrated privacy on values with this L2 sensitivity; from the system's
+    randomness unless seeded."""
+    scale = sensitivity / np.sqrt(2 * rho)
+    if seed is not None:
+        return np.random.default_rng(seed).normal(0, scale, size)
+    return scale * np.sqrt(-2 * np.log(chances(size))) * np.cos(2 * np.pi * chances(size))

@@ -82,7 +82,7 @@ def release(df: DataFrame, schema: Schema, cohorts: list[str], epsilon: float =
     sums = block.transform("sum")
     h["share"] = (h["noisy"] / sums.where(sums > 0)).fillna(1 / block.transform("size")).round(5)
 
-    cells = cell_rates(df, schema).toPandas().sort_values(["level", "cell"], ignore_index=True)
+    cells = cell_rates(coerce(df, schema), schema).toPandas().sort_values(["level", "cell"], ignore_index=True)
     for level in range(len(schema.levels)):
         at = cells["level"] == level
         cells.loc[at, "noisy"] = cells.loc[at, "support"] + noise(ledger.spend(f"supports of level {level}", budget.cells / len(schema.levels)), at.sum())
