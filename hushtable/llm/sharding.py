@@ -188,7 +188,7 @@ def shard_texts(docs: DataFrame, key: str = "doc_id", text: str = "text", shards
     HOT groups. Returns key, the columns `keep`, size, text_crc32, shard (from 0) and slot (from 0 in each shard, gapless,
     in an order that depends on the texts and ids alone).
     """
-    if (shards is None) == (capacity is None) or (shards or capacity) < 1:
+    if (shards is None) == (capacity is None) or max(shards or 0, capacity or 0) < 1:
         raise ValueError("give either shards or a capacity, from 1 on")
     known = {"size", "text_crc32", "shard", "slot"}
     whole = F.coalesce(F.col(text), F.lit("")).cast("binary")
