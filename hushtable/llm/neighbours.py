@@ -128,29 +128,33 @@ def exact_top(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray
     return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
 
 
-def fit(sample: np.ndarray, parts: int, aim: float = 0.95, k: int = 20) -> tuple[list[np.ndarray], int]:
-    """The router, and how many partitions a query must visit for the aimed recall among the sample's own neighbours."""
+def fit(sample: np.ndarray, parts: int, copies: int = 1, aim: float = 0.95, k: int = 20) -> tuple[list[np.ndarray], int]:
+    """The router, and how many partitions a query must visit for the aimed recall where each row lies in its `copies` likeliest.
+
+    The graph and its partition cover the whole sample; the router learns from four fifths of it, and the visits are
+    counted for the other rows and their neighbours.
+    """
     x = unit(sample)
     near = graph(x, k)
     label = balanced_parts(x, near[:, :10], parts)
-    w = fit_router(x, label, parts)
-    logits = route(x, w)
-    home = logits.argmax(1)
-    rank = np.argsort(np.argsort(-logits, axis=1), axis=1)
-    visits = rank[np.arange(len(x))[:, None], home[near]]
-    need = np.sort(visits.ravel())
+    own = np.arange(len(x)) % 5 > 0
+    w = fit_router(x[own], label[own], parts)
+    order = np.argsort(-route(x, w), axis=1, kind="stable")
+    rank = np.argsort(order, axis=1)
+    asks = np.flatnonzero(~own)
+    need = np.sort(rank[asks[:, None, None], order[near[asks], :copies]].min(axis=2).ravel())
     return w, int(min(parts, need[min(len(need) - 1, int(aim * len(need)))] + 1)) if len(need) else parts
 
 
-def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str = "embedding", most_sample: int = 6000, rows_a_part: int = 1000, most_parts: int = 256, block: int = 4000) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 20, key: str = "vec_id", vector: str = "embedding", most_sample: int = 6000, rows_a_part: int = 100, most_parts: int = 256, block: int = 4000) -> DataFrame:
     """The k nearest rows by inner product for each row that satisfies the condition `queries`.
 
-    Every usable row is indexed in the partition that the router finds likeliest, and each query visits the likeliest
-    few. There is a partition for every `rows_a_part` rows, two from twice as many rows on, and `most_parts` at most. Of
+    Every usable row is indexed in the two partitions that the router finds likeliest (one, where there are fewer than four),
+    and each query visits as many of the likeliest as `fit` says; all its answers come from there. Only a query that finds
+    fewer than k rows so visits every partition. There is a partition for every `rows_a_part` rows, `most_parts` at most. Of
     copies of one vector only the k + 1 smallest ids can be among any k nearest, so no others are compared; this limit
     is exact. Partitions that fill beyond `block` rows, and their queries, are cut into blocks. The router is fitted on
-    about `most_sample` rows chosen by a hash of their id. Each query is also compared with that sample: its k nearest
-    there are candidates, and a block returns nothing below the k-th of them, which can be none of the k nearest.
+    about `most_sample` rows chosen by a hash of their id; these are not compared with anything apart from that.
 
     Vectors that are null, zero, or hold a null or non-finite component take no part; neither do null ids. Vectors of
     another length are searched among their own kind. An id with several vectors is one candidate, with the nearest of
@@ -177,16 +181,9 @@ def search_width(usable: DataFrame, total: int, width: int, k: int, most_sample:
     sample = sample[~sample["v"].map(tuple).duplicated()]
     x = np.array(sample["v"].tolist(), float).reshape(len(sample), width)
     parts = int(min(most_parts, max(1, total // rows_a_part), max(1, len(x) // 20)))
-    model, visit = fit(x, parts) if parts > 1 else (None, 1)
+    copies = 2 if parts >= 4 else 1
+    model, visit = fit(x, parts, copies) if parts > 1 else (None, 1)
     held = spark.sparkContext.broadcast(model)
-    sampled = spark.sparkContext.broadcast((x, sample["id"].to_numpy()))
-
-    def near_sample(frames):
-        """The k nearest of each query within the sample."""
-        some, own = sampled.value
-        for frame in frames:
-            if len(frame) and len(some):
-                yield exact_top(np.array(frame["v"].tolist(), float), frame["id"].to_numpy(), some, own, k)
 
     def place(visits):
         def run(frames):
@@ -203,31 +200,34 @@ def search_width(usable: DataFrame, total: int, width: int, k: int, most_sample:
         return run
 
     kind = usable.schema["v"].dataType.simpleString()
-    indexed = candidates.mapInPandas(place(1), f"id {name}, v {kind}, part int")
-    begun = materialize(asking.mapInPandas(near_sample, schema))
-    reached = begun.groupBy(F.col("query_id").alias("id")).agg(F.when(F.count("*") >= k, F.min("score")).otherwise(float("-inf")).alias("least"))
-    asking = asking.join(reached, "id", "left").withColumn("least", F.coalesce("least", F.lit(float("-inf"))))
-    routed = asking.mapInPandas(place(visit), f"id {name}, v {kind}, least double, part int")
+    indexed = candidates.mapInPandas(place(copies), f"id {name}, v {kind}, part int")
     blocks = {r["part"]: max(1, -(-r["count"] // block)) for r in indexed.groupBy("part").count().collect()}
-    asked = {r["part"]: max(1, -(-r["count"] // block)) for r in routed.groupBy("part").count().collect()}
+    every = lambda of: F.explode(F.sequence(F.lit(0), number(of).cast("int") - 1))
+    deal = lambda of: F.pmod(F.xxhash64("id"), number(of)).cast("int")
 
     def number(of: dict):
         pairs = [F.lit(x) for p, n in of.items() if n > 1 for x in (p, n)]
         return F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("part")), F.lit(1)) if pairs else F.lit(1)
 
-    deal = lambda of: F.pmod(F.xxhash64("id"), number(of)).cast("int")
-    every = lambda of: F.explode(F.sequence(F.lit(0), number(of).cast("int") - 1))
-    left = routed.withColumn("qb", deal(asked)).withColumn("cb", every(blocks))
-    right = indexed.withColumn("cb", deal(blocks)).withColumn("qb", every(asked))
-
     def rerank(asks, has):
         if not len(asks) or not len(has):
             return pd.DataFrame({"query_id": asks["id"].head(0), "vec_id": asks["id"].head(0), "score": pd.Series(dtype=float)})
         q, c = (np.array(f["v"].tolist(), float) for f in (asks, has))
-        top = exact_top(q, asks["id"].to_numpy(), c, has["id"].to_numpy(), k)
-        return top[top["score"].to_numpy() >= top["query_id"].map(dict(zip(asks["id"], asks["least"]))).to_numpy(float)]
-
-    found = left.groupBy("part", "qb", "cb").cogroup(right.groupBy("part", "qb", "cb")).applyInPandas(rerank, schema)
-    found = found.union(begun).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        return exact_top(q, asks["id"].to_numpy(), c, has["id"].to_numpy(), k)
+
+    def visited(queries: DataFrame, visits: int) -> DataFrame:
+        routed = queries.mapInPandas(place(visits), f"id {name}, v {kind}, part int")
+        asked = {r["part"]: max(1, -(-r["count"] // block)) for r in routed.groupBy("part").count().collect()}
+        left = routed.withColumn("qb", deal(asked)).withColumn("cb", every(blocks))
+        right = indexed.withColumn("cb", deal(blocks)).withColumn("qb", every(asked))
+        found = left.groupBy("part", "qb", "cb").cogroup(right.groupBy("part", "qb", "cb")).applyInPandas(rerank, schema)
+        return materialize(found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score")))
+
+    found = visited(asking, visit)
+    if visit < parts:
+        enough = found.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= k)
+        short = materialize(asking.join(enough, "id", "left_anti"))
+        if short.take(1):
+            found = found.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").union(visited(short, parts))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
