@@ -6,11 +6,11 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
-from hushtable.operators import adaptive, attacks, decode, fitted, near_points, stage
+from hushtable.operators import adaptive, attacks, centres, decode, fitted, near_points, propensity, stage, transport, workloads
 from hushtable.operators.graphical import fit, Measured
 from hushtable.plans.evaluation import _FAR, _NAMES, _POINT
 from hushtable.plans.registry import query
-from hushtable.plans.release import _histogram_sql, CLIPPED, COHORTS, halves, IDS, items, ITEMS
+from hushtable.plans.release import _histogram_sql, _WORKLOAD, CLIPPED, COHORTS, halves, IDS, items, ITEMS
 from hushtable.sources.shared import shared_folder
 from hushtable.streaming import generation
 
@@ -91,3 +91,48 @@ def generated_rows(spark, sf_dir):
     released = stage.release(items(spark, sf_dir), ITEMS, COHORTS, n_min=50, seed=1)
     quotas = generation.cohort_quotas(released, ITEMS, 600, seed=1)
     return generation.generate(spark, quotas, ITEMS, shared_folder(spark), generation.exact_mock(ITEMS, 1, failing=0.1), per_call=50)
+
+
+@query("transport_pairs")
+def transport_pairs(spark, sf_dir):
+    """Transport distance of all pairs of columns between the halves; 300 rows of each, which bounds the exact solver."""
+    return transport.k_way_transport(*halves(spark, sf_dir), ITEMS, 2, IDS, most=300, seed=1)
+
+
+SETS = {"all": list(combinations(_WORKLOAD, 3)), "target": workloads.target_sets(list(_WORKLOAD), ITEMS.target), "skewed": workloads.skewed_sets(list(_WORKLOAD), 6, seed=1)}
+_SIDE = lambda half: f"(SELECT {', '.join(f'{x} AS {c}' for c, x in _WORKLOAD.items())} FROM lineitem WHERE l_orderkey % 2 = {half})"
+_SET = lambda i, s, half: f"SELECT {i} AS i, {" || '|' || ".join(s)} AS bin, count(*) / sum(count(*)) OVER () AS p FROM {_SIDE(half)} GROUP BY 2"
+_EVERY_SET = list(dict.fromkeys(s for sets in SETS.values() for s in sets))
+_IN = " UNION ALL ".join(f"SELECT '{name}' AS workload, {_EVERY_SET.index(s)} AS i" for name, sets in SETS.items() for s in sets)
+
+
+@query("workload_errors", f"WITH a AS ({' UNION ALL '.join(_SET(i, s, 0) for i, s in enumerate(_EVERY_SET))}), b AS ({' UNION ALL '.join(_SET(i, s, 1) for i, s in enumerate(_EVERY_SET))}), d AS (SELECT i, sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))) AS d FROM a FULL JOIN b USING (i, bin) GROUP BY i) SELECT workload, count(*) AS sets, round(avg(d), 9) AS error FROM d JOIN ({_IN}) USING (i) GROUP BY workload")
+def workload_errors(spark, sf_dir):
+    """Errors over all triples, those with the target, and a skewed draw of them."""
+    return workloads.workload_error(*halves(spark, sf_dir), ITEMS, SETS)
+
+
+@query("noisy_clusters")
+def noisy_clusters(spark, sf_dir):
+    """How many rows lie at each of three centres found under a budget; seeded so that it can be repeated."""
+    df, bounds = items(spark, sf_dir), {c: (e[0], e[-1]) for c, e in ITEMS.numeric.items()}
+    found = centres.noisy_centres(df, bounds, 3, 2.0, seed=1)
+    return centres.clustered(df, bounds, found).groupBy("cluster").agg(F.count("*").alias("n"))
+
+
+_ONE = f"SELECT {', '.join(IDS)}, l_linestatus, l_returnflag, round(l_quantity / 50.0::DOUBLE, 4) AS s, CASE l_returnflag WHEN 'A' THEN 0.4 WHEN 'N' THEN 0.25 WHEN 'R' THEN 0.5 END AS rate FROM lineitem"
+
+
+@query("labels_in_order", f"WITH r AS ({_ONE}), k AS (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY s DESC, md5(concat_ws('|', {', '.join(IDS)}, '7')), {', '.join(IDS)}) AS k, count(*) OVER (PARTITION BY l_returnflag) AS n FROM r) SELECT {', '.join(IDS)}, CASE WHEN rate IS NULL THEN l_linestatus WHEN k <= floor(rate * n) + (('0x' || substr(md5('l_returnflag=' || l_returnflag || '|7'), 1, 8))::BIGINT / 4294967296.0::DOUBLE < rate * n - floor(rate * n))::INT THEN 'F' ELSE 'O' END AS l_linestatus FROM k")
+def labels_in_order(spark, sf_dir):
+    """Stated rates of each return flag given to the rows with the largest quantities."""
+    rates = spark.createDataFrame([("l_returnflag=A", 0.4), ("l_returnflag=N", 0.25), ("l_returnflag=R", 0.5)], "cell string, rate double")
+    scored = items(spark, sf_dir).withColumn("score", F.col("l_quantity") / 50.0)
+    return propensity.relabel_in_order(scored, rates, ITEMS, ("l_returnflag",), IDS, 7).select(*IDS, "l_linestatus")
+
+
+@query("covered_share", f"WITH {_ASKED}, found AS ({_FOUND}), f AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {', '.join(f'q{x}' for x in _NAMES.split(', '))} ORDER BY d, {', '.join(f'p{x}' for x in _NAMES.split(', '))}) AS k FROM (SELECT {', '.join(f'q.{x} AS q{x}, p.{x} AS p{x}' for x in _NAMES.split(', '))}, round(sqrt({_FAR}), 9) AS d FROM (SELECT DISTINCT {_NAMES} FROM asked) q, {_POINTS} p)) WHERE k = 1), c AS (SELECT DISTINCT {', '.join(f'p{x} AS {x}' for x in _NAMES.split(', '))} FROM f), g AS (SELECT {', '.join(f'q.{x}' for x in _NAMES.split(', '))}, round(sqrt({_FAR}), 9) AS d, p.near_rows FROM c q, {_POINTS} p), u AS (SELECT {_NAMES}, d, sum(near_rows) OVER (PARTITION BY {_NAMES} ORDER BY d RANGE UNBOUNDED PRECEDING) AS upto FROM g), r AS (SELECT {_NAMES}, min(d) FILTER (upto > 5) AS radius FROM u GROUP BY {_NAMES}) SELECT count(*) AS n, round(avg((f.d <= r.radius)::INT), 9) AS share FROM asked a JOIN f ON {' AND '.join(f'a.{x} = f.q{x}' for x in _NAMES.split(', '))} JOIN r ON {' AND '.join(f'r.{x} = f.p{x}' for x in _NAMES.split(', '))}")
+def covered_share(spark, sf_dir):
+    """How many rows whose order is divisible by 100 lie within the fifth-neighbour radius of their nearest row of odd orders."""
+    private, other = halves(spark, sf_dir)
+    return near_points.covered(private.where("l_orderkey % 100 = 0"), other, ITEMS, 5)
