@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from functools import reduce
-from itertools import combinations
+from itertools import combinations, product
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,22 +21,33 @@ def coerce(df: DataFrame, schema: Schema) -> DataFrame:
 
 def domain(df: DataFrame, **columns: list) -> DataFrame:
     """The product of public values, as a small table whose size the schema bounds."""
-    one = df.sparkSession.range(1)
-    return reduce(lambda d, c: d.withColumn(c[0], F.explode(F.array(*[F.lit(v) for v in c[1]]))), columns.items(), one).drop("id")
+    if not columns:
+        return df.sparkSession.range(1).drop("id")
+    kinds = {bool: pa.bool_(), int: pa.int32(), float: pa.float64()}
+    rows = list(product(*columns.values()))
+    return df.sparkSession.createDataFrame(pa.table({c: pa.array([r[i] for r in rows], kinds.get(type(values[0]) if len(values) else str, pa.string())) for i, (c, values) in enumerate(columns.items())}))
+
+
+def signatures(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Rows counted by all columns at once (and `n`): what is then dealt to many sets of columns is no longer rows, but at
+    most the public domain's signatures."""
+    return df.groupBy(*[value.alias(name) for name, value in columns.items()]).agg(F.count("*").alias("n"))
 
 
 def long_bins(df: DataFrame, schema: Schema, binned) -> DataFrame:
-    """A row for each row and column: (cohort, positive, col, bin)."""
-    parts = [F.struct(F.lit(c).alias("col"), binned(c).cast("string").alias("bin")) for c in [*schema.numeric, *schema.categorical]]
-    base = df.select(F.col(schema.stratify).alias("cohort"), (F.col(schema.target) == schema.positive).alias("positive"), F.explode(F.array(*parts)).alias("p"))
-    return base.select("cohort", "positive", "p.*")
+    """A row for each signature and column: (cohort, positive, col, bin, n)."""
+    names = [*schema.numeric, *schema.categorical]
+    own = {f"_{i}": binned(c).cast("string") for i, c in enumerate(names)}
+    counted = signatures(df, {"cohort": F.col(schema.stratify), "positive": F.col(schema.target) == schema.positive} | own)
+    parts = [F.struct(F.lit(c).alias("col"), F.col(at).alias("bin")) for c, at in zip(names, own)]
+    return counted.select("cohort", "positive", "n", F.explode(F.array(*parts)).alias("p")).select("cohort", "positive", "p.*", "n")
 
 
 def dense_histogram(df: DataFrame, schema: Schema, cohorts: list[str]) -> DataFrame:
     """Counts of every bin of every column in every cohort, from one pass."""
     rows = coerce(df, schema)
     binned = lambda c: histogram_bin(F.col(c), schema.numeric[c]) if c in schema.numeric else F.col(c)
-    counts = long_bins(rows, schema, binned).groupBy("cohort", "col", "bin").agg(F.count("*").alias("n"))
+    counts = long_bins(rows, schema, binned).groupBy("cohort", "col", "bin").agg(F.sum("n").alias("n"))
     every = reduce(DataFrame.unionByName, (domain(df, cohort=cohorts, col=[c], bin=schema.bins(c)) for c in [*schema.numeric, *schema.categorical]))
     return every.join(counts, ["cohort", "col", "bin"], "left").na.fill(0, ["n"])
 
@@ -84,7 +96,7 @@ def cell_rates(df: DataFrame, schema: Schema) -> DataFrame:
 def mutual_information(df: DataFrame, schema: Schema) -> DataFrame:
     """Mutual information of each column's bands with the target, in nats; columns without rows have none."""
     rows = long_bins(df, schema, lambda c: band(number(c), schema.numeric[c]) if c in schema.numeric else text(c))
-    joint = rows.groupBy("col", "bin", "positive").agg(F.count("*").alias("n"))
+    joint = rows.groupBy("col", "bin", "positive").agg(F.sum("n").alias("n"))
     summed = lambda *by: F.sum("n").over(Window.partitionBy("col", *by))  # noqa: E731 (over the domain's few counts)
     out = joint.withColumns({"nb": summed("bin"), "nc": summed("positive"), "nt": summed()})
     return out.groupBy("col").agg(F.round(F.sum(F.col("n") / F.col("nt") * F.log(F.col("n") * F.col("nt") / (F.col("nb") * F.col("nc")))), 9).alias("mi"))
@@ -103,15 +115,21 @@ def two_way_distance(real: DataFrame, other: DataFrame, schema: Schema) -> DataF
 
 def _set_distance(real: DataFrame, other: DataFrame, schema: Schema, k: int) -> DataFrame:
     binned = lambda c: band(number(c), schema.numeric[c]) if c in schema.numeric else F.coalesce(text(c), F.lit("nan"))
-    sets = combinations([*schema.numeric, *schema.categorical, schema.target], k)
-    parts = [F.struct(F.lit("|".join(c)).alias("col"), F.concat_ws("|", *map(binned, c)).alias("bin")) for c in sets]
-    side = lambda df, s: df.select(F.explode(F.array(*parts)).alias("p")).select("p.*").withColumn("side", F.lit(s))
-    return _distance(side(real, 1).unionByName(side(other, -1)), {"mean": F.lit(True)})
+    names = [*schema.numeric, *schema.categorical, schema.target]
+    return _distance(dealt(real, other, {c: binned(c) for c in names}, list(combinations(names, k))), {"mean": F.lit(True)})
+
+
+def dealt(real: DataFrame, other: DataFrame, binned: dict[str, Column], sets: list[tuple[str, ...]]) -> DataFrame:
+    """The signatures of two tables (side 1 and -1) dealt to sets of columns: (col, bin, side, n)."""
+    place = {c: f"_{i}" for i, c in enumerate(binned)}
+    parts = [F.struct(F.lit("|".join(c)).alias("col"), F.concat_ws("|", *[place[x] for x in c]).alias("bin")) for c in sets]
+    side = lambda df, s: signatures(df, {place[c]: value for c, value in binned.items()}).select(F.explode(F.array(*parts)).alias("p"), "n").select("p.*", "n").withColumn("side", F.lit(s))
+    return side(real, 1).unionByName(side(other, -1))
 
 
 def _distance(both: DataFrame, means: dict[str, Column]) -> DataFrame:
     """The distance of each `col` from one aggregation, and a row for each named mean over the columns of a condition."""
-    counts = both.groupBy("col", "bin").agg(F.sum((F.col("side") == 1).cast("long")).alias("a"), F.sum((F.col("side") == -1).cast("long")).alias("b"))
+    counts = both.groupBy("col", "bin").agg(*[F.sum(F.when(F.col("side") == s, F.col("n")).otherwise(0)).alias(name) for s, name in ((1, "a"), (-1, "b"))])
     of = Window.partitionBy("col")
     share = lambda n: F.when(F.sum(n).over(of) > 0, F.col(n) / F.sum(n).over(of)).otherwise(F.lit(0.0))
     apart = counts.select("col", F.abs(share("a") - share("b")).alias("apart")).groupBy("col").agg((F.sum("apart") / 2).alias("d"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hushtable.functions.bins import Schema, cell_bin, clipped, text
-from hushtable.operators.counts import _distance, cell_key
+from hushtable.operators.counts import _distance, cell_key, dealt
 
 
 def workload_bin(column: str, schema: Schema) -> Column:
@@ -27,10 +27,8 @@ def k_way_distance(real: DataFrame, other: DataFrame, schema: Schema, k: int) ->
     names = [*schema.numeric, *schema.categorical, schema.target]
     if not 1 <= k <= len(names):
         raise ValueError(f"k must be from 1 to {len(names)}")
-    sets = [F.struct(F.lit("|".join(c)).alias("col"), F.concat_ws("|", *[workload_bin(x, schema) for x in c]).alias("bin")) for c in combinations(names, k)]
-    side = lambda df, s: df.select(F.explode(F.array(*sets)).alias("p")).select("p.*").withColumn("side", F.lit(s))
     target = F.array_contains(F.split("col", r"\|"), schema.target)
-    return _distance(side(real, 1).unionByName(side(other, -1)), {"mean": F.lit(True), "mean with target": target})
+    return _distance(dealt(real, other, {c: workload_bin(c, schema) for c in names}, list(combinations(names, k))), {"mean": F.lit(True), "mean with target": target})
 
 
 def conditional_distance(real: DataFrame, other: DataFrame, schema: Schema, columns: tuple[str, ...], least: int = 30) -> DataFrame:

@@ -43,7 +43,7 @@ def class_histogram(df: DataFrame, schema: Schema, cohorts: list[str]) -> DataFr
     """Counts of every bin of every column in each cohort and class, over the public domain; pooled counts are sums of these."""
     binned = lambda c: histogram_bin(F.col(c), schema.numeric[c]) if c in schema.numeric else F.col(c)
     keys = ["cohort", "positive", "col", "bin"]
-    counts = long_bins(coerce(df, schema), schema, binned).groupBy(*keys).agg(F.count("*").alias("n"))
+    counts = long_bins(coerce(df, schema), schema, binned).groupBy(*keys).agg(F.sum("n").alias("n"))
     every = reduce(DataFrame.unionByName, (domain(df, cohort=cohorts, positive=[True, False], col=[c], bin=schema.bins(c)) for c in [*schema.numeric, *schema.categorical]))
     return every.join(counts, keys, "left").na.fill(0, ["n"])
 
