@@ -100,7 +100,7 @@ def bounded(spark: SparkSession, private: DataFrame, synthetic: DataFrame, holdo
     if not len(own):
         raise ValueError("the release has no cell of these columns")
     cells = spark.createDataFrame(own[["cell", "support", "rate"]])
-    report = assess.bound_with_controls(private, synthetic, holdout, release, cells, schema, columns, list(names(a.ids)), a.bound_epsilon, a.per_person, a.n_min, allowed=a.tolerance, seed=a.seed)
+    report = assess.bound_with_controls(private, synthetic, holdout, release, cells, schema, columns, list(names(a.ids)), a.bound_epsilon, a.per_person, a.n_min, allowed=a.tolerance, seed=a.seed, gate=True)
     write_document(spark, report, f"{a.out}/bound")
     return report
 

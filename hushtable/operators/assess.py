@@ -57,16 +57,17 @@ def tolerance(release: Release, table: DataFrame, epsilon: float, n_min: int = 1
     return math.log(max(cells, 1) / alpha) / (n_min * epsilon) + 0.5 * (far or 0.0)
 
 
-def bound_with_controls(private: DataFrame, synthetic: DataFrame, holdout: DataFrame, release: Release, table: DataFrame, schema: Schema, columns: tuple[str, ...], ids: list[str], epsilon: float, rows_per_person: int, n_min: int = 150, alpha: float = 0.05, allowed: float | None = None, seed: int = 0, noise_seed: int | None = None, acknowledged: bool = False) -> dict:
+def bound_with_controls(private: DataFrame, synthetic: DataFrame, holdout: DataFrame, release: Release, table: DataFrame, schema: Schema, columns: tuple[str, ...], ids: list[str], epsilon: float, rows_per_person: int, n_min: int = 150, alpha: float = 0.05, allowed: float | None = None, seed: int = 0, noise_seed: int | None = None, gate: bool = False) -> dict:
     """The worst bound of the synthetic table beside a real sample (ceiling) and the same sample with its target dealt anew
     (floor), all on one noisy draw.
 
     The verdict is None unless no synthetic cell is thin, the ceiling passes and the floor fails. A person's budget is the
-    release's and this one's, times rows per person; over 10 it is refused unless acknowledged.
+    release's and this one's, times rows per person; with `gate` over 10 is refused before anything is read.
     """
     if rows_per_person < 1:
         raise ValueError("rows per person must be stated")
-    check_unit(release.audit["total"] + epsilon, rows_per_person, acknowledged)
+    if gate:
+        check_unit(release.audit["total"] + epsilon, rows_per_person)
     n = min(synthetic.count(), holdout.count())
     if not n:
         raise ValueError("the synthetic and held-out tables need rows")

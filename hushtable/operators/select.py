@@ -95,10 +95,11 @@ def systematic(weight: np.ndarray, count: np.ndarray, n: int, start: float) -> n
     return np.minimum(np.diff(np.floor(ends - start)).astype(int), count)
 
 
-def swapped(signatures: pd.DataFrame, quota: np.ndarray, release: Release, schema: Schema, n: int, swaps: int) -> np.ndarray:
+def swapped(signatures: pd.DataFrame, quota: np.ndarray, release: Release, schema: Schema, n: int, swaps: int, pooled: float = 3.0) -> np.ndarray:
     """Quotas after up to `swaps` exchanges, each of which brings the counts nearer to the release in summed absolute difference.
 
-    Counted are cohorts, classes, each column's bins by cohort and class, and positives and negatives of released cells. An
+    Counted are cohorts, classes, each column's bins by cohort and class, positives and negatives of released cells, and each
+    column's bins over all cohorts, a difference in which counts `pooled` times: what a user compares first. An
     exchange moves the same number of rows, from a thousandth of n down to one, out of the signature that has most to spare
     and into the one that then gains most; it stops where none gains. Signatures of no released cohort or value get no rows.
     """
@@ -108,15 +109,18 @@ def swapped(signatures: pd.DataFrame, quota: np.ndarray, release: Release, schem
     share = {(c, p): size.at[c, "size"] / total * n * (size.at[c, "positive_share"] if p else 1 - size.at[c, "positive_share"]) for c in size.index for p in (True, False)}
     goals = {("cohort", c): size.at[c, "size"] / total * n for c in size.index} | share
     goals |= {(r.cohort, bool(r.positive), r.col, r.bin): r.share * share[r.cohort, bool(r.positive)] for r in release.marginals.itertuples()}
+    for r in release.marginals.itertuples():
+        goals["pooled", r.col, r.bin] = goals.get(("pooled", r.col, r.bin), 0.0) + r.share * share[r.cohort, bool(r.positive)]
     goals |= cell_goals(release, n)
     keys = [[("cohort", c) for c in cohort], list(zip(cohort, positive))]
     for c in [*schema.numeric, *schema.categorical]:
         keys.append([(a, p, c, b) for a, p, b in zip(cohort, positive, signatures[f"_bin_{c}"])])
     usable = np.all([[k in goals for k in part] for part in keys], axis=0)
     keys += level_keys(signatures, schema)
+    keys += [[("pooled", c, b) for b in signatures[f"_bin_{c}"]] for c in [*schema.numeric, *schema.categorical]]
     codes, names = pd.factorize(pd.Index([k for part in keys for k in part], tupleize_cols=False))
     at = codes.reshape(len(keys), -1)
-    weight = np.array([k in goals for k in names], float)
+    weight = np.array([(pooled if k[0] == "pooled" else 1.0) * (k in goals) for k in names], float)
     off = -np.array([goals.get(k, 0.0) for k in names])
     quota, count = quota.copy(), signatures["n"].to_numpy()
     for part in at:
@@ -141,8 +145,9 @@ def swapped(signatures: pd.DataFrame, quota: np.ndarray, release: Release, schem
     return quota
 
 
-def select_to_release(pool: DataFrame, release: Release, schema: Schema, n: int, ids: list[str], seed: int = 0, allow_short: bool = False, swaps: int = 200) -> DataFrame:
-    """n rows of the pool whose counts follow the release; `ids` tell rows apart.
+def select_to_release(pool: DataFrame, release: Release, schema: Schema, n: int, ids: list[str], seed: int = 0, allow_short: bool = False, swaps: int = 200, within_bins: bool = False) -> DataFrame:
+    """n rows of the pool whose counts follow the release; `ids` tell rows apart. With `within_bins` their numbers are drawn
+    anew in their bins, so that nothing finer than the release is taken from the pool.
 
     The pool is counted by signature, of which the public domain bounds the number; weights are fitted on these counts.
     The even draw is then bettered by up to `swaps` exchanges between signatures.
@@ -168,7 +173,8 @@ def select_to_release(pool: DataFrame, release: Release, schema: Schema, n: int,
     signatures["_quota"] = swapped(signatures, drawn, release, schema, n, swaps)
     quotas = pool.sparkSession.createDataFrame(signatures.loc[signatures["_quota"] > 0, [*keys, "_quota"]])
     wanted = rows.join(F.broadcast(quotas), keys)
-    return ranked(wanted, keys, ids, seed).where(F.col("rank") < F.col("_quota")).select(*pool.columns)
+    chosen = ranked(wanted, keys, ids, seed).where(F.col("rank") < F.col("_quota")).select(*pool.columns)
+    return redraw(chosen, schema, ids, seed) if within_bins else chosen
 
 
 def redraw(df: DataFrame, schema: Schema, ids: list[str], seed: int = 0, bands: dict[str, list[float]] | None = None) -> DataFrame:

@@ -132,3 +132,39 @@ def test_evaluate(private):
     assert got["permuted", "area of logistic"]["least"] == got["permuted", "area of logistic"]["most"]
     with pytest.raises(ValueError):
         assess.evaluate({"real": train}, train, holdout, SCHEMA, ["id"], 10)
+
+
+def test_pooled_counts_weigh_more(spark, private, released):
+    """A heavier weight on counts over all cohorts brings those nearer, and numbers drawn anew stay in their bins."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+
+    n, columns = 300, [*SCHEMA.numeric, *SCHEMA.categorical]
+    keys = ["_cohort", "_positive", *(f"_bin_{c}" for c in columns)]
+    signatures = select.with_signature(private, SCHEMA).groupBy(*keys).agg(F.count("*").alias("n")).toPandas().sort_values(keys, ignore_index=True)
+    signatures = signatures[signatures["_cohort"].isin(released.cohorts["cohort"])].reset_index(drop=True)
+    rng = np.random.default_rng(1)
+    start = np.minimum(rng.multinomial(n, np.full(len(signatures), 1 / len(signatures))), signatures["n"].to_numpy())
+    size = released.cohorts.set_index("cohort")
+    of = lambda r: size.at[r.cohort, "size"] / size["size"].sum() * start.sum() * (size.at[r.cohort, "positive_share"] if r.positive else 1 - size.at[r.cohort, "positive_share"])
+    goal = pd.Series(0.0, index=pd.MultiIndex.from_tuples(sorted({(r.col, r.bin) for r in released.marginals.itertuples()})))
+    for r in released.marginals.itertuples():
+        goal[r.col, r.bin] += r.share * of(r)
+
+    def off(quota):
+        have = {(c, b): quota[(signatures[f"_bin_{c}"] == b).to_numpy()].sum() for c, b in goal.index}
+        return sum(abs(have[k] - goal[k]) for k in goal.index)
+
+    light, heavy = (select.swapped(signatures, start, released, SCHEMA, int(start.sum()), 400, pooled=p) for p in (0.0, 10.0))
+    assert off(heavy) <= off(light) < off(start) and heavy.sum() == start.sum()
+    got = select.select_to_release(private, released, SCHEMA, 200, ["id"], within_bins=True)
+    both = got.select("id", F.col("x").alias("new")).join(private, "id").toPandas()
+    assert len(both) == 200 and (both["new"] != both["x"]).any()
+    edges = SCHEMA.numeric["x"][1:-1]
+    assert (np.digitize(both["new"], edges) == np.digitize(both["x"], edges)).all()
+
+
+def test_the_gate_refuses_a_budget_that_protects_nobody(spark, private, released):
+    table = spark.createDataFrame([("x[0,10)", 1000, 0.5)], "cell string, support long, rate double")
+    with pytest.raises(ValueError, match="over 10"):
+        assess.bound_with_controls(private, private, private, released, table, SCHEMA, ("x", "k"), ["id"], 2.0, 2, gate=True)
