@@ -11,14 +11,15 @@ from pyspark.sql import functions as F
 PARTS = 4096
 
 
-def auc(df: DataFrame, score: Column, positive: Column) -> DataFrame:
+def auc(df: DataFrame, score: Column, positive: Column, rows_each: Column | None = None) -> DataFrame:
     """One row (auc, positives, negatives): the share of pairs of a positive and a negative that the score orders rightly.
+    `rows_each` says for how many rows a row stands.
 
     Ties count half. Rows with a null or NaN score or a null label take no part; without both classes the area is null.
     Scores are counted by value, then in parts of even width whose sums say how many negatives lie before each part.
     """
-    rows = df.select(score.cast("double").alias("s"), positive.alias("p")).where("s is not null and not isnan(s) and p is not null")
-    counts = rows.groupBy("s").agg(F.count_if("p").alias("pos"), F.count_if(~F.col("p")).alias("neg"))
+    rows = df.select(score.cast("double").alias("s"), positive.alias("p"), (F.lit(1) if rows_each is None else rows_each).cast("long").alias("m")).where("s is not null and not isnan(s) and p is not null")
+    counts = rows.groupBy("s").agg(*[F.sum(F.when(F.col("p") == p, F.col("m")).otherwise(0)).alias(name) for p, name in ((True, "pos"), (False, "neg"))])
     ends = rows.agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
     width = F.col("hi") - F.col("lo")
     at = F.when(width > 0, F.least(F.floor((F.col("s") - F.col("lo")) / width * PARTS), F.lit(PARTS - 1))).otherwise(F.lit(0))

@@ -25,6 +25,12 @@ def prepared(df: DataFrame, schema: Schema) -> DataFrame:
     return df.select(*numbers, *[F.coalesce(text(c), F.lit("nan")).alias(c) for c in schema.categorical], label).where("label is not null")
 
 
+def counted(rows: DataFrame) -> DataFrame:
+    """Equal rows once, with their number `rows`: models learn and are judged by weights, and private tables have far fewer
+    different rows than rows."""
+    return rows.groupBy(*rows.columns).agg(F.count("*").cast("double").alias("rows"))
+
+
 def students(train: DataFrame, test: DataFrame, schema: Schema, seed: int, names: tuple[str, ...] = STUDENTS) -> DataFrame:
     """Area under the curve of each student on the test rows: (student, auc, positives, negatives).
 
@@ -32,11 +38,11 @@ def students(train: DataFrame, test: DataFrame, schema: Schema, seed: int, names
     learn, and all areas are 0.5.
     """
     made = {
-        "logistic": LogisticRegression(maxIter=50, regParam=1e-4, featuresCol="scaled"),
-        "forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed),
-        "boosted": GBTClassifier(maxIter=20, maxDepth=3, seed=seed),
+        "logistic": LogisticRegression(maxIter=50, regParam=1e-4, featuresCol="scaled", weightCol="rows"),
+        "forest": RandomForestClassifier(numTrees=50, maxDepth=8, seed=seed, weightCol="rows"),
+        "boosted": GBTClassifier(maxIter=20, maxDepth=3, seed=seed, weightCol="rows"),
     }
-    fit, judge = prepared(train, schema), prepared(test, schema)
+    fit, judge = counted(prepared(train, schema)), counted(prepared(test, schema))
     known = fit.select("label").distinct().count()
     indexed = [f"_i_{c}" for c in schema.categorical]
     coded = [f"_o_{c}" for c in schema.categorical]
@@ -47,13 +53,13 @@ def students(train: DataFrame, test: DataFrame, schema: Schema, seed: int, names
     out = []
     if known >= 2:
         encoder = Pipeline(stages=steps).fit(fit)
-        fit, judge = encoder.transform(fit).select("features", "scaled", "label").persist(), encoder.transform(judge)
+        fit, judge = (encoder.transform(df).select("features", "scaled", "label", "rows").persist() for df in (fit, judge))
     for name in names:
         score = F.lit(0.0)
         rows = judge
         if known >= 2:
             rows = made[name].fit(fit).transform(judge)
             score = vector_to_array("probability")[1]
-        out.append(auc(rows.select("label", score.alias("score")), F.col("score"), F.col("label") == 1).select(F.lit(name).alias("student"), "auc", "positives", "negatives"))
+        out.append(auc(rows.select("label", "rows", score.alias("score")), F.col("score"), F.col("label") == 1, F.col("rows")).select(F.lit(name).alias("student"), "auc", "positives", "negatives"))
     fit.unpersist()
     return reduce(DataFrame.unionByName, out)
