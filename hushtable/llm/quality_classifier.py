@@ -66,7 +66,7 @@ def descend(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, size:
             back = weights[:-1] @ p
             weights -= step * np.outer(mean, p)
             # a document's vectors move by their shares, scaled so that long texts learn as fast as short ones
-            vectors[at] -= (step * min(50.0, 1 / float(share @ share)) * share)[:, None] * back
+            vectors[at] -= (step / max(0.02, float(share @ share)) * share)[:, None] * back
     return vectors, weights
 
 
