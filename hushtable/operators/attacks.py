@@ -106,7 +106,7 @@ def likelihood_scores(synthetic: DataFrame, candidates: DataFrame, schema: Schem
     """How likely a candidate is under kernel densities of resampled synthetic rows: the mean of its log density over its spread.
 
     Rows are projected on principal components once. A synthetic row has a Poisson weight in each resample, a hash of its
-    ids, so that all resamples are summed up in one pass. Candidates, a stated set, are taken in blocks of about `most`:
+    ids, and equal rows' weights are added up, so that all resamples are summed up in one pass over different rows. Candidates, a stated set, are taken in blocks of about `most`:
     each block goes to all tasks, which send back a sum and a largest exponent for each candidate and resample.
     """
     x = synthetic.select(vector(schema).alias("_x"), *ids)
@@ -119,8 +119,9 @@ def likelihood_scores(synthetic: DataFrame, candidates: DataFrame, schema: Schem
     weight = [F.pmod(F.xxhash64(F.lit(seed), F.lit(i), *ids), F.lit(1 << 40)) / float(1 << 40) for i in range(shadows)]
     law = np.cumsum([1 / np.e / float(np.prod(np.arange(1, j + 1))) for j in range(12)]).tolist()
     weights = F.array(*[reduce(lambda a, b: a + b, [(w >= p).cast("double") for p in law]) for w in weight])
-    held = project(x.withColumn("_w", weights)).select("_p", "_w").persist()
-    spreads = held.agg(*[F.var_pop(F.col("_p")[i]) for i in range(k)], *[F.sum(F.col("_w")[i]) for i in range(shadows)]).first()
+    held = project(x.withColumn("_w", weights)).groupBy("_p").agg(F.array(*[F.sum(F.col("_w")[i]) for i in range(shadows)]).alias("_w"), F.count("*").alias("_n")).persist()
+    mean = lambda c: F.sum(c * F.col("_n")) / F.sum("_n")
+    spreads = held.agg(*[mean(F.col("_p")[i] * F.col("_p")[i]) - mean(F.col("_p")[i]) ** 2 for i in range(k)], *[F.sum(F.col("_w")[i]) for i in range(shadows)]).first()
     width_of = max(float(np.sqrt(np.mean(spreads[:k]))) * n ** (-1.0 / (k + 4)), 1e-3)
     shift = -np.log(np.maximum(spreads[k:], 1e-300)) - k / 2 * np.log(2 * np.pi * width_of**2)
     asked = project(candidates.select("member", vector(schema).alias("_x"))).select("member", "_p").groupBy("_p").agg(F.count_if("member").alias("_in"), F.count_if(~F.col("member")).alias("_out")).persist()
@@ -133,25 +134,22 @@ def likelihood_scores(synthetic: DataFrame, candidates: DataFrame, schema: Schem
 
         def summed(frames, sent=sent):
             c = sent.value
-            top, total = np.full((shadows, len(c)), -np.inf), np.zeros((shadows, len(c)))
+            top, total = np.full(len(c), -np.inf), np.zeros((shadows, len(c)))
             step = max(1, CELLS // max(len(c), 1))
             for frame in frames:
                 p, w = np.array(frame["_p"].tolist(), float), np.array(frame["_w"].tolist(), float)
                 for at in range(0, len(p), step):
                     e = _exponents(p[at : at + step], c, width_of)
-                    for i in range(shadows):
-                        own = w[at : at + step, i] > 0
-                        if own.any():
-                            high = np.maximum(top[i], e[own].max(axis=0))
-                            total[i] = total[i] * np.exp(top[i] - high) + w[at : at + step, i][own] @ np.exp(e[own] - high)
-                            top[i] = high
-            which, at = np.nonzero(np.isfinite(top))
-            yield pd.DataFrame({"at": at, "i": which, "top": top[which, at], "total": total[which, at]})
+                    high = np.maximum(top, e.max(axis=0))
+                    total = total * np.exp(top - high) + w[at : at + step].T @ np.exp(e - high)
+                    top = high
+            which, at = np.nonzero(total > 0)
+            yield pd.DataFrame({"at": at, "i": which, "top": top[at], "total": total[which, at]})
 
         found = held.mapInPandas(summed, "at long, i int, top double, total double")
         high = F.max("top").over(Window.partitionBy("at", "i"))
         found = found.withColumn("_m", high).groupBy("at", "i").agg(F.max("_m").alias("m"), F.sum(F.exp(F.col("top") - F.col("_m")) * F.col("total")).alias("t"))
-        table = found.toPandas()
+        table = found.where("t > 0").toPandas()
         logs = np.full((shadows, len(points)), np.nan)
         logs[table["i"], table["at"]] = table["m"] + np.log(table["t"]) + shift[table["i"].to_numpy()]
         logs = np.where(np.isnan(logs), np.nanmin(logs, initial=0.0), logs)
