@@ -17,7 +17,10 @@ def scaled(bounds: dict[str, tuple[float, float]]) -> list[Column]:
 
 def nearest_centre(bounds: dict[str, tuple[float, float]], centres: np.ndarray) -> Column:
     """The number of a row's nearest centre (of several the first), null where a number is missing."""
-    parts = scaled(bounds)
+    return _nearest(scaled(bounds), centres)
+
+
+def _nearest(parts: list[Column], centres: np.ndarray) -> Column:
     apart = F.array(*[sum(((p - float(x)) * (p - float(x)) for p, x in zip(parts, centre)), F.lit(0.0)) for centre in centres])
     return F.array_position(apart, F.array_min(apart)).cast("int") - 1
 
@@ -27,15 +30,17 @@ def noisy_centres(df: DataFrame, bounds: dict[str, tuple[float, float]], k: int,
 
     The start doesn't depend on rows. A round has an even share of the budget: half for counts, half for sums, divided over
     the columns; a row lies at one centre, so it changes one count and one sum of each column, by 1 at most. Rows with a
-    missing number take no part. Each round is one aggregation, of which k * (columns + 1) numbers come to the driver.
+    missing number take no part, equal rows are counted once. Each round is one aggregation, of which k * (columns + 1) numbers come to the driver.
     """
     if k < 1 or rounds < 1 or not bounds:
         raise ValueError("a column, a centre and a round are needed")
     ledger = ledger or Ledger(epsilon)
     centres = np.random.default_rng(start_seed).uniform(0.15, 0.85, (k, len(bounds)))
-    rows = df.select(*[p.alias(f"_{i}") for i, p in enumerate(scaled(bounds))], *bounds)
+    names = [f"_{i}" for i in range(len(bounds))]
+    rows = df.select(*[p.alias(n) for n, p in zip(names, scaled(bounds))]).na.drop().groupBy(*names).agg(F.count("*").alias("_n")).persist()
     for turn in range(rounds):
-        sums = rows.groupBy(nearest_centre(bounds, centres).alias("at")).agg(F.count("*").alias("n"), *[F.sum(f"_{i}") for i in range(len(bounds))]).where("at is not null").collect()
+        at = _nearest([F.col(n) for n in names], centres).alias("at")
+        sums = rows.groupBy(at).agg(F.sum("_n"), *[F.sum(F.col(n) * F.col("_n")) for n in names]).collect()
         table = np.zeros((k, len(bounds) + 1))
         for r in sums:
             table[r["at"]] = r[1:]
@@ -45,6 +50,7 @@ def noisy_centres(df: DataFrame, bounds: dict[str, tuple[float, float]], k: int,
         for i in range(len(bounds)):
             total[:, i] += draw(ledger.spend(f"sums of round {turn}", epsilon / rounds / 2 / len(bounds)), k, i + 1)
         centres = np.clip(total / np.maximum(count, 1.0)[:, None], 0, 1)
+    rows.unpersist()
     return centres
 
 
