@@ -73,6 +73,15 @@ def test_nearest_equals_all_pairs(spark):
         closest.nearest(sa, sb, SCHEMA, most=10)
 
 
+def test_nearest_meets_equal_rows_once(spark, monkeypatch):
+    (_, sa), (b, sb) = table(spark, 60, 1), table(spark, 400, 2)
+    met, least = [], closest._least
+    monkeypatch.setattr(closest, "_least", lambda points, rows, schema: (met.append(rows.count()), least(points, rows, schema))[1])
+    many = sb.crossJoin(spark.range(30)).drop("id").repartition(7)
+    got = [{r["id"]: r["distance"] for r in closest.nearest(sa, rows, SCHEMA).collect()} for rows in (sb, many)]
+    assert met == [400, 400] and got[0] == got[1] and len(got[0]) == 60
+
+
 def test_copies_are_closer(spark):
     (_, sa), (_, sb) = table(spark, 200, 1), table(spark, 200, 2)
     assert tuple(closest.closer_share(sa, sa, sb, SCHEMA).first()) == (200, 1.0)
