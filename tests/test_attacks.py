@@ -78,3 +78,21 @@ def test_nothing_to_learn_from(spark, world):
     members, others, free = world
     got = {r["attack"]: r["auc"] for r in attacks.attacked(free.limit(0), members, others, SCHEMA, ["id"], draws=20, names=("exact", "shadow", "likelihood")).collect()}
     assert set(got.values()) == {0.5}
+
+
+def test_forest_learns_from_a_few_pieces_of_equal_rows(world, monkeypatch):
+    members, others, _ = world
+    copies = lambda df: df.orderBy("id").limit(50).drop("id").crossJoin(df.sparkSession.range(40))
+    seen, fit = [], attacks.RandomForestClassifier.fit
+    monkeypatch.setattr(attacks.RandomForestClassifier, "fit", lambda self, rows: (seen.append(rows.agg(F.count("*"), F.sum("_weight")).first()), fit(self, rows))[1])
+    told = attacks.shadow_scores(copies(members), copies(others).withColumn("member", F.col("id") % 2 == 0), SCHEMA, ["id"], trees=3)
+    assert tuple(seen[0]) == (400, 4000.0)
+    assert sorted(map(tuple, told.groupBy("member").count().collect())) == [(False, 1000), (True, 1000)]
+
+
+def test_principal_components_weigh_equal_rows(world):
+    rows = [([0.0, 1.0], 3), ([1.0, 0.0], 1), ([2.0, 2.0], 4)]
+    n, axes, spread = attacks._components(world[0].sparkSession.createDataFrame(rows, "_x array<double>, _n long"), 2)
+    x = np.repeat([r[0] for r in rows], [r[1] for r in rows], axis=0)
+    cov = np.cov(x.T, bias=True)
+    assert n == 8 and np.allclose(axes @ np.diag(spread) @ axes.T, cov) and spread[0] > spread[1]
