@@ -35,6 +35,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return out
 
 
+def together(tables: list[DataFrame]) -> DataFrame:
+    """Materialised tables of one schema as one: a single scan, however many they are, where a union's plan grows with them."""
+    return tables[0].sparkSession.read.schema(tables[0].schema).parquet(*[t.written for t in tables])
+
+
 def forget(*tables: DataFrame | None) -> None:
     """Remove materialised tables that nothing reads any more."""
     for df in tables:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hushtable.llm.common import forget, materialize, mix, over_texts, shared_dir, small_batches, word_ids
+from hushtable.llm.common import forget, materialize, mix, over_texts, shared_dir, small_batches, together, word_ids
 
 #: Slots of the frequency sketch, and the parts in which it travels.
 SLOT_BITS = 21
@@ -169,10 +169,11 @@ def filter_of(ids: DataFrame) -> dict[int, bytes]:
     return {r["k"]: bytes(r["bits"]) for r in rows}
 
 
-def texts_of(ids: DataFrame, docs: DataFrame, unique: bool, kind: str) -> DataFrame:
+def texts_of(ids: DataFrame, docs: DataFrame, unique: bool, kind: str, exact: bool = False) -> DataFrame:
     """The texts of some documents, packed small: a filter of fixed size picks them while they are read.
 
-    What the filter lets through beyond them finds no partner. Texts, unlike hashes, compress, so they move instead of sets.
+    What the filter lets through beyond them finds no partner; `exact` leaves it out, which needs distinct ids. Texts, unlike
+    hashes, compress, so they move instead of sets.
     """
     held = docs.sparkSession.sparkContext.broadcast(filter_of(ids))
     small_batches(docs.sparkSession)
@@ -190,7 +191,10 @@ def texts_of(ids: DataFrame, docs: DataFrame, unique: bool, kind: str) -> DataFr
             yield pa.RecordBatch.from_arrays([mine.column(0), pa.array(packed, pa.binary())], names=["id", "t"])
 
     found = docs.where("id is not null and text is not null").select("id", "text", place("id").alias("p")).mapInArrow(run, f"id {kind}, t binary")
-    return materialize(found if unique else found.distinct())
+    found = found.join(ids, "id", "left_semi") if exact else found
+    out = materialize(found if unique else found.distinct())
+    held.destroy()  # else each turn's filter stays with the driver
+    return out
 
 
 def verify(pairs: DataFrame, texts: DataFrame, unique: bool, width: int, num: int, den: int, kind: str) -> DataFrame:
@@ -290,6 +294,9 @@ def cells_of(rows: DataFrame, lists: DataFrame, longest: int, lo: int, hi: int,
     A list of one block is its own only cell. Longer ones are read in pairs of blocks, so that a hot list is met by many
     tasks. A pair of blocks is skipped where the largest set of the one is too small for the smallest of the other, or
     where the positions of the one leave too few shingles in common.
+
+    What is told of the blocks and which of them meet is written first: these tables are small, and inside the plan of the
+    pairs their four copies were most of what the driver held of it.
     """
     number = F.floor(F.col("place") / block).alias("block")
     columns = ["token", "cell", "apart", "block", *[c for c in rows.columns if c != "token"]]
@@ -298,7 +305,7 @@ def cells_of(rows: DataFrame, lists: DataFrame, longest: int, lo: int, hi: int,
         return short
     cut = lists.where(F.col("m") > block).withColumn("block", number)
     n, left = F.shiftright("np", 32), F.shiftright("np", 32) - F.col("np").bitwiseAND(F.lit((1 << 32) - 1))
-    told = cut.groupBy("token", "block").agg(F.min(n).alias("small"), F.max(n).alias("large"), F.max(left).alias("left"))
+    told = materialize(cut.groupBy("token", "block").agg(F.min(n).alias("small"), F.max(n).alias("large"), F.max(left).alias("left")))
     steps = F.sequence(F.lit(max(0, lo // block - 1)).cast("long"), F.least(F.lit(-(-hi // block)), F.col("block")))
     pairs = told.where(F.col("block") >= max(0, lo // block - 1)).select("token", "block", "small", "left", F.explode(steps).alias("apart"))
     pairs = pairs.withColumn("other", F.col("block") - F.col("apart"))
@@ -307,7 +314,9 @@ def cells_of(rows: DataFrame, lists: DataFrame, longest: int, lo: int, hi: int,
     pairs = pairs.where(F.col("large_o") * den >= F.col("small") * num)  # sizes
     pairs = pairs.where(F.least("left", "left_o") * (den + num) >= F.lit(num) * (F.col("small") + F.col("small_o")))  # positions
     key = (F.col("block") * F.lit(1 << 20) + F.col("apart")).alias("cell")
-    met = pairs.select("token", key, "apart", "block").union(pairs.where("apart > 0").select("token", key, "apart", F.col("other")))
+    ends = F.when(F.col("apart") > 0, F.array("block", "other")).otherwise(F.array("block"))
+    met = materialize(pairs.select("token", key, "apart", F.explode(ends).alias("block")))
+    forget(told)
     return short.union(rows.where(F.col("m") > block).withColumn("block", number).join(met, ["token", "block"]).select(*columns))
 
 
@@ -418,7 +427,8 @@ def search(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
     reps = materialize(told.where("n > 0").groupBy(*classes).agg(F.min("id").alias("id"), F.first("rare").alias("rare"), F.first("mark").alias("mark")))
     lists = index_lists(reps, block)
     unique = told.where("id is not null").groupBy("id").count().where("count > 1").isEmpty()
-    labels = answers = texts = None
+    labels = answers = None
+    texts, answered = [], []
     if not unique:  # rows that share an id tie their classes together
         shared = told.where("n > 0").join(reps.select(*classes, F.col("id").alias("rep")), classes).where("id <> rep").selectExpr("rep as a", "id as b")
         labels = components(shared)
@@ -437,16 +447,18 @@ def search(docs: DataFrame, key: str, text: str, width: int, num: int, den: int,
         if best or not pairs.isEmpty():
             asked = pairs.where("not sure").select("a", "b")
             ends = asked.select(F.col("a").alias("id")).union(asked.select("b"))
-            if texts is None:
-                texts = texts_of(ends, base, unique, kind)
+            if not texts:
+                texts.append(texts_of(ends, base, unique, kind))
             else:
-                wanted = materialize(ends.distinct().join(texts.select("id"), "id", "left_anti"))
+                wanted = materialize(ends.distinct().join(together(texts).select("id"), "id", "left_anti"))
                 if not wanted.isEmpty():
-                    texts = texts.union(texts_of(wanted, base, unique, kind).join(wanted, "id", "left_semi"))
-            known = texts if best else texts.join(ends.distinct(), "id", "left_semi")
+                    texts.append(texts_of(wanted, base, unique, kind, exact=True))
+                forget(wanted)
+            known = together(texts) if best else together(texts).join(ends.distinct(), "id", "left_semi")
             done = verify(asked, known, unique, width, num, den, kind)
             done = materialize(done.union(pairs.where("sure").select("a", "b", F.lit(None).cast("long"), F.lit(True))))
-            answers = done if answers is None else answers.union(done)
+            answered.append(done)
+            answers = together(answered)
             fresh = done.where("linked").select("a", "b")
             if not every and not fresh.isEmpty():
                 labels = components(fresh if labels is None else fresh.union(labels.selectExpr("id as a", "component as b")))

@@ -250,6 +250,18 @@ def test_long_lists_in_blocks_and_string_ids(spark, block):
     assert got == least
 
 
+def test_plans_do_not_grow_with_the_turns(spark, monkeypatch):
+    write, leaves = jaccard_join.materialize, []
+
+    def noted(df):
+        leaves.append(df._jdf.queryExecution().analyzed().collectLeaves().size())
+        return write(df)
+
+    monkeypatch.setattr(jaccard_join, "materialize", noted)
+    jaccard_join.join(docs_of(spark, families(11, 6, 30)), block=3)
+    assert max(leaves) <= 10
+
+
 @pytest.mark.parametrize("most", [40, 100_000])
 def test_components_in_one_task_and_in_many(spark, most):
     rng = random.Random(5)
